@@ -30,7 +30,35 @@ def with_row_number(df: DataFrame, order_cols: list, out: str = "row_no") -> Dat
     )
     return (
         sorted_df.join(F.broadcast(offsets), ["_pid"], "left")
-        .withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.bitwise_and(F.col("_mid"), F.lit(_LOCAL_MASK)) + 1)
+        .withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK)) + 1)
                     .cast("bigint"))
         .drop("_pid", "_mid", "_off")
     )
+
+
+def with_group_row_number(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "group_row_no") -> DataFrame:
+    """``df`` plus a 1-based ordinal inside each group, in ``order_cols`` order.
+
+    Same as ``row_number() over (partition by group order by ...)`` but a hot
+    group is not sent to one task: rows are range-sorted by (group, order),
+    so a large group spans several partitions; each (partition, group) pair
+    reports its first local id and row count, and a group's offset in a
+    partition is the count of its rows in earlier partitions. The
+    (partition, group) table has at most partitions + groups rows.
+    """
+    sorted_df = (
+        df.repartitionByRange(*[F.col(c) for c in group_cols], *order_cols)
+        .sortWithinPartitions(*[F.col(c) for c in group_cols], *order_cols)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .persist()
+    )
+    parts = sorted_df.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_pid", *group_cols, "_first",
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (
+        sorted_df.join(offsets, ["_pid", *group_cols], "left")
+        .withColumn(out, (F.col("_off") + (F.col("_mid") - F.col("_first")) + 1).cast("bigint"))
+        .drop("_pid", "_mid", "_first", "_off")
+    )

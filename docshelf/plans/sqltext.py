@@ -105,3 +105,30 @@ nb_result AS (
          CASE WHEN {blank_sql('d.text')} THEN 0.0 ELSE round(b.conf * 100, 1) END AS confidence_pct,
          ({blank_sql('d.text')} OR b.conf < {threshold}) AS is_low
   FROM {docs} d JOIN best b USING ({id_col}))"""
+
+
+def strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+def suffix_sql(n: str) -> str:
+    return rf"regexp_extract({n}, '(?s)^.+(\.[^.]+)$', 1)"
+
+
+def stem_sql(n: str) -> str:
+    return f"left({n}, length({n}) - length({suffix_sql(n)}))"
+
+
+def sanitise_sql(raw: str) -> str:
+    """Proposed name -> file stem, same steps as ``functions.text.sanitise_name``."""
+    last = f"regexp_extract({raw}, '([^/]*)$', 1)"
+    stemmed = f"(CASE WHEN contains({raw}, '.') THEN {stem_sql(last)} ELSE {raw} END)"
+    first_line = strip_sql(f"split_part({stemmed}, chr(10), 1)")
+    kept = rf"regexp_replace(replace({first_line}, ' ', '_'), '[^\p{{L}}\p{{N}}_\-]', '', 'g')"
+    return f"substr(regexp_replace({kept}, '^_+|_+$', '', 'g'), 1, 80)"
+
+
+def proposed_name_sql(original: str, text: str, raw: str) -> str:
+    clean = sanitise_sql(raw)
+    return (f"CASE WHEN length({strip_sql(text)}) >= 20 AND {raw} IS NOT NULL AND length({clean}) > 0 "
+            f"THEN {clean} || {suffix_sql(original)} ELSE {original} END")
