@@ -104,15 +104,20 @@ def fit(samples: DataFrame, options: NBOptions = NBOptions()) -> NBModel:
             weighted.select("sample_id", "label", "weight", "term", "idf", xr.alias("xr"))
             .withColumn("norm", F.sqrt(F.sum(F.col("xr") * F.col("xr")).over(per_doc)))
         )
-        class_term = materialize(
+        # per (term, class) mass, then one row per term with its class entries
+        terms = materialize(
             normed.groupBy("term", "label")
-            .agg(F.sum(F.col("weight") * F.col("xr") / F.col("norm")).alias("n_ct"), F.first("idf").alias("idf")),
-            "nb-class-term",
+            .agg(F.sum(F.col("weight") * F.col("xr") / F.col("norm")).alias("n_ct"), F.first("idf").alias("idf"))
+            .groupBy("term")
+            .agg(F.first("idf").alias("idf"),
+                 F.collect_list(F.struct(
+                     "label", "n_ct", (F.log(F.col("n_ct") + a) - F.log(F.lit(a))).alias("delta"))).alias("deltas")),
+            "nb-terms",
         )
     finally:
         dt.unpersist()
-    n_vocab = vocab.agg(F.count(F.lit(1)).cast("double").alias("v"))
-    class_mass = class_term.groupBy("label").agg(F.sum("n_ct").alias("n_c_mass"))
+    n_vocab = terms.agg(F.count(F.lit(1)).cast("double").alias("v"))
+    class_mass = terms.select(F.inline("deltas")).groupBy("label").agg(F.sum("n_ct").alias("n_c_mass"))
     class_count = samples.groupBy("label").agg(F.sum("weight").cast("double").alias("n_c"))
     classes = materialize(
         class_count.join(class_mass, ["label"], "left")
@@ -124,13 +129,6 @@ def fit(samples: DataFrame, options: NBOptions = NBOptions()) -> NBModel:
         ),
         "nb-classes",
     )
-    terms = materialize(
-        class_term.groupBy("term")
-        .agg(F.first("idf").alias("idf"),
-             F.collect_list(F.struct("label", (F.log(F.col("n_ct") + a) - F.log(F.lit(a))).alias("delta")))
-             .alias("deltas")),
-        "nb-terms",
-    )
     return NBModel(classes=classes, terms=terms, options=options)
 
 
@@ -152,9 +150,10 @@ def score(model: NBModel, docs: DataFrame, id_col: str = "doc_id", text_col: str
     dt = doc_terms(docs, id_col, text_col, opts.ngram_range, opts.stop_words)
     hits = lookup_join(dt, model.terms, ["term"], [id_col], opts.term_salt)
     xr = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    entries = F.transform("deltas", lambda d: F.struct(d["label"].alias("label"), d["delta"].alias("delta")))
     stat_entry = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("delta")))
     contrib = (
-        hits.select(id_col, xr.alias("xr"), F.inline(F.concat("deltas", stat_entry)))
+        hits.select(id_col, xr.alias("xr"), F.inline(F.concat(entries, stat_entry)))
         .select(
             id_col, "label",
             F.when(F.col("label").isNull(), F.col("xr")).otherwise(F.col("xr") * F.col("delta")).alias("s"),
