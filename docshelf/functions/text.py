@@ -69,6 +69,29 @@ def strip(text: str | Column) -> Column:
     return F.regexp_replace(_col(text), r"^[\s\p{Z}]+|[\s\p{Z}]+\z", "")
 
 
+def first_word(text: str | Column) -> Column:
+    """First whitespace-separated word, null when there is none (reads only the start)."""
+    w = F.regexp_extract(_col(text), r"^[\s\p{Z}]*([^\s\p{Z}]+)", 1)
+    return F.when(w != "", w)
+
+
+def first_line(text: str | Column) -> Column:
+    """Text up to the first newline (``text.split("\\n")[0]``)."""
+    return F.substring_index(_col(text), "\n", 1)
+
+
+def stripped_length_at_least(text: str | Column, n: int) -> Column:
+    """``len(text.strip()) >= n`` without rewriting the text.
+
+    True when two non-space characters are at least ``n - 1`` apart.
+    """
+    if n <= 0:
+        return F.lit(True)
+    if n == 1:
+        return _col(text).rlike(NON_SPACE_RE)
+    return _col(text).rlike(r"[^\s\p{Z}][\s\S]{%d,}[^\s\p{Z}]" % (n - 2))
+
+
 def trimmed_length(text: str | Column) -> Column:
     """Length after stripping surrounding whitespace (Python ``len(s.strip())``)."""
     return F.length(strip(text))

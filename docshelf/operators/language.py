@@ -13,7 +13,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trimmed_length
+from ..functions.text import stripped_length_at_least
 from ..options import LANGUAGE_MIN_CHARS, LANGUAGE_NAMES, NBOptions
 from . import naive_bayes as nb
 
@@ -21,7 +21,8 @@ from . import naive_bayes as nb
 def language_code(text: str | Column, detected: str | Column) -> Column:
     """Detected code, or ``unknown`` for short or failed detection."""
     d = F.col(detected) if isinstance(detected, str) else detected
-    return F.when(trimmed_length(text) < LANGUAGE_MIN_CHARS, F.lit("unknown")).otherwise(F.coalesce(d, F.lit("unknown")))
+    return F.when(~stripped_length_at_least(text, LANGUAGE_MIN_CHARS), F.lit("unknown")).otherwise(
+        F.coalesce(d, F.lit("unknown")))
 
 
 def language_name(code: str | Column, upper_fallback: bool = True) -> Column:
@@ -41,7 +42,7 @@ def identify(train: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     """
     model = nb.fit(nb.training_samples(train, id_col, text_col, code_col), options)
     # only the short-text flag travels to the join, not the text
-    short = docs.select(id_col, (trimmed_length(text_col) < LANGUAGE_MIN_CHARS).alias("_short"))
+    short = docs.select(id_col, (~stripped_length_at_least(text_col, LANGUAGE_MIN_CHARS)).alias("_short"))
     scored = nb.score(model, docs, id_col, text_col).join(short, [id_col])
     code = F.when(F.col("_short"), F.lit("unknown")).otherwise(F.coalesce(F.col("label"), F.lit("unknown")))
     return scored.select(id_col, code.alias("language_code"), language_name(code).alias("language"))

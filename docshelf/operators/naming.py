@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordinal import with_group_row_number
-from ..functions.text import base_name, sanitise_name, stem, strip, suffix
+from ..functions.text import base_name, sanitise_name, stem, stripped_length_at_least, suffix
 from ..options import RENAME_MIN_CHARS, RESTORED_SUFFIX
 
 
@@ -36,7 +36,7 @@ def proposed_name(original: str, text: str, raw: str, enabled: bool = True):
     """
     o = F.col(original)
     clean = sanitise_name(F.col(raw))
-    ok = (F.lit(enabled) & (F.length(strip(text)) >= RENAME_MIN_CHARS) & F.col(raw).isNotNull()
+    ok = (F.lit(enabled) & stripped_length_at_least(text, RENAME_MIN_CHARS) & F.col(raw).isNotNull()
           & (F.length(clean) > 0))
     return F.when(ok, F.concat(clean, suffix(o))).otherwise(o)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import options as O
-from ..functions.text import sanitise_name, words
+from ..functions.text import first_line, first_word, sanitise_name
 from ..operators import naming, organise, reports
 from ..sources.tables import documents_as_files, read_table
 from .catalog import query
@@ -18,12 +18,15 @@ RUN_TS = "2026-01-01T00:00:00+00:00"
 
 # Proposal for a new name: the first line of the document, as a name model
 # would suggest from the text.
-FIRST_LINE = F.split(F.col("text"), "\n").getItem(0)
+def first_line_col():
+    return first_line("text")
+
+
 FIRST_LINE_SQL = "split_part(text, chr(10), 1)"
 
 
 def proposals(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", FIRST_LINE.alias("raw_name"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", first_line_col().alias("raw_name"))
 
 
 # --- F1 / F2 -----------------------------------------------------------------
@@ -31,7 +34,7 @@ def proposals(spark, sf_dir):
 @query("sanitise_names", f"""
 SELECT doc_id, {FIRST_LINE_SQL} AS raw_name, {sanitise_sql(FIRST_LINE_SQL)} AS stem FROM documents""")
 def sanitise_names(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", FIRST_LINE.alias("raw_name"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", first_line_col().alias("raw_name"))
     return d.select("doc_id", "raw_name", sanitise_name("raw_name").alias("stem"))
 
 
@@ -41,7 +44,7 @@ SELECT doc_id, filename, new_name, new_name <> filename AS renamed FROM (
          {proposed_name_sql("(CAST(doc_id AS VARCHAR) || '.txt')", 'text', FIRST_LINE_SQL)} AS new_name
   FROM documents)""")
 def rename_gate(spark, sf_dir):
-    files = documents_as_files(read_table(spark, sf_dir, "documents")).withColumn("raw_name", FIRST_LINE)
+    files = documents_as_files(read_table(spark, sf_dir, "documents")).withColumn("raw_name", first_line_col())
     return files.select("doc_id", "filename", naming.proposed_name("filename", "text", "raw_name").alias("new_name")) \
         .withColumn("renamed", F.col("new_name") != F.col("filename"))
 
@@ -50,14 +53,17 @@ def rename_gate(spark, sf_dir):
 # Names from the first word of the text (lower-cased, sanitised): many files
 # share one, so collisions are frequent and some names are hot.
 
-FIRST_WORD = F.lower(F.element_at(words("text"), 1))
+def first_word_col():
+    return F.lower(first_word("text"))
+
+
 FIRST_WORD_SQL = r"lower(regexp_extract_all(text, '[^\s\p{Z}]+')[1])"
 
 
 def named_files(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     return d.select("doc_id", F.col("lang").alias("category"),
-                    F.concat(F.coalesce(sanitise_name(FIRST_WORD), F.lit("")), F.lit(".txt")).alias("name"))
+                    F.concat(F.coalesce(sanitise_name(first_word_col()), F.lit("")), F.lit(".txt")).alias("name"))
 
 
 NAMED_SQL = f"SELECT doc_id, lang AS category, coalesce({sanitise_sql(FIRST_WORD_SQL)}, '') || '.txt' AS name FROM documents"
