@@ -80,15 +80,17 @@ def plan_names(requests: DataFrame, existing: DataFrame | None, dir_col: str = "
     spark = requests.sparkSession
     if existing is None:
         existing = spark.createDataFrame([], f"{dir_col} string, {name_col} string")
-    req = _family_cols(requests.withColumn("_rid", F.monotonically_increasing_id()), name_col, sep)
+    # cached once: the requests are read by both paths, and the row ids must be
+    # the same for every reader (monotonically_increasing_id is per computation)
+    base = _family_cols(requests.withColumn("_rid", F.monotonically_increasing_id()), name_col, sep).persist()
     ex = _family_cols(existing.select(dir_col, name_col).distinct(), name_col, sep)
     fam = [dir_col, "_root", "_sfx"]
     # families needing the exact path: any numbered stem among requests or existing names
     numbered = (
-        req.where("_numbered").select(*fam).unionByName(ex.where("_numbered").select(*fam)).distinct()
+        base.where("_numbered").select(*fam).unionByName(ex.where("_numbered").select(*fam)).distinct()
     )
-    req = req.join(numbered.withColumn("_exact", F.lit(True)), fam, "left").withColumn(
-        "_exact", F.coalesce("_exact", F.lit(False))).persist()
+    req = base.join(numbered.withColumn("_exact", F.lit(True)), fam, "left").withColumn(
+        "_exact", F.coalesce("_exact", F.lit(False)))
 
     # fast path: k-th request of a (dir, name) group
     fast = req.where(~F.col("_exact"))

@@ -35,7 +35,8 @@ def organise(files: DataFrame, model: nb.NBModel, root: str, proposals: DataFram
     hashed = dedup.with_content_hash(files)
     marked = dedup.mark_duplicates(hashed.select("doc_id", "path", "content_hash"))
     duplicates = marked.where("is_duplicate")
-    originals = dedup.keep_originals(hashed)
+    # read twice (scored, then joined back to its columns): dedup once
+    originals = dedup.keep_originals(hashed).persist()
     classified = nb.classify(model, originals.select("doc_id", "text"))
     res = originals.join(classified, ["doc_id"])
     if proposals is not None and rename and not dry_run:
@@ -43,6 +44,8 @@ def organise(files: DataFrame, model: nb.NBModel, root: str, proposals: DataFram
             "new_name", proposed_name("filename", "text", "raw_name")).drop("raw_name")
     else:
         res = res.withColumn("new_name", F.col("filename"))
+    # the text is not needed past the rename: keep it out of the planner's sort and cache
+    res = res.drop("text")
     planned = destination_plan(res, root, "category", "new_name", ["doc_id"], existing, dry_run)
     return {"results": planned, "duplicates": duplicates}
 
