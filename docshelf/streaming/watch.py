@@ -33,6 +33,24 @@ from ..options import SUPPORTED_EXTENSIONS, WATCH_SETTLE_SECONDS
 WATCH_EVENT_SCHEMA = "ts timestamp, event_type string, path string, is_directory boolean"
 
 
+def folder_events(spark, root: str, start=None, recursive: bool = True) -> DataFrame:
+    """J1 for a real folder: a ``binaryFile`` stream of arrivals as watch events.
+
+    Spark lists files already present when the query starts; the watcher
+    does not process those, so rows older than ``start`` (a timestamp,
+    default: now) are dropped. Content is not selected here.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    stream = (
+        spark.readStream.format("binaryFile").schema(schema)
+        .option("recursiveFileLookup", str(recursive).lower()).load(root)
+    )
+    start_col = F.current_timestamp() if start is None else F.lit(start).cast("timestamp")
+    return stream.where(F.col("modificationTime") >= start_col).select(
+        F.col("modificationTime").alias("ts"), F.lit("created").alias("event_type"),
+        F.regexp_replace("path", "^file:", "").alias("path"), F.lit(False).alias("is_directory"))
+
+
 def accept(path: str, root: str, extensions: list[str] = SUPPORTED_EXTENSIONS):
     """``(accepted, reason)`` columns for watch events."""
     p = F.col(path)
@@ -79,32 +97,36 @@ def settle(events: DataFrame, delay_seconds: float = WATCH_SETTLE_SECONDS) -> Da
         "append", GroupStateTimeout.NoTimeout)
 
 
-def _dedup_fn(ttl_ms: int | None):
+def _dedup_fn(ttl_us: int | None):
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = state.get[0] if state.exists else None
+        first, first_ts = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts_us", "event_id"], kind="stable")
         out = []
-        for path, event_id in zip(rows["path"], rows["event_id"]):
+        for path, event_id, ts_us in zip(rows["path"], rows["event_id"], rows["ts_us"]):
+            if first is not None and ttl_us is not None and int(ts_us) - first_ts > ttl_us:
+                first = None                       # the remembered hash has expired
             if first is None:
-                first = path
+                first, first_ts = path, int(ts_us)
                 out.append((path, int(event_id), False, None))
             else:
                 out.append((path, int(event_id), True, first))
-        state.update((first,))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
+        state.update((first, first_ts))
         yield pd.DataFrame(out, columns=["path", "event_id", "is_duplicate", "original_path"])
     return fn
 
 
 def dedup(files: DataFrame, ttl_seconds: float | None = None) -> DataFrame:
-    """``(path, event_id, is_duplicate, original_path)`` keyed by ``content_hash``."""
-    ttl_ms = None if ttl_seconds is None else int(ttl_seconds * 1000)
-    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    """``(path, event_id, is_duplicate, original_path)`` keyed by ``content_hash``.
+
+    ``files(content_hash, path, event_id, ts_us)``. With ``ttl_seconds`` a hash
+    is forgotten once an event arrives that much (event time) after its first
+    file; the default, like the watcher, never forgets.
+    """
+    ttl_us = None if ttl_seconds is None else int(ttl_seconds * 1_000_000)
     keyed = files.select("content_hash", "path", "event_id", "ts_us")
     return keyed.groupBy("content_hash").applyInPandasWithState(
-        _dedup_fn(ttl_ms), "path string, event_id long, is_duplicate boolean, original_path string",
-        "first_path string", "append", timeout)
+        _dedup_fn(ttl_us), "path string, event_id long, is_duplicate boolean, original_path string",
+        "first_path string, first_ts_us long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, out_path: str, checkpoint: str,

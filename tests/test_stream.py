@@ -40,3 +40,28 @@ def test_filter(spark):
     df = spark.createDataFrame(rows, "path string, is_directory boolean").withColumn("ts", F.current_timestamp())
     got = {r["path"]: r["accepted"] for r in watch.filter_events(df, "watch").collect()}
     assert got == {"watch/a.txt": True, "watch/sub/b.txt": False, "watch/c.bmp": False, "watch/D.PDF": True}
+
+
+def test_folder_source_skips_files_present_before_start(spark, tmp_path):
+    import os
+    import time
+
+    root = tmp_path / "inbox"
+    root.mkdir()
+    (root / "old.txt").write_text("old")
+    os.utime(root / "old.txt", (time.time() - 3600, time.time() - 3600))
+    (root / "new.txt").write_text("new")
+    start = dt.datetime.fromtimestamp(time.time() - 600, tz=dt.timezone.utc).replace(tzinfo=None)
+    events = watch.folder_events(spark, str(root), start=start)
+    base = scratch_path(spark, f"t-folder-{uuid.uuid4().hex}")
+    watch.run_to_table(watch.filter_events(events, str(root)), f"{base}/out", f"{base}/ckpt")
+    got = {os.path.basename(r["path"]): r["accepted"] for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {"new.txt": True}
+
+
+def test_dedup_with_ttl_runs(spark):
+    hour = 3_600_000_000
+    rows = [("h1", "w/a.txt", 1, 10), ("h1", "w/b.txt", 2, 20), ("h1", "w/c.txt", 3, 2 * hour)]
+    df = spark.createDataFrame(rows, "content_hash string, path string, event_id long, ts_us long")
+    out = run(spark, df, lambda s: watch.dedup(s, ttl_seconds=3600))
+    assert sorted((r["event_id"], r["is_duplicate"]) for r in out.collect()) == [(1, False), (2, True), (3, False)]
