@@ -2,8 +2,9 @@
 
 Config: the categories are the document languages in sorted order plus the
 fallback; each has two keyword sentences made from its language name. The
-validation fixture adds a category without training data and an extension
-without its dot. The edit fixture adds, deletes and re-keys categories.
+validation fixture adds, per language, a category without training data
+(the upper-cased code) and an extension without its dot (the code). The edit
+fixture adds, deletes and re-keys categories.
 """
 
 from __future__ import annotations
@@ -26,13 +27,18 @@ def write_config(spark, sf_dir, broken: bool = False) -> str:
     langs = read_table(spark, sf_dir, "documents").select("lang").distinct()
     # one row: the sorted language codes (bounded by the number of languages)
     cats = langs.agg(F.array_sort(F.collect_list("lang")).alias("langs"))
-    extra = [F.lit("Spam")] if broken else []
-    cat_list = F.concat("langs", F.array(*extra, F.lit(O.FALLBACK_CATEGORY)))
+    # broken variant: an upper-cased copy of every language as a category without
+    # training data, and every language code as an extension without its dot
+    upper = F.transform("langs", lambda c: F.upper(c))
+    cat_list = (F.concat("langs", upper, F.array(F.lit(O.FALLBACK_CATEGORY))) if broken
+                else F.concat("langs", F.array(F.lit(O.FALLBACK_CATEGORY))))
     names = F.transform(F.concat("langs", F.array(F.lit(O.FALLBACK_CATEGORY))), lambda c: F.struct(
         c.alias("key"),
         F.array(F.concat(language_name(c), F.lit(" documents")),
                 F.concat(F.lit("texts written in "), language_name(c))).alias("value")))
-    exts = [F.lit(e) for e in O.SUPPORTED_EXTENSIONS] + ([F.lit("txt")] if broken else [])
+    exts = F.array(*[F.lit(e) for e in O.SUPPORTED_EXTENSIONS])
+    if broken:
+        exts = F.concat(exts, F.col("langs"))
     doc = cats.select(
         cat_list.alias("categories"),
         F.map_from_entries(names).alias("training_data"),
@@ -40,7 +46,7 @@ def write_config(spark, sf_dir, broken: bool = False) -> str:
         F.struct(F.lit(O.NB_CONFIDENCE_THRESHOLD).alias("confidence_threshold"),
                  F.array(*[F.lit(n) for n in O.NGRAM_RANGE]).alias("ngram_range"),
                  F.lit(O.NB_ALPHA).alias("naive_bayes_alpha")).alias("classifier"),
-        F.struct(F.array(*exts).alias("supported_extensions"), F.lit(O.FALLBACK_CATEGORY).alias("fallback_category"),
+        F.struct(exts.alias("supported_extensions"), F.lit(O.FALLBACK_CATEGORY).alias("fallback_category"),
                  F.lit(False).alias("recursive")).alias("organizer"),
     )
     path = scratch_path(spark, f"config-{uuid.uuid4().hex}")
@@ -72,8 +78,9 @@ def taxonomy_load(spark, sf_dir):
 
 
 @query("taxonomy_validate", """
-SELECT 'missing_training' AS rule, 'Spam' AS item
-UNION ALL SELECT 'bad_extension', 'txt'""")
+WITH langs AS (SELECT DISTINCT lang FROM documents)
+SELECT 'missing_training' AS rule, upper(lang) AS item FROM langs
+UNION ALL SELECT 'bad_extension', lang FROM langs""")
 def taxonomy_validate(spark, sf_dir):
     t = tx.load_config(spark, write_config(spark, sf_dir, broken=True))
     return tx.violations(t)
