@@ -1,7 +1,8 @@
 """Vector top-k search over an index table.
 
 Exact search: every index item is scored against every query of a batch.
-The query batch is broadcast as one row (bounded: the caller's batch), each
+The query batch is broadcast as one row (its size is counted first and large
+batches are searched in hash chunks), each
 index row computes its scores in-row, keeps those at or above ``min_score``
 (tested unrounded), and the per-query top-k is a ``row_number`` filter that
 Spark turns into a partial ``WindowGroupLimit`` before the shuffle, so each
@@ -34,19 +35,39 @@ def _query_row(queries: DataFrame) -> DataFrame:
     )
 
 
-def search_batch(index: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+def search_batch(index: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(),
+                 max_batch: int = MAX_QUERY_BATCH) -> DataFrame:
     """``(query_id, rank, path, filename, category, score_pct, preview)``.
 
     ``index(path, filename, category, preview, embedding)``; queries carry an
     optional ``category_filter`` (null or empty = no filter), applied before
     scoring. Queries must already exclude blank texts (E8); an empty index
     gives no rows by construction.
+
+    The query batch is broadcast as one row, so its size is checked first: a
+    batch over ``max_batch`` queries is split by a hash of ``query_id`` into
+    chunks of about that size, each scanned against the index, and the results
+    are unioned (a query's top-k never spans chunks).
     """
+    n = queries.count()
+    if n <= max_batch:
+        return _search_chunk(index, queries, options)
+    chunks = -(-n // max_batch)
+    parts = [
+        _search_chunk(index, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == i), options)
+        for i in range(chunks)
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _search_chunk(index: DataFrame, queries: DataFrame, options: SearchOptions) -> DataFrame:
     qrow = _query_row(queries)
     scored = (
         index.select("path", "filename", "category", "preview", F.col("embedding").cast("array<double>").alias("_e"))
         .crossJoin(F.broadcast(qrow))
-        .where(F.col("_n_queries") <= MAX_QUERY_BATCH)
         .select(
             "path", "filename", "category", "preview",
             F.inline(F.transform(

@@ -38,3 +38,10 @@ def test_blank_query_and_empty_index(spark):
     assert search.queries_from_text(q, "id", "text", "v").count() == 0
     empty = index(spark).limit(0)
     assert search.search(empty, [1.0, 0.0]).count() == 0
+
+
+def test_large_batch_is_chunked(spark):
+    qs = spark.createDataFrame([(i, [1.0, float(i) / 10]) for i in range(7)], "query_id bigint, qvec array<double>")
+    whole = sorted(search.search_batch(index(spark), qs).collect())
+    chunked = sorted(search.search_batch(index(spark), qs, max_batch=2).collect())
+    assert whole == chunked and len(whole) > 0
