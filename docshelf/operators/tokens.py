@@ -52,8 +52,8 @@ def ngrams(toks: Column, ngram_range: tuple[int, int]) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def term_counts(sorted_grams: Column) -> Column:
-    """``array<struct<term, tf>>``, one entry per distinct gram, counted in-row.
+def run_starts(sorted_grams: Column) -> Column:
+    """Positions where a new distinct gram starts in a sorted gram array.
 
     ``sorted_grams`` must be a column reference holding a sorted array.
     """
@@ -86,7 +86,7 @@ def doc_terms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cols = [id_col, *keep]
     step = df.select(*cols, tokens(text_col, stop_words).alias("_tok"))
     step = step.select(*cols, F.array_sort(ngrams(F.col("_tok"), ngram_range)).alias("_grams"))
-    step = step.select(*cols, "_grams", term_counts(F.col("_grams")).alias("_starts"))
+    step = step.select(*cols, "_grams", run_starts(F.col("_grams")).alias("_starts"))
     return step.select(*cols, F.inline(_run_lengths(step, "_starts", "_grams")))
 
 

@@ -1,8 +1,8 @@
 """Reading the input tables.
 
 ``read_table`` is a plain Parquet scan (filters and column pruning reach the
-scan). Text-heavy tables get one extra rule: when a table comes in fewer
-files than the session has cores, its rows are spread round-robin so per-row
+scan). Text-heavy tables get one extra rule: when a table's scan has fewer
+splits than the session has cores, its rows are spread round-robin so per-row
 work (regex, tokenising) uses every core. On a cluster reading many files the
 rule never fires and the scan's own splits are kept.
 """
@@ -24,14 +24,13 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def spread_rows(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cores when the input has too few files."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    try:
-        n_files = len(df.inputFiles())
-    except Exception:  # not a file scan
-        return df
-    if n_files >= cores:
+    """Round-robin the rows over the cores when the scan has fewer splits than cores.
+
+    Only the split count is asked for (planning, no job, no file list on the
+    driver); a large table has far more splits than cores and is left as is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 

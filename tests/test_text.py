@@ -51,3 +51,14 @@ def test_previews(spark):
     assert one(spark, T.char_preview_web("s"), "short text") == "short text"
     assert one(spark, T.char_preview_desktop("s"), "x" * 301) == "x" * 300 + "…"
     assert one(spark, T.char_preview_desktop("s"), "  abc  ") == "abc"
+
+
+def test_in_row_term_counts_equal_explode_group_by(spark):
+    from docshelf.operators.tokens import doc_terms, doc_terms_shuffled
+
+    rows = [(1, "The cat sat on the mat, the cat!"), (2, ""), (3, "a"), (4, "Über über ÜBER naïve café café")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    a = sorted(doc_terms(df).collect())
+    b = sorted(doc_terms_shuffled(df).collect())
+    assert a == b
+    assert ("cat sat" in {r["term"] for r in a}) and all(r["tf"] >= 1 for r in a)
