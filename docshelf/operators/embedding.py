@@ -41,11 +41,13 @@ def _proto_row(protos: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, protos: DataFrame, id_col: str, vec_col: str = "embedding",
              low_threshold: float = EMBEDDING_LOW_THRESHOLD) -> DataFrame:
     """``(id, category, confidence_pct, is_low)``; ties go to the first category in order."""
+    n_protos = protos.count()            # bounded by the taxonomy; checked before broadcasting
+    if n_protos > MAX_PROTOTYPES:
+        raise ValueError(f"{n_protos} prototypes: the table is broadcast and must stay under {MAX_PROTOTYPES}")
     row = _proto_row(protos)
     normed = with_normalised(docs.select(id_col, vec_col), vec_col, "_u")
     sims = (
         normed.crossJoin(F.broadcast(row))
-        .where(F.col("_n_protos") <= MAX_PROTOTYPES)
         .select(id_col, F.transform("_protos", lambda p: F.struct(p["category"].alias("category"),
                                                                  dot(F.col("_u"), p["proto"]).alias("sim"))).alias("_s"))
     )

@@ -39,8 +39,8 @@ from ..session import materialize
 from .skew import lookup_join
 from .tokens import doc_terms
 
-# The taxonomy bounds the number of classes; the class table is broadcast
-# only below this size and the scoring refuses larger label sets.
+# The taxonomy bounds the number of classes; the class table is broadcast,
+# so fitting refuses label sets above this size.
 MAX_CLASSES = 10_000
 
 
@@ -129,6 +129,9 @@ def fit(samples: DataFrame, options: NBOptions = NBOptions()) -> NBModel:
         ),
         "nb-classes",
     )
+    n_classes = classes.count()          # a few rows: the written class table
+    if n_classes > MAX_CLASSES:
+        raise ValueError(f"{n_classes} labels: the class table is broadcast and must stay under {MAX_CLASSES}")
     return NBModel(classes=classes, terms=terms, options=options)
 
 
