@@ -119,3 +119,21 @@ def test_salted_scoring_equals_broadcast(spark):
     finally:
         skew.BROADCAST_LIMIT = old
     assert a == b
+
+
+def test_salted_fit_matches_direct_formulas(spark):
+    """Both joins on term (fit and score) on the salted shuffle path, as beyond the broadcast limit."""
+    from docshelf.operators import skew
+
+    samples = spark.createDataFrame([(i, t, l, 1) for i, t, l in TRAIN], "sample_id bigint, text string, label string, weight int")
+    docs = spark.createDataFrame(TESTS, "doc_id bigint, text string")
+    old = skew.BROADCAST_LIMIT
+    try:
+        skew.BROADCAST_LIMIT = -1
+        model = nb.fit(samples, NBOptions(term_salt=3))
+        got = {r["doc_id"]: (r["category"], r["confidence_pct"], r["is_low"]) for r in nb.classify(model, docs).collect()}
+    finally:
+        skew.BROADCAST_LIMIT = old
+    want = brute(TRAIN, TESTS)
+    for d in want:
+        assert got[d][0] == want[d][0] and abs(got[d][1] - want[d][1]) <= 0.1 and got[d][2] == want[d][2]
