@@ -31,10 +31,6 @@ def query(name: str, sql: str | Callable[[], str] | None = None):
 
 def load_all() -> None:
     """Import every query module (registration happens on import)."""
-    from . import q_dedup_text, q_classify  # noqa: F401
-    for mod in ("q_search", "q_plan", "q_history", "q_taxonomy", "q_stream", "q_sources"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as exc:
-            if exc.name != f"{__package__}.{mod}":
-                raise
+    from . import (  # noqa: F401
+        q_classify, q_dedup_text, q_history, q_plan, q_search, q_sources, q_stream, q_taxonomy,
+    )

@@ -10,7 +10,7 @@ from ..operators import dedup
 from ..operators.tokens import doc_terms
 from ..sources.tables import documents_as_files, read_table
 from .catalog import query
-from .sqltext import WORD_RE_SQL, blank_sql, file_path_sql, term_counts_ctes, words_sql
+from .sqltext import blank_sql, file_path_sql, term_counts_ctes, words_sql
 
 FILES_SQL = f"SELECT doc_id, {file_path_sql()} AS path, text, lang, md5(text) AS content_hash FROM documents"
 
