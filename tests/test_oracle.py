@@ -6,12 +6,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from docshelf.plans.catalog import QUERIES as CATALOG
+from docshelf.plans.catalog import load_all
 from docshelf.sources.tables import TABLES
 
 from .conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+load_all()
+QUERIES = {k: v for k, v in E.queries().items() if k in CATALOG}
+ORACLE = {k: v for k, v in E.oracle_sql().items() if k in CATALOG}
 
 
 def _norm(v):
