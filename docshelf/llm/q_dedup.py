@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_groups
+from .minhash_bayes import near_duplicates
 from .queries import query
 
 
@@ -19,3 +20,8 @@ from .queries import query
 """)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
+
+
+@query("op7_minhash_near_dedup")
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).drop("row_key")

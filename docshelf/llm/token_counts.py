@@ -40,7 +40,7 @@ WORD_LIMIT = 400_000      # remembered words per Python worker
 INFINITE = 1 << 60
 
 # Fixed value: the white space characters (Unicode White_Space) at which pre-tokens end.
-WHITE_SPACE = set("\t\n\x0b\x0c\r \x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
+WHITE_SPACE = set("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 # Fixed value: contraction endings that form a pre-token after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 ASCII_SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
