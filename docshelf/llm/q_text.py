@@ -9,6 +9,8 @@ from .common import documents
 from .language_svm import fit, predicted
 from .queries import query
 from .secret_scan import secret_spans
+from .semi_crf import fit as fit_field
+from .semi_crf import personal_spans
 from .token_counts import token_counts
 
 
@@ -34,3 +36,9 @@ def op5_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_secret_scan")
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(documents(spark, sf_dir))
+
+
+@query("op8_semi_crf_pii")
+def op8_semi_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return personal_spans(docs, fit_field(docs))
