@@ -8,6 +8,7 @@ from .common import documents
 from .exact_dedup import exact_groups
 from .minhash_bayes import near_duplicates
 from .queries import query
+from .substring_dedup import remove_repeats
 
 
 @query("op9_exact_dedup", sql="""
@@ -25,3 +26,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_minhash_near_dedup")
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("row_key")
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
