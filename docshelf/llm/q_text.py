@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .language_svm import fit, predicted
+from .piece_sampling import sampled_pieces
 from .queries import query
 from .secret_scan import secret_spans
 from .semi_crf import fit as fit_field
@@ -42,3 +43,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_semi_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return personal_spans(docs, fit_field(docs))
+
+
+@query("op10_piece_sampling")
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces(documents(spark, sf_dir))
