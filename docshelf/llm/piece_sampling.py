@@ -65,32 +65,38 @@ class Pieces:
     def learn(self, unit: str) -> int:
         """Add the lattice of a unit; its last node. A node n has edges with cumulative n .. n + 1."""
         n, base, found = len(unit), self.nodes, self.found
-        sums, ends = [1.0] + [0.0] * n, [[] for _ in range(n + 1)]
+        ends: list = [[] for _ in range(n + 1)]
+        cumulative, step_back, piece = [], [], []
+        now = 1.0                                    # forward sum of node i
         for i in range(n + 1):
             if i:
                 if unit[i - 1] not in self.weight:
                     # no piece of its own: written as bytes, marked by the negative code point
-                    ends[i].append((sums[i - 1] * 1e-6, 1, -1 - ord(unit[i - 1])))
-                sums[i] = total = sum(e[0] for e in ends[i])
-                at, node = 0.0, base + i
-                for weight, back, piece in ends[i]:
-                    at += weight / total
-                    self.cumulative.append(node + at if at < 1.0 else node + 1.0)
-                    self.step_back.append(back)
-                    self.piece.append(piece)
-                self.cumulative[-1] = node + 1.0
+                    ends[i].append((now * 1e-6, 1, -1 - ord(unit[i - 1])))
+                now = 0.0
+                for weight, _, _ in ends[i]:
+                    now += weight
+                at, top = base + i + 0.0, base + i + 1.0
+                for weight, back, hit in ends[i]:
+                    at += weight / now
+                    cumulative.append(at if at < top else top)
+                    step_back.append(back)
+                    piece.append(hit)
+                cumulative[-1] = top
                 ends[i] = ()
-                if total < 1e-200:                   # rescale long lattices: only ratios count
-                    sums[i] = 1.0
+                if now < 1e-200:                     # rescale long lattices: only ratios count
                     for k in range(i + 1, min(n, i + self.longest) + 1):
-                        ends[k] = [(w / total, b, p) for w, b, p in ends[k]]
-            now = sums[i]
+                        ends[k] = [(w / now, b, p) for w, b, p in ends[k]]
+                    now = 1.0
             for j in range(i + 1, n + 1):
                 hit = found.get(unit[i:j], 0)
                 if hit == 0:
                     break
                 if hit is not None:
                     ends[j].append((now * hit[0], j - i, hit[1]))
+        self.cumulative.extend(cumulative)
+        self.step_back.extend(step_back)
+        self.piece.extend(piece)
         self.nodes += n + 1
         if n <= UNIT_CHARS:
             self.units[unit] = base + n
