@@ -304,3 +304,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", "n_shingles",
         F.when(alone, F.col("doc_id")).otherwise(F.col("top.id")).alias("component_id"),
         (alone | (F.col("row_key") == F.col("top.key"))).alias("kept"), "row_key")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     opts: MinHashOptions = MinHashOptions()) -> DataFrame:
+    """``docs`` with one row of each group of near copies (that of the smallest id), all columns unchanged."""
+    gone = near_duplicates(docs, id_col, text_col, opts).where("not kept").select(F.col("row_key").alias("__row_key"))
+    return (docs.withColumn("__row_key", F.monotonically_increasing_id()).join(gone, "__row_key", "left_anti")
+            .drop("__row_key"))
