@@ -4,6 +4,8 @@
 partition. Here the rows are range-sorted in parallel, each partition counts
 its rows, the (tiny) per-partition counts become offsets, and each row's
 ordinal is its partition's offset plus its position inside the partition.
+The sorted rows are written with their partition and position, so a lost
+executor cannot change them between the two reads.
 """
 
 from __future__ import annotations
@@ -11,17 +13,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _LOCAL_MASK = (1 << 33) - 1
 
 
 def with_row_number(df: DataFrame, order_cols: list, out: str = "row_no") -> DataFrame:
     """``df`` plus a 1-based ordinal in ``order_cols`` order (keys should be unique)."""
-    sorted_df = (
+    sorted_df = materialize(
         df.orderBy(*order_cols)
         .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .persist()
-    )
+        .withColumn("_mid", F.monotonically_increasing_id()), "ordinal")
     counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: bounded by the partition count, safe to broadcast
     offsets = counts.select(
@@ -46,13 +48,11 @@ def with_group_row_number(df: DataFrame, group_cols: list[str], order_cols: list
     partition is the count of its rows in earlier partitions. The
     (partition, group) table has at most partitions + groups rows.
     """
-    sorted_df = (
+    sorted_df = materialize(
         df.repartitionByRange(*[F.col(c) for c in group_cols], *order_cols)
         .sortWithinPartitions(*[F.col(c) for c in group_cols], *order_cols)
         .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .persist()
-    )
+        .withColumn("_mid", F.monotonically_increasing_id()), "group-ordinal")
     parts = sorted_df.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("_pid", *group_cols, "_first",

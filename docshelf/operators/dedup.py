@@ -42,7 +42,8 @@ def first_per_hash(df: DataFrame, hash_col: str = "content_hash", order_col: str
 def mark_duplicates(df: DataFrame, hash_col: str = "content_hash", order_col: str = "doc_id",
                     path_col: str = "path", salt_buckets: int = DEFAULT_SALT) -> DataFrame:
     """Add ``is_duplicate`` and ``original_path`` (null unless a duplicate)."""
-    firsts = first_per_hash(df, hash_col, order_col, path_col).drop("n_copies")
+    # a hash seen once is never a duplicate: only the others travel, and only they are replicated
+    firsts = first_per_hash(df, hash_col, order_col, path_col).where("n_copies > 1").drop("n_copies")
     joined = salted_lookup(df, firsts, [hash_col], [order_col], salt_buckets, how="left")
     is_dup = F.coalesce(F.col(order_col) != F.col("first_order"), F.lit(False))
     return (
@@ -91,7 +92,9 @@ def check_against_registry(batch: DataFrame, registry: DataFrame, hash_col: str
     first, else the first path in the batch.
     """
     marked = mark_duplicates(batch, hash_col, order_col, path_col, salt_buckets)
-    reg = registry.select(hash_col, F.col("first_path").alias("_reg_path"))
+    # of the registry only the batch's hashes are replicated
+    present = batch.where(F.col(hash_col).isNotNull()).select(hash_col).distinct()
+    reg = registry.select(hash_col, F.col("first_path").alias("_reg_path")).join(present, [hash_col], "left_semi")
     joined = salted_lookup(marked, reg, [hash_col], [order_col], salt_buckets, how="left")
     known = F.col("_reg_path").isNotNull()
     return (

@@ -63,22 +63,27 @@ def training_samples(df: DataFrame, id_col: str, text_col: str, label_col: str,
 
 
 def with_corrections(samples: DataFrame, corrections: DataFrame, categories: DataFrame | None = None,
-                     weight: int = CORRECTION_WEIGHT, cut: bool = True) -> DataFrame:
+                     weight: int = CORRECTION_WEIGHT) -> DataFrame:
     """Training samples plus corrections counted ``weight`` times.
 
     ``corrections(sample_id, text, label)``; corrections naming a category
-    outside ``categories(category)`` are ignored (D11). Corrections are stored
-    cut to 500 characters, and the cut text is what trains.
+    outside ``categories(category)`` are ignored (D11). The whole text trains;
+    only what is kept for later runs is cut (:func:`stored_corrections`).
     """
     c = corrections
     if categories is not None:
         c = c.join(categories.select(F.col("category").alias("label")), ["label"], "left_semi")
-    text = F.substring("text", 1, CORRECTION_TEXT_CHARS) if cut else F.col("text")
-    c = c.select(F.col("sample_id").cast("bigint"), text.alias("text"), F.col("label").cast("string"),
+    c = c.select(F.col("sample_id").cast("bigint"), "text", F.col("label").cast("string"),
                  F.lit(weight).cast("int").alias("weight"))
     return samples.unionByName(c)
 
 
+def stored_corrections(corrections: DataFrame) -> DataFrame:
+    """``(text, label)`` as written to the config: cut to 500 characters, blank ones left out."""
+    return corrections.where(~is_blank("text")).select(
+        F.substring("text", 1, CORRECTION_TEXT_CHARS).alias("text"), "label")
+
+
 def fit(samples: DataFrame, options: NBOptions = NBOptions()) -> NBModel:
     """Fit the model tables from ``samples(sample_id, text, label, weight)``.
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.ordinal import with_group_row_number
 from ..functions.text import base_name, sanitise_name, stem, stripped_length_at_least, suffix
 from ..options import RENAME_MIN_CHARS, RESTORED_SUFFIX
-
+from ..session import materialize
 
 
 def proposed_name(original: str, text: str, raw: str, enabled: bool = True):
@@ -58,11 +58,13 @@ def _greedy(pdf: pd.DataFrame, sep: str) -> pd.DataFrame:
     taken = set(pdf.loc[pdf["_existing"], "_name"])
     req = pdf.loc[~pdf["_existing"]].sort_values("_order", kind="stable")
     out = []
+    next_k: dict[str, int] = {}      # a number once taken stays taken, so each search goes on from the last
     for rid, name, stem_, sfx in zip(req["_rid"], req["_name"], req["_stem"], req["_sfx"]):
         if name in taken:
-            k = 1
+            k = next_k.get(stem_, 1)
             while f"{stem_}{sep}{k}{sfx}" in taken:
                 k += 1
+            next_k[stem_] = k + 1
             name = f"{stem_}{sep}{k}{sfx}"
         taken.add(name)
         out.append((rid, name))
@@ -80,9 +82,9 @@ def plan_names(requests: DataFrame, existing: DataFrame | None, dir_col: str = "
     spark = requests.sparkSession
     if existing is None:
         existing = spark.createDataFrame([], f"{dir_col} string, {name_col} string")
-    # cached once: the requests are read by both paths, and the row ids must be
-    # the same for every reader (monotonically_increasing_id is per computation)
-    base = _family_cols(requests.withColumn("_rid", F.monotonically_increasing_id()), name_col, sep).persist()
+    # written once: both paths read the requests, and the row ids must be the same for every reader
+    base = materialize(_family_cols(requests.withColumn("_rid", F.monotonically_increasing_id()), name_col, sep),
+                       "name-requests")
     ex = _family_cols(existing.select(dir_col, name_col).distinct(), name_col, sep)
     fam = [dir_col, "_root", "_sfx"]
     # families needing the exact path: any numbered stem among requests or existing names

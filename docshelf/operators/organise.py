@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import HISTORY_SCHEMA_VERSION
+from ..session import materialize
 from . import dedup
 from . import naive_bayes as nb
 from .naming import destination_plan, proposed_name
@@ -35,8 +36,9 @@ def organise(files: DataFrame, model: nb.NBModel, root: str, proposals: DataFram
     hashed = dedup.with_content_hash(files)
     marked = dedup.mark_duplicates(hashed.select("doc_id", "path", "content_hash"))
     duplicates = marked.where("is_duplicate")
-    # read twice (scored, then joined back to its columns): dedup once
-    originals = dedup.keep_originals(hashed).persist()
+    # read twice (scored, then joined back to its columns): only the keys are kept, the texts are scanned again
+    firsts = materialize(dedup.keep_originals(hashed.select("doc_id", "path", "content_hash")).select("doc_id"), "originals")
+    originals = hashed.join(firsts, ["doc_id"], "left_semi")
     classified = nb.classify(model, originals.select("doc_id", "text"))
     res = originals.join(classified, ["doc_id"])
     if proposals is not None and rename and not dry_run:

@@ -4,20 +4,19 @@ Nothing is moved: the output is a restore plan and its statistics. Record
 order is the history ``seq``. One run may hold a large share of all records,
 so nothing below groups a whole run into one task: run-level facts are
 partial aggregates, orderings are distributed (:mod:`..functions.ordinal`)
-and chains are resolved by iterative joins on ``(run_id, path)``.
+and chains are resolved by doubling joins on ``(run_id, seq)``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordinal import with_row_number
 from ..functions.text import base_name
+from ..session import materialize
 from .naming import restore_plan
 
-MAX_CHAIN_STEPS = 64
-
 
 def latest_run(records: DataFrame) -> DataFrame:
     """H1: one row, the run id of the last record."""
@@ -58,45 +57,56 @@ def undo_decision(records: DataFrame, inventory: DataFrame) -> DataFrame:
     return j.withColumn("decision", decision).drop("_present")
 
 
-def resolve_chains(records: DataFrame) -> DataFrame:
-    """H5: net moves of chained records within a run.
-
-    A record continues an earlier one of the same run when its source is the
-    earlier record's destination (rename then move). Returns one row per
-    chain: ``run_id, head_seq, tail_seq, original_path, final_path,
-    final_hash, steps``. Chains are followed by repeated joins, one step per
-    iteration, each a shuffle join on ``(run_id, path)`` keys that are
-    unique per file, so no group grows with the run.
+def chain_links(records: DataFrame) -> DataFrame:
+    """``run_id, seq, next_seq``: the record that goes on from each record, or null.
+
+    A record goes on from the latest earlier record of its run that ended at its source path; when
+    several claim the same one, the first does. Every record has at most one record before it and
+    one after it, so a path filled twice gives two chains and no file is restored twice.
     """
-    r = records.select("run_id", "seq", "source_path", "destination_path", "destination_hash")
-    nxt = r.select(F.col("run_id").alias("_nrun"), F.col("source_path").alias("_link"), F.col("seq").alias("_nseq"))
-    # successor: the first later record of the run whose source is this destination
-    succ = (
-        r.join(nxt, (F.col("run_id") == F.col("_nrun")) & (F.col("destination_path") == F.col("_link"))
-               & (F.col("_nseq") > F.col("seq")), "left")
-        .groupBy("run_id", "seq").agg(F.min("_nseq").alias("next_seq"))
+    ends = records.select("run_id", F.col("destination_path").alias("path"), "seq", F.lit(1).alias("arrives"))
+    starts = records.select("run_id", F.col("source_path").alias("path"), "seq", F.lit(0).alias("arrives"))
+    earlier = Window.partitionBy("run_id", "path").orderBy("seq", "arrives").rowsBetween(Window.unboundedPreceding, -1)
+    claims = (
+        ends.unionByName(starts)
+        .withColumn("before", F.last(F.when(F.col("arrives") == 1, F.col("seq")), ignorenulls=True).over(earlier))
+        .where("arrives = 0 and before is not null")
+        .groupBy("run_id", F.col("before").alias("seq")).agg(F.min("seq").alias("next_seq"))
     )
-    has_pred = succ.where(F.col("next_seq").isNotNull()).select("run_id", F.col("next_seq").alias("seq"))
-    heads = succ.join(has_pred, ["run_id", "seq"], "left_anti").select("run_id", F.col("seq").alias("head_seq"))
-    links = succ.select("run_id", "seq", "next_seq")
-    cur = heads.withColumn("tail_seq", F.col("head_seq")).withColumn("steps", F.lit(1))
-    for _ in range(MAX_CHAIN_STEPS):
-        step = cur.join(links.withColumnRenamed("seq", "tail_seq"), ["run_id", "tail_seq"], "left")
-        pending = step.where(F.col("next_seq").isNotNull())
-        if pending.limit(1).count() == 0:
-            cur = step.drop("next_seq")
-            break
-        cur = step.select(
-            "run_id", "head_seq",
-            F.coalesce("next_seq", "tail_seq").alias("tail_seq"),
-            (F.col("steps") + F.col("next_seq").isNotNull().cast("int")).alias("steps"),
-        ).checkpoint(eager=True)
+    return records.select("run_id", "seq").join(claims, ["run_id", "seq"], "left")
+
+
+def resolve_chains(records: DataFrame) -> DataFrame:
+    """H5: net moves of chained records within a run, whatever their length.
+
+    Returns one row per chain: ``run_id, head_seq, tail_seq, original_path, final_path, final_hash,
+    steps``. Chains are followed by pointer doubling: each round doubles the distance every record
+    looks ahead, so the rounds grow with the logarithm of the longest chain; each is one join on
+    ``(run_id, seq)``, which is unique, and its result is written.
+    """
+    r = materialize(records.select("run_id", "seq", "source_path", "destination_path", "destination_hash"), "undo-records")
+    links = materialize(chain_links(r), "undo-links")
+    after = links.where("next_seq is not null").select("run_id", F.col("next_seq").alias("seq"))
+    heads = links.join(after, ["run_id", "seq"], "left_anti").select("run_id", F.col("seq").alias("head_seq"))
+    ahead = materialize(
+        links.select("run_id", "seq", F.coalesce("next_seq", "seq").alias("tail_seq"),
+                     F.when(F.col("next_seq").isNull(), 0).otherwise(1).cast("bigint").alias("jumps")), "undo-ahead")
+    reach = -1
+    while (total := ahead.agg(F.sum("jumps")).first()[0] or 0) != reach:
+        reach = total
+        further = ahead.select("run_id", F.col("seq").alias("tail_seq"), F.col("tail_seq").alias("_tail"),
+                               F.col("jumps").alias("_jumps"))
+        ahead = materialize(
+            ahead.join(further, ["run_id", "tail_seq"])
+            .select("run_id", "seq", F.col("_tail").alias("tail_seq"), (F.col("jumps") + F.col("_jumps")).alias("jumps")),
+            "undo-ahead")
     head = r.select("run_id", F.col("seq").alias("head_seq"), F.col("source_path").alias("original_path"))
     tail = r.select("run_id", F.col("seq").alias("tail_seq"), F.col("destination_path").alias("final_path"),
                     F.col("destination_hash").alias("final_hash"))
-    return cur.join(head, ["run_id", "head_seq"]).join(tail, ["run_id", "tail_seq"]).select(
+    chains = heads.join(ahead.withColumnRenamed("seq", "head_seq"), ["run_id", "head_seq"])
+    return chains.join(head, ["run_id", "head_seq"]).join(tail, ["run_id", "tail_seq"]).select(
         "run_id", "head_seq", "tail_seq", "original_path", "final_path", "final_hash",
-        F.col("steps").cast("bigint").alias("steps"))
+        (F.col("jumps") + 1).alias("steps"))
 
 
 def undo_plan(records: DataFrame, inventory: DataFrame, occupied: DataFrame) -> DataFrame:
@@ -127,12 +137,21 @@ def undo_stats(plan: DataFrame) -> DataFrame:
     )
 
 
-def legacy_plan(moves: DataFrame, root: str, inventory: DataFrame) -> DataFrame:
-    """H8: restore each logged move to ``<root>/<name>``; no hash check."""
+def legacy_plan(moves: DataFrame, root: str, inventory: DataFrame, occupied: DataFrame | None = None) -> DataFrame:
+    """H8: restore each logged move to ``<root>/<name>``, newest first; no hash check.
+
+    A name that ``occupied(path)`` or a newer move holds takes ``stem_restored_N``.
+    """
     inv = inventory.select(F.col("path").alias("dest"), F.lit(True).alias("_present"))
-    j = moves.join(inv, ["dest"], "left")
-    return j.select(
-        "logged_at", "filename", "dest",
-        F.concat(F.lit(root.rstrip("/") + "/"), base_name("dest")).alias("restore_path"),
-        F.when(F.col("_present").isNull(), F.lit("skipped_missing")).otherwise(F.lit("restore")).alias("decision"),
-    )
+    j = moves.join(inv, ["dest"], "left").withColumn(
+        "source_path", F.concat(F.lit(root.rstrip("/") + "/"), base_name("dest")))
+    columns = ["logged_at", "filename", "dest", "restore_path", "decision"]
+    found = with_row_number(j.where("_present").withColumn("decision", F.lit("restore")),
+                            [F.col("logged_at").desc()], "_order")
+    if occupied is None:
+        occupied = moves.select(F.col("dest").alias("path")).limit(0)
+    planned = restore_plan(found, occupied, ["_order"])
+    missing = j.where("_present is null").select(
+        "logged_at", "filename", "dest", F.lit(None).cast("string").alias("restore_path"),
+        F.lit("skipped_missing").alias("decision"))
+    return planned.select(*columns).unionByName(missing)

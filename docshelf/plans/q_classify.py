@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import options as O
 from ..operators import dedup, language, reports
 from ..operators import naive_bayes as nb
+from ..session import materialize
 from ..sources.tables import documents_as_files, read_table
 from .catalog import query
 from .sqltext import file_path_sql, nb_model_ctes, nb_score_ctes, q
@@ -70,7 +71,8 @@ FROM cats FULL OUTER JOIN counts USING (category)"""
 def flagship_classify_report(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     files = dedup.with_content_hash(documents_as_files(docs))
-    originals = dedup.keep_originals(files).persist()
+    firsts = materialize(dedup.keep_originals(files.select("doc_id", "content_hash")).select("doc_id"), "originals")
+    originals = files.join(firsts, ["doc_id"], "left_semi")
     labelled = read_table(spark, sf_dir, "labels").select("doc_id")
     train = nb.training_samples(originals.join(labelled, ["doc_id"], "left_semi"), "doc_id", "text", "category")
     model = nb.fit(train)
@@ -116,7 +118,7 @@ def nb_classify_quality(spark, sf_dir):
 TRAIN_CORRECTED_SQL = f"""SELECT doc_id AS sample_id, text, lang AS label, 1 AS weight FROM documents
   WHERE doc_id IN (SELECT doc_id FROM labels)
 UNION ALL
-SELECT d.doc_id, substr(d.text, 1, {O.CORRECTION_TEXT_CHARS}), {q(O.FALLBACK_CATEGORY)}, {O.CORRECTION_WEIGHT}
+SELECT d.doc_id, d.text, {q(O.FALLBACK_CATEGORY)}, {O.CORRECTION_WEIGHT}
   FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1"""
 
 

@@ -125,10 +125,12 @@ inv AS (
 occ AS (SELECT orig AS path FROM ev WHERE event_type = 'purchase' AND value > 900)"""
 
 _CHAIN_SQL = f"""WITH RECURSIVE {_HIST_SQL},
-succ AS (
-  SELECT a.run_id, a.seq, min(b.seq) AS next_seq
-  FROM hist a LEFT JOIN hist b ON a.run_id = b.run_id AND b.source_path = a.destination_path AND b.seq > a.seq
-  GROUP BY a.run_id, a.seq),
+pred AS (
+  SELECT b.run_id, b.seq AS next_seq, max(a.seq) AS seq
+  FROM hist b JOIN hist a ON a.run_id = b.run_id AND a.destination_path = b.source_path AND a.seq < b.seq
+  GROUP BY b.run_id, b.seq),
+claim AS (SELECT run_id, seq, min(next_seq) AS next_seq FROM pred GROUP BY run_id, seq),
+succ AS (SELECT h.run_id, h.seq, c.next_seq FROM hist h LEFT JOIN claim c ON c.run_id = h.run_id AND c.seq = h.seq),
 heads AS (SELECT run_id, seq FROM succ s
           WHERE NOT EXISTS (SELECT 1 FROM succ p WHERE p.run_id = s.run_id AND p.next_seq = s.seq)),
 chain(run_id, head_seq, tail_seq, steps) AS (
@@ -262,9 +264,15 @@ def legacy_log_parse(spark, sf_dir):
 @query("legacy_plan", f"""WITH {_LOG_SQL},
 inv AS (SELECT 'organised/' || event_type || '/' || fname AS path FROM ev
         WHERE event_type NOT IN ('error', 'signup') AND value >= 10)
-SELECT l.logged_at, l.filename, l.dest, '{ROOT}/' || l.filename AS restore_path,
+SELECT l.logged_at, l.filename, l.dest,
+       CASE WHEN inv.path IS NULL THEN NULL
+            WHEN event_type = 'purchase' AND value > 900
+            THEN '{ROOT}/' || regexp_replace(l.filename, '\\.txt$', '') || '{O.RESTORED_SUFFIX}1.txt'
+            ELSE '{ROOT}/' || l.filename END AS restore_path,
        CASE WHEN inv.path IS NULL THEN 'skipped_missing' ELSE 'restore' END AS decision
 FROM lines l LEFT JOIN inv ON inv.path = l.dest""")
 def legacy_plan(spark, sf_dir):
-    return undo.legacy_plan(legacy_log(spark, sf_dir), ROOT, inventory(spark, sf_dir))
+    names = _event_cols(read_table(spark, sf_dir, "events")).where("event_type = 'purchase' and value > 900")
+    taken = names.select(F.concat(F.lit(f"{ROOT}/"), "fname").alias("path"))
+    return undo.legacy_plan(legacy_log(spark, sf_dir), ROOT, inventory(spark, sf_dir), taken)
 

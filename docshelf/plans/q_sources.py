@@ -123,34 +123,51 @@ def decode_text(spark, sf_dir):
 # Conversation turns as the parts of one file per conversation; user and
 # assistant turns are the text members, system turns are not.
 
-def conversation_parts(spark, sf_dir, text_roles: bool = True):
-    c = read_table(spark, sf_dir, "conversations")
-    if text_roles:
-        c = c.where(F.col("role").isin("user", "assistant"))
+def conversation_parts(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
     return c.select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("path"),
                     F.col("role").alias("kind"), F.col("turn").cast("int").alias("seq"), "text")
 
 
 @query("compose_parts", f"""
-SELECT path, string_agg(t, chr(10) ORDER BY turn) AS text FROM (
+SELECT path, string_agg(t, chr(10) ORDER BY turn) AS text,
+       CAST(max(parts) - count(*) AS BIGINT) AS parts_left_out, CAST(sum(cut) AS BIGINT) AS chars_left_out FROM (
   SELECT 'conv/' || CAST(conv_id AS VARCHAR) AS path, turn, substr(text, 1, {O.ARCHIVE_MEMBER_CHARS}) AS t,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n
+         greatest(0, length(text) - {O.ARCHIVE_MEMBER_CHARS}) AS cut,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS parts
   FROM conversations WHERE role IN ('user', 'assistant'))
 WHERE n <= {O.ARCHIVE_MAX_MEMBERS} GROUP BY path""")
 def compose_parts(spark, sf_dir):
-    return C.compose(conversation_parts(spark, sf_dir), C.ARCHIVE)
-
-
-@query("compose_slides", r"""
-SELECT 'conv/' || CAST(conv_id AS VARCHAR) AS path,
-       string_agg(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), chr(10) ORDER BY turn) AS text
-FROM conversations WHERE regexp_matches(text, '[^\s\p{Z}]') GROUP BY conv_id""")
-def compose_slides(spark, sf_dir):
-    return C.compose(conversation_parts(spark, sf_dir, text_roles=False), C.SLIDES)
-
-
-@query("compose_cells", """
-SELECT 'conv/' || CAST(conv_id AS VARCHAR) AS path, string_agg(text, ' ' ORDER BY turn) AS text
-FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
-def compose_cells(spark, sf_dir):
-    return C.compose(conversation_parts(spark, sf_dir, text_roles=False), C.CELLS)
+    rule = C.capped(C.ARCHIVE, O.ARCHIVE_MAX_MEMBERS, O.ARCHIVE_MEMBER_CHARS)
+    return C.compose(conversation_parts(spark, sf_dir), rule)
+
+
+def _compose_query(name: str, rule: C.Rule, part_sql: str, keep_sql: str, sep: str) -> None:
+    """A preset over all turns; every fifth text is missing and every seventh empty or blank."""
+    sql = f"""
+SELECT path, string_agg({part_sql}, {sep} ORDER BY turn) AS text, CAST(0 AS BIGINT) AS parts_left_out,
+       CAST(0 AS BIGINT) AS chars_left_out
+FROM (SELECT 'conv/' || CAST(conv_id AS VARCHAR) AS path, turn,
+             CASE WHEN (conv_id + turn) % 5 = 0 THEN NULL WHEN (conv_id + turn) % 7 = 0 THEN repeat(' ', CAST(turn % 2 AS INT))
+                  ELSE text END AS text FROM conversations)
+WHERE {keep_sql} GROUP BY path"""
+
+    def run(spark, sf_dir):
+        at = F.col("conv_id") + F.col("turn")
+        c = read_table(spark, sf_dir, "conversations").withColumn(
+            "text", F.when(at % 5 == 0, F.lit(None)).when(at % 7 == 0, F.when(F.col("turn") % 2 == 1, " ").otherwise(""))
+            .otherwise(F.col("text")))
+        parts = c.select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("path"),
+                         F.col("role").alias("kind"), F.col("turn").cast("int").alias("seq"), "text")
+        return C.compose(parts, rule)
+
+    query(name, sql)(run)
+
+
+_compose_query("compose_slides", C.SLIDES, r"regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')",
+               r"regexp_matches(text, '[^\s\p{Z}]')", "chr(10)")
+_compose_query("compose_cells", C.CELLS, "text", "text IS NOT NULL", "' '")
+_compose_query("compose_paragraphs", C.PARAGRAPHS, "text", r"regexp_matches(text, '[^\s\p{Z}]')", "chr(10)")
+_compose_query("compose_pages", C.PAGES, "text", "text <> ''", "chr(10)")
+_compose_query("compose_message", C.MESSAGE, "text", "text <> ''", "chr(10)")
+_compose_query("compose_mail", C.MAIL, "text", "text <> ''", "chr(10)")

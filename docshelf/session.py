@@ -38,7 +38,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.sources.binaryFile.maxLength", str(64 * 1024 * 1024))
     )
     for key, value in SESSION_DEFAULTS.items():
         builder = builder.config(key, value)
@@ -52,12 +51,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator to a shared filesystem and is
-    used as is. Only when it is unset (local tests) do we pick a folder.
+    used as is. Only when it is unset on a local master (tests, bench) do we
+    pick a folder; executors of a cluster would not share it, so there it is
+    an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="docshelf-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():

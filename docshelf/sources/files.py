@@ -71,7 +71,7 @@ def scan_filter(listing: DataFrame, root: str, categories: list[str] | DataFrame
     if isinstance(categories, DataFrame):
         cats = categories.select(F.col("category").alias("_first"))
         df = df.withColumn("_first", F.when(F.size("_parts") > 1, first)) \
-            .join(F.broadcast(cats), ["_first"], "left_anti").drop("_first")
+            .join(cats, ["_first"], "left_anti").drop("_first")
     else:
         df = df.where(~((F.size("_parts") > 1) & first.isin(*categories)))
     return df.drop("_parts")
@@ -84,7 +84,7 @@ def scan_tree(listing: DataFrame, root: str, categories: DataFrame,
     df = listing.withColumn("_parts", parts).where(F.size("_parts") > 1) \
         .withColumn("category", F.col("_parts")[0]).drop("_parts")
     df = df.where(supported("path", extensions))
-    return df.join(F.broadcast(categories.select("category")), ["category"], "left_semi")
+    return df.join(categories.select("category"), ["category"], "left_semi")
 
 
 def extractor_kind(path: str | Column) -> Column:
@@ -105,23 +105,21 @@ def decode_text(content: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(valid, "�", ""), "\r\n?", "\n")
 
 
-def read_texts(spark: SparkSession, root: str, categories: list[str] | DataFrame, recursive: bool = False,
-               max_bytes: int | None = None) -> DataFrame:
-    """A3 for plain-text files: ``(path, filename, ext, text)``.
+def read_texts(spark: SparkSession, root: str, categories: list[str] | DataFrame, recursive: bool = False) -> DataFrame:
+    """A3 for plain-text files: ``(path, filename, ext, text, status)``.
 
-    Other kinds need a part reader (:mod:`.parts`) and :mod:`..operators.compose`;
-    they come back with an empty text here, as unknown kinds do.
+    Files of other kinds need their own parser; they come back with a null text and the status
+    ``unread``, so that a run counts them as errors instead of filing them as blank documents.
     """
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
         .option("pathGlobFilter", suffix_glob()).load(root)
+        .select(_strip_scheme(F.col("path")).alias("path"), "content")
     )
-    if max_bytes is not None:
-        raw = raw.where(F.col("length") <= max_bytes)   # pushed to the listing
-    raw = raw.select(_strip_scheme(F.col("path")).alias("path"), "content")
     files = scan_filter(raw, root, categories, recursive)
-    kind = extractor_kind("path")
+    is_text = extractor_kind("path") == "text"
     return files.select(
         "path", F.element_at(F.split("path", "/"), -1).alias("filename"), extension("path").alias("ext"),
-        F.when(kind == "text", decode_text("content")).otherwise(F.lit("")).alias("text"),
+        F.when(is_text, decode_text("content")).alias("text"),
+        F.when(is_text, "read").otherwise("unread").alias("status"),
     )

@@ -21,6 +21,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,15 +38,20 @@ def folder_events(spark, root: str, start=None, recursive: bool = True) -> DataF
     """J1 for a real folder: a ``binaryFile`` stream of arrivals as watch events.
 
     Spark lists files already present when the query starts; the watcher
-    does not process those, so rows older than ``start`` (a timestamp,
-    default: now) are dropped. Content is not selected here.
+    does not process those, so rows older than ``start`` are dropped. The
+    default is the instant of this call, fixed for all batches; a restarted
+    query passes the instant it kept with its checkpoint. Content is not
+    selected here.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = (
         spark.readStream.format("binaryFile").schema(schema)
         .option("recursiveFileLookup", str(recursive).lower()).load(root)
     )
-    start_col = F.current_timestamp() if start is None else F.lit(start).cast("timestamp")
+    if start is None:
+        now = datetime.now(timezone.utc)
+        start = now.replace(microsecond=now.microsecond // 1000 * 1000)     # file times are milliseconds
+    start_col = F.lit(start).cast("timestamp")
     return stream.where(F.col("modificationTime") >= start_col).select(
         F.col("modificationTime").alias("ts"), F.lit("created").alias("event_type"),
         F.regexp_replace("path", "^file:", "").alias("path"), F.lit(False).alias("is_directory"))

@@ -1,8 +1,5 @@
-"""Raw files (binaryFile), container part readers, CSV export, model choice."""
-import email.message
-import io
+"""Raw files (binaryFile), composed parts, CSV export, model choice."""
 import os
-import zipfile
 
 from pyspark.sql import functions as F
 
@@ -10,7 +7,6 @@ from docshelf.operators import compose as C
 from docshelf.operators import reports
 from docshelf.operators.classify import classify
 from docshelf.sources import files as FS
-from docshelf.sources.parts import archive_members, mail_parts
 
 
 def make_tree(root):
@@ -42,23 +38,27 @@ def test_read_texts_top_and_recursive(spark, tmp_path):
     assert [(r["category"], os.path.basename(r["path"])) for r in tree] == [("Finance", "done.txt")]
 
 
-def test_archive_and_mail_parts(spark):
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        for i in range(12):
-            z.writestr(f"m{i:02d}.txt", ("x" * 2500) if i == 0 else f"member {i}")
-        z.writestr("image.png", b"\x89PNG")
-    msg = email.message.EmailMessage()
-    msg["Subject"] = "Invoice March"
-    msg["From"] = "billing@example.com"
-    msg.set_content("Total due: 42")
-    files = spark.createDataFrame([("a.zip", buf.getvalue()), ("m.eml", msg.as_bytes())], "path string, content binary")
-    members = archive_members(files.where("path = 'a.zip'"))
-    text = C.compose(members, C.ARCHIVE).first()["text"]
-    parts = text.split("\n")
-    assert len(parts) == 10 and parts[0] == "x" * 2000 and parts[1] == "member 1"
-    mail = C.compose(mail_parts(files.where("path = 'm.eml'")), C.MAIL).first()["text"]
-    assert mail.startswith("Invoice March\nbilling@example.com\nTotal due: 42")
+def test_kinds_without_a_reader_are_not_blank_documents(spark, tmp_path):
+    root = str(tmp_path / "kinds")
+    make_tree(root)
+    with open(os.path.join(root, "scan.pdf"), "wb") as f:
+        f.write(b"%PDF")
+    got = {r["filename"]: (r["text"], r["status"]) for r in FS.read_texts(spark, root, ["Finance"]).collect()}
+    assert got["scan.pdf"] == (None, "unread") and got["B.TXT"] == ("upper suffix", "read")
+
+
+def test_compose_caps_are_explicit_and_counted(spark):
+    parts = spark.createDataFrame([("a", "x", k, "y" * 30) for k in range(12)], "path string, kind string, seq int, text string")
+    whole = C.compose(parts, C.ARCHIVE).first()
+    assert whole["text"].count("\n") == 11 and (whole["parts_left_out"], whole["chars_left_out"]) == (0, 0)
+    cut = C.compose(parts, C.capped(C.ARCHIVE, 10, 20)).first()
+    assert cut["text"] == "\n".join(["y" * 20] * 10) and (cut["parts_left_out"], cut["chars_left_out"]) == (2, 100)
+
+
+def test_mail_without_subject(spark):
+    parts = spark.createDataFrame([("m", "subject", 0, ""), ("m", "from", 1, "x@y"), ("m", "body", 2, "hi")],
+                                  "path string, kind string, seq int, text string")
+    assert C.compose(parts, C.MAIL).first()["text"] == "x@y\nhi"
 
 
 def test_export_csv_and_totals(spark, tmp_path):

@@ -71,3 +71,31 @@ def test_legacy_log_line(spark):
     inv = spark.createDataFrame([("/t/Finance/invoice.txt", None)], "path string, md5 string")
     plan = undo.legacy_plan(read_legacy_log(spark, d), "/t", inv).first()
     assert plan["restore_path"] == "/t/invoice.txt" and plan["decision"] == "restore"
+
+
+def history(spark, moves):
+    return read_history(spark, write_lines([rec(k, "r", "move", a, b) for k, (a, b) in enumerate(moves)]))
+
+
+def test_long_chain_is_followed_to_its_end(spark):
+    got = undo.resolve_chains(history(spark, [(f"p{k}", f"p{k + 1}") for k in range(100)] + [("q0", "q1")])).collect()
+    assert {(r["original_path"], r["final_path"], r["steps"]) for r in got} == {("p0", "p100", 100), ("q0", "q1", 1)}
+
+
+def test_path_filled_twice_gives_two_chains(spark):
+    got = undo.resolve_chains(history(spark, [("A", "B"), ("X", "B"), ("B", "C")])).collect()
+    assert {(r["original_path"], r["final_path"], r["steps"]) for r in got} == {("X", "C", 2), ("A", "B", 1)}
+
+
+def test_path_left_twice_goes_on_once(spark):
+    got = undo.resolve_chains(history(spark, [("A", "B"), ("B", "C"), ("B", "D")])).collect()
+    assert {(r["original_path"], r["final_path"], r["steps"]) for r in got} == {("A", "C", 2), ("B", "D", 1)}
+
+
+def test_legacy_names_do_not_collide(spark):
+    moves = spark.createDataFrame([("2026-01-01 10:00:00,001", "a.txt", "/t/X/a.txt"), ("2026-01-01 10:00:00,002", "a.txt", "/t/Y/a.txt"),
+                                   ("2026-01-01 10:00:00,003", "b.txt", "/t/X/b.txt")], "logged_at string, filename string, dest string")
+    inv = spark.createDataFrame([("/t/X/a.txt", None), ("/t/Y/a.txt", None)], "path string, md5 string")
+    occ = spark.createDataFrame([("/t/a.txt",)], "path string")
+    got = {r["dest"]: r["restore_path"] for r in undo.legacy_plan(moves, "/t", inv, occ).collect()}
+    assert got == {"/t/Y/a.txt": "/t/a_restored_1.txt", "/t/X/a.txt": "/t/a_restored_2.txt", "/t/X/b.txt": None}
