@@ -14,8 +14,11 @@ the left side and are reported by an anti join. ``force`` ignores the cache.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -92,26 +95,27 @@ def deleted(files: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def save(index: DataFrame, path: str) -> None:
-    """Persist (A9) through a staging folder, then swap, so readers never see half an index."""
-    spark = index.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    staging = path.rstrip("/") + ".staging"
-    index.select(*INDEX_COLUMNS).write.mode("overwrite").parquet(staging)
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if fs.exists(p):
-        fs.delete(p, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staging), p)
+    """Persist (A9) as a new version, then point to it: readers see the last whole version.
+
+    Items are partitioned by category, so a category filter reads only its folder (E4). Earlier
+    versions stay until the caller removes their folders.
+    """
+    spark, version = index.sparkSession, uuid.uuid4().hex
+    index.select(*INDEX_COLUMNS).write.partitionBy("category").parquet(f"{path}/versions/{version}")
+    spark.range(1).select(F.lit(time.time_ns()).alias("at"), F.lit(version).alias("version")) \
+        .write.mode("append").parquet(f"{path}/pointer")
 
 
 def load(spark, path: str) -> DataFrame:
     """Load a saved index; a missing index is empty."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    try:
+        version = spark.read.schema("at bigint, version string").parquet(f"{path}/pointer").agg(
+            F.max_by("version", "at")).first()[0]
+    except AnalysisException:
+        version = None
+    if version is None:
         return spark.createDataFrame([], INDEX_SCHEMA)
-    return valid_cache(spark.read.schema(INDEX_SCHEMA).parquet(path))
+    return valid_cache(spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/versions/{version}").select(*INDEX_COLUMNS))
 
 
 def clear(spark, path: str) -> DataFrame:

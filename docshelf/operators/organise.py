@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import base_name
 from ..options import HISTORY_SCHEMA_VERSION
 from ..session import materialize
 from . import dedup
@@ -85,19 +86,40 @@ def history_rows(results: DataFrame, run_id: str, timestamp: str) -> DataFrame:
 def apply_overrides(results: DataFrame, overrides: DataFrame, root: str, web: bool = False) -> DataFrame:
     """Manual category overrides.
 
-    ``overrides(path, override_category)``. Desktop form (F6): category
-    replaced, low flag cleared, destination re-planned after every
-    non-overridden file (an override moves the file later, so its name is
-    allocated against the files already there). Web form (F7): category
-    replaced, ``overridden`` set, confidence and low flag kept, destination
-    unchanged.
+    ``overrides(path, override_category)``. Web form (F7): category replaced, ``overridden`` set,
+    confidence and low flag kept, destination unchanged. Desktop form (F6): category replaced, low flag
+    cleared, and the file moves from where it is now, under its present name, into the new folder,
+    where every name present there now is taken. All other files stay as they are, and so does a
+    file that is already in its category.
     """
     o = results.join(overrides, ["path"], "left")
     hit = F.col("override_category").isNotNull()
-    out = o.withColumn("category", F.coalesce("override_category", "category")).withColumn("overridden", hit)
     if web:
-        return out.drop("override_category")
-    out = out.withColumn("is_low", F.when(hit, F.lit(False)).otherwise(F.col("is_low"))) \
-        .withColumn("_late", hit.cast("int"))
-    replanned = destination_plan(out.drop("dest_path"), root, "category", "new_name", ["_late", "doc_id"])
-    return replanned.drop("_late", "override_category")
+        return o.withColumn("category", F.coalesce("override_category", "category")) \
+            .withColumn("overridden", hit).drop("override_category")
+    o = o.withColumn("overridden", hit).withColumn("is_low", F.when(hit, F.lit(False)).otherwise(F.col("is_low")))
+    moves = F.coalesce(F.col("override_category") != F.col("category"), F.lit(False))
+    present = results.select(F.regexp_extract("dest_path", r"^(.*)/[^/]*$", 1).alias("dest_dir"),
+                             base_name("dest_path").alias("_present_name"))
+    moving = o.where(moves).withColumn("category", F.col("override_category")) \
+        .withColumn("_present_name", base_name("dest_path")).drop("dest_path")
+    planned = destination_plan(moving, root, "category", "_present_name", ["doc_id"], present).drop("_present_name")
+    return o.where(~moves).unionByName(planned).drop("override_category")
+
+
+def override_records(before: DataFrame, after: DataFrame, run_id: str, timestamp: str) -> DataFrame:
+    """``move`` records of the files that an override moved (F6), as :func:`history_rows` has them."""
+    old = before.select("doc_id", F.col("dest_path").alias("source_path"))
+    moved = after.join(old, ["doc_id"]).where(F.col("source_path") != F.col("dest_path"))
+    return moved.select(
+        "doc_id", F.lit(2).alias("step"), F.lit(HISTORY_SCHEMA_VERSION).alias("schema_version"), F.lit(run_id).alias("run_id"),
+        F.lit(timestamp).alias("timestamp"), F.lit("move").alias("action"), "source_path",
+        F.col("dest_path").alias("destination_path"), F.col("content_hash").alias("source_hash"),
+        F.col("content_hash").alias("destination_hash"), base_name("source_path").alias("original_name"),
+        base_name("dest_path").alias("final_name"))
+
+
+def override_corrections(after: DataFrame, texts: DataFrame) -> DataFrame:
+    """What overrides teach the classifier: ``(sample_id, text, label)`` for D11 from ``texts(doc_id, text)``."""
+    return after.where("overridden").select("doc_id", F.col("category").alias("label")).join(texts, ["doc_id"]).select(
+        F.col("doc_id").alias("sample_id"), "text", "label")

@@ -1,9 +1,7 @@
 """Vector top-k search over an index table.
 
 Exact search: every index item is scored against every query of a batch.
-The query batch is broadcast as one row (its size is counted first and large
-batches are searched in hash chunks), each
-index row computes its scores in-row, keeps those at or above ``min_score``
+Query blocks are broadcast (their size is measured first), each index row computes its scores in-row, keeps those at or above ``min_score``
 (tested unrounded), and the per-query top-k is a ``row_number`` filter that
 Spark turns into a partial ``WindowGroupLimit`` before the shuffle, so each
 task forwards at most k rows per query no matter how many items match.
@@ -21,22 +19,22 @@ from ..functions.text import is_blank
 from ..functions.vectors import dot, with_normalised
 from ..options import SCORE_BAND_HIGH, SCORE_BAND_MEDIUM, SearchOptions
 
-MAX_QUERY_BATCH = 100_000
+BATCH_BYTES = 64 << 20      # query vectors broadcast at once
+BLOCK_QUERIES = 512         # queries scored as one array
 
 
-def _query_row(queries: DataFrame) -> DataFrame:
-    """``queries(query_id, qvec[, category_filter])`` as one broadcastable row."""
+def _query_blocks(queries: DataFrame, n_blocks: int) -> DataFrame:
+    """``queries(query_id, qvec[, category_filter])`` as rows of up to about ``BLOCK_QUERIES`` queries."""
     qs = queries if "category_filter" in queries.columns else queries.withColumn(
         "category_filter", F.lit(None).cast("string"))
     qs = with_normalised(qs, "qvec", "_qu")
-    return qs.agg(
-        F.collect_list(F.struct("query_id", F.col("_qu").alias("qvec"), "category_filter")).alias("_queries"),
-        F.count(F.lit(1)).alias("_n_queries"),
-    )
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    return qs.groupBy(block.alias("_block")).agg(
+        F.collect_list(F.struct("query_id", F.col("_qu").alias("qvec"), "category_filter")).alias("_queries")).drop("_block")
 
 
 def search_batch(index: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(),
-                 max_batch: int = MAX_QUERY_BATCH) -> DataFrame:
+                 batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``(query_id, rank, path, filename, category, score_pct, preview)``.
 
     ``index(path, filename, category, preview, embedding)``; queries carry an
@@ -44,39 +42,31 @@ def search_batch(index: DataFrame, queries: DataFrame, options: SearchOptions =
     scoring. Queries must already exclude blank texts (E8); an empty index
     gives no rows by construction.
 
-    The query batch is broadcast as one row, so its size is checked first: a
-    batch over ``max_batch`` queries is split by a hash of ``query_id`` into
-    chunks of about that size, each scanned against the index, and the results
-    are unioned (a query's top-k never spans chunks).
+    Queries are scored in blocks against each index row. The size of their vectors is measured; what
+    does not fit in one broadcast is split by a hash of ``query_id`` into passes over the index (a
+    query's top-k never spans passes).
     """
-    n = queries.count()
-    if n <= max_batch:
-        return _search_chunk(index, queries, options)
-    chunks = -(-n // max_batch)
-    parts = [
-        _search_chunk(index, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == i), options)
-        for i in range(chunks)
-    ]
+    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("qvec"))).first()
+    passes = max(1, -(-n * (dim or 0) * 8 // batch_bytes))
+    per_pass = [queries if passes == 1 else queries.where(F.pmod(F.hash("query_id"), F.lit(passes)) == k) for k in range(passes)]
+    parts = [_search_pass(index, p, max(1, -(-n // passes // BLOCK_QUERIES)), options) for p in per_pass]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _search_chunk(index: DataFrame, queries: DataFrame, options: SearchOptions) -> DataFrame:
-    qrow = _query_row(queries)
+def _search_pass(index: DataFrame, queries: DataFrame, n_blocks: int, options: SearchOptions) -> DataFrame:
+    # what is below the threshold is dropped inside the array, before it becomes rows
+    hits = F.filter(F.transform(
+        F.filter("_queries", lambda q: F.coalesce(q["category_filter"], F.lit("")).isin("")
+                 | (q["category_filter"] == F.col("category"))),
+        lambda q: F.struct(q["query_id"].alias("query_id"), dot(F.col("_e"), q["qvec"]).alias("score"))),
+        lambda h: h["score"] >= options.min_score)
     scored = (
         index.select("path", "filename", "category", "preview", F.col("embedding").cast("array<double>").alias("_e"))
-        .crossJoin(F.broadcast(qrow))
-        .select(
-            "path", "filename", "category", "preview",
-            F.inline(F.transform(
-                F.filter("_queries", lambda q: F.coalesce(q["category_filter"], F.lit("")).isin("")
-                         | (q["category_filter"] == F.col("category"))),
-                lambda q: F.struct(q["query_id"].alias("query_id"), dot(F.col("_e"), q["qvec"]).alias("score")),
-            )),
-        )
-        .where(F.col("score") >= F.lit(options.min_score))
+        .crossJoin(F.broadcast(_query_blocks(queries, n_blocks)))
+        .select("path", "filename", "category", "preview", F.inline(hits))
         .withColumn("score_pct", F.round(F.col("score") * 100.0, 1))
     )
     w = Window.partitionBy("query_id").orderBy(F.col("score_pct").desc(), F.col("path"))
@@ -101,6 +91,13 @@ def queries_from_text(df: DataFrame, id_col: str, text_col: str, vec_col: str) -
     return df.where(~is_blank(text_col)).select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("qvec"))
 
 
+def search_texts(index: DataFrame, texts: DataFrame, vectorise, id_col: str, text_col: str,
+                 options: SearchOptions = SearchOptions()) -> DataFrame:
+    """Text in, hits out: query texts get vectors from the index's own vectoriser."""
+    vectors = vectorise(texts.where(~is_blank(text_col)).select(id_col, text_col), text_col, "_qvec")
+    return search_batch(index, queries_from_text(vectors, id_col, text_col, "_qvec"), options)
+
+
 def score_band(score_pct: str = "score_pct"):
     """``high`` at 60 and above, ``medium`` at 40 and above, else ``low``."""
     s = F.col(score_pct)

@@ -38,6 +38,7 @@ ARCHIVE_MAX_MEMBERS = 10
 ARCHIVE_MEMBER_CHARS = 2000
 WATCH_SETTLE_SECONDS = 2.0
 HISTORY_SCHEMA_VERSION = 1
+MOVE_PATTERN = r"Moved '(.+?)' .+? '(.+?)'"      # a move in the legacy text log
 INDEX_SCHEMA_VERSION = 2
 DEFAULT_KEYWORD_SENTENCE = "add your keywords for {name} here"
 RESTORED_SUFFIX = "_restored_"

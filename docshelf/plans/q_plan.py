@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import options as O
 from ..functions.text import first_line, first_word, sanitise_name
+from ..operators import naive_bayes as nb
 from ..operators import naming, organise, reports
+from ..session import materialize
 from ..sources.tables import documents_as_files, read_table
 from .catalog import query
-from .q_classify import TRAIN_LANG_SQL, lang_model
+from .q_classify import TRAIN_LANG_SQL, labelled_docs, lang_model
 from .sqltext import file_path_sql, nb_model_ctes, nb_score_ctes, proposed_name_sql, q, sanitise_sql, suffix_sql, stem_sql
 
 ROOT = "organised"
@@ -163,21 +165,79 @@ def overrides(spark, sf_dir):
         F.lit(O.FALLBACK_CATEGORY).alias("override_category"))
 
 
-@query("override_results", lambda: _organise_sql_ctes() + f""",
+def _override_ctes() -> str:
+    """The overridden files, one after the other: each takes the first free name beside all present ones."""
+    numbered = "stem || '_' || CAST({k} AS VARCHAR) || sfx"
+    return _organise_sql_ctes().replace("WITH f AS", "WITH RECURSIVE f AS", 1) + f""",
 ov AS ({OVERRIDES_SQL}),
-o AS (SELECT r.*, ov.override_category IS NOT NULL AS overridden,
-             coalesce(ov.override_category, r.category) AS new_category
+o AS (SELECT r.*, ov.override_category IS NOT NULL AS overridden, ov.override_category,
+             coalesce(ov.override_category <> r.category, false) AS moves
       FROM results r LEFT JOIN ov USING (path)),
-k AS (SELECT *, row_number() OVER (PARTITION BY new_category, new_name ORDER BY overridden, doc_id) - 1 AS k FROM o)
-SELECT doc_id, path, new_category AS category, confidence_pct,
-       CASE WHEN overridden THEN false ELSE is_low END AS is_low, overridden,
-       '{ROOT}/' || new_category || '/' || CASE WHEN k = 0 THEN new_name
-            ELSE {stem_sql('new_name')} || '_' || CAST(k AS VARCHAR) || {suffix_sql('new_name')} END AS dest_path
-FROM k""")
+mv AS (SELECT doc_id, name, {stem_sql('name')} AS stem, {suffix_sql('name')} AS sfx,
+              row_number() OVER (ORDER BY doc_id) AS rn
+       FROM (SELECT doc_id, regexp_extract(dest_path, '([^/]*)$', 1) AS name FROM o WHERE moves)),
+present AS (SELECT coalesce(list(regexp_extract(dest_path, '([^/]*)$', 1)), []) AS names FROM results
+            WHERE category = {q(O.FALLBACK_CATEGORY)}),
+alloc(rn, doc_id, names, final) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), names, CAST(NULL AS VARCHAR) FROM present
+  UNION ALL
+  SELECT rn, doc_id, list_append(names, final), final FROM (
+    SELECT mv.rn, mv.doc_id, a.names,
+           CASE WHEN NOT list_contains(a.names, mv.name) THEN mv.name
+                ELSE list_filter(list_transform(range(1, len(a.names) + 2), lambda k: {numbered.format(k='k')}),
+                                 lambda n: NOT list_contains(a.names, n))[1] END AS final
+    FROM alloc a JOIN mv ON mv.rn = a.rn + 1)),
+after AS (
+  SELECT o.doc_id, o.path, coalesce(o.override_category, o.category) AS category, o.confidence_pct,
+         CASE WHEN o.overridden THEN false ELSE o.is_low END AS is_low, o.overridden, o.content_hash,
+         o.dest_path AS old_path,
+         CASE WHEN o.moves THEN '{ROOT}/' || o.override_category || '/' || a.final ELSE o.dest_path END AS dest_path
+  FROM o LEFT JOIN alloc a ON a.doc_id = o.doc_id)"""
+
+
+def overridden_results(spark, sf_dir):
+    before = materialize(organise_results(spark, sf_dir)["results"], "results")
+    return before, organise.apply_overrides(before, overrides(spark, sf_dir), ROOT)
+
+
+@query("override_results", lambda: _override_ctes() + """
+SELECT doc_id, path, category, confidence_pct, is_low, overridden, dest_path FROM after""")
 def override_results(spark, sf_dir):
-    res = organise_results(spark, sf_dir)["results"]
-    out = organise.apply_overrides(res, overrides(spark, sf_dir), ROOT)
-    return out.select("doc_id", "path", "category", "confidence_pct", "is_low", "overridden", "dest_path")
+    return overridden_results(spark, sf_dir)[1].select(
+        "doc_id", "path", "category", "confidence_pct", "is_low", "overridden", "dest_path")
+
+
+@query("override_moves", lambda: _override_ctes() + f"""
+SELECT doc_id, {q(RUN_ID)} AS run_id, 'move' AS action, old_path AS source_path, dest_path AS destination_path,
+       content_hash AS source_hash, regexp_extract(old_path, '([^/]*)$', 1) AS original_name,
+       regexp_extract(dest_path, '([^/]*)$', 1) AS final_name
+FROM after WHERE old_path <> dest_path""")
+def override_moves(spark, sf_dir):
+    before, after = overridden_results(spark, sf_dir)
+    return organise.override_records(before, after, RUN_ID, RUN_TS).select(
+        "doc_id", "run_id", "action", "source_path", "destination_path", "source_hash", "original_name", "final_name")
+
+
+def _override_learn_sql() -> str:
+    return f"""WITH f AS (SELECT doc_id, {file_path_sql()} AS path, text, md5(text) AS content_hash FROM documents),
+firsts AS (SELECT content_hash, min(doc_id) AS doc_id FROM f GROUP BY content_hash),
+orig AS (SELECT f.* FROM f JOIN firsts USING (content_hash, doc_id)),
+train AS ({TRAIN_LANG_SQL}
+  UNION ALL SELECT o.doc_id, o.text, ov.override_category, {O.CORRECTION_WEIGHT} FROM orig o JOIN ({OVERRIDES_SQL}) ov USING (path)),
+score_docs AS (SELECT doc_id, text FROM documents),
+{nb_model_ctes('train')},
+{nb_score_ctes('score_docs')}
+SELECT doc_id, category, confidence_pct, is_low FROM nb_result"""
+
+
+@query("override_learn", _override_learn_sql)
+def override_learn(spark, sf_dir):
+    """Overrides become corrections, and the retrained model classifies all documents (F6 into D11)."""
+    docs = read_table(spark, sf_dir, "documents")
+    _, after = overridden_results(spark, sf_dir)
+    learned = organise.override_corrections(after, docs.select("doc_id", "text"))
+    samples = nb.training_samples(labelled_docs(spark, sf_dir), "doc_id", "text", "lang")
+    return nb.classify(nb.fit(nb.with_corrections(samples, learned)), docs)
 
 
 @query("override_web", lambda: _organise_sql_ctes() + f""",

@@ -177,10 +177,13 @@ def index_deleted(spark, sf_dir):
 # --- A9 / A10 / E7 --------------------------------------------------------------
 
 @query("index_round_trip", """
-SELECT 'saved' AS stage, CAST(count(*) AS BIGINT) AS index_size FROM embeddings
-UNION ALL SELECT 'cleared', CAST(0 AS BIGINT)""")
+SELECT 'vec/' || CAST(vec_id AS VARCHAR) || '.bin' AS path, 'c' || CAST(label AS VARCHAR) AS category,
+       'vector ' || CAST(vec_id AS VARCHAR) AS preview, md5('vec/' || CAST(vec_id AS VARCHAR) || '.bin') AS content_hash,
+       CAST(len(embedding) AS BIGINT) AS dims, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS vector_sum,
+       CAST(0 AS BIGINT) AS left_after_clear
+FROM embeddings""")
 def index_round_trip(spark, sf_dir):
-    """Write the vector index, read it back, clear it: sizes before and after."""
+    """The vector index as it is read back after a save, beside what a clear leaves of it."""
     import uuid
 
     idx = vector_index(spark, sf_dir).select(
@@ -189,8 +192,22 @@ def index_round_trip(spark, sf_dir):
         F.col("embedding").cast("array<float>"), F.lit(O.INDEX_SCHEMA_VERSION).alias("schema_version"))
     path = scratch_path(spark, f"index-{uuid.uuid4().hex}")
     index.save(idx, path)
-    saved = search.index_size(index.load(spark, path)).collect()
+    saved = index.load(spark, path)
     index.clear(spark, path)
-    cleared = search.index_size(index.load(spark, path)).collect()
-    rows = [("saved", saved[0]["index_size"]), ("cleared", cleared[0]["index_size"])]
-    return spark.createDataFrame(rows, "stage string, index_size bigint")
+    left = search.index_size(index.load(spark, path)).withColumnRenamed("index_size", "left_after_clear")
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x)
+    return saved.select("path", "category", "preview", "content_hash", F.size("embedding").cast("bigint").alias("dims"),
+                        F.round(total, 6).alias("vector_sum")).crossJoin(F.broadcast(left))      # one row
+
+
+# --- E1 with E3 / E5: text in, hits out ----------------------------------------------
+# Benchmark texts searched in an index of all documents. Feature hashing has no SQL form; the unit
+# test holds it against brute force.
+
+@query("search_text")
+def search_text(spark, sf_dir):
+    files = documents_as_files(read_table(spark, sf_dir, "documents")).select(
+        "path", "filename", "category", "text", F.octet_length("text").cast("bigint").alias("size"),
+        F.lit(0).cast("bigint").alias("mtime_us"), F.md5(F.col("text").cast("binary")).alias("content_hash"))
+    queries = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return search.search_texts(index.encode(files), queries, index.hashed_vectoriser(), "item_id", "text")

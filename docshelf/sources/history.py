@@ -1,10 +1,10 @@
 """Operation history as JSON lines (A4, A7) and the legacy move log (A5).
 
-History lines are JSON objects with sorted keys. Reading applies an explicit
-schema in PERMISSIVE mode: malformed lines (and JSON that is not an object)
-land in ``_corrupt_record`` and are dropped, as are other schema versions and
-records missing a required field. Blank lines produce no row. ``seq`` is the
-append order, written into each record so order survives a distributed read.
+History lines are JSON objects. Malformed lines, JSON that is not an object,
+other schema versions, unknown keys and records missing a required field are
+skipped; blank lines produce no row. ``seq`` is the append order, written into
+each record so that order survives a distributed read; lines written without
+it get one from their file and place.
 """
 
 from __future__ import annotations
@@ -12,19 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..options import HISTORY_SCHEMA_VERSION
+from ..functions.ordinal import with_row_number
+from ..options import HISTORY_SCHEMA_VERSION, MOVE_PATTERN
+from ..session import materialize
 
 RECORD_FIELDS = ["action", "destination_hash", "destination_path", "final_name", "original_name", "run_id",
                  "schema_version", "seq", "source_hash", "source_path", "timestamp"]
 HISTORY_SCHEMA = (
     "action string, destination_hash string, destination_path string, final_name string, original_name string, "
-    "run_id string, schema_version int, seq bigint, source_hash string, source_path string, timestamp string, "
-    "_corrupt_record string"
+    "run_id string, schema_version int, seq bigint, source_hash string, source_path string, timestamp string"
 )
-REQUIRED = ["run_id", "timestamp", "action", "source_path", "destination_path", "original_name", "final_name", "seq"]
-
-# The legacy log line pattern: Moved '<name>' -> '<destination>'
-MOVE_PATTERN = r"Moved '(.+?)' .+? '(.+?)'"
+REQUIRED = ["run_id", "timestamp", "action", "source_path", "destination_path", "original_name", "final_name"]
 
 
 def append_history(records: DataFrame, path: str) -> None:
@@ -37,17 +35,29 @@ def append_history(records: DataFrame, path: str) -> None:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Valid records of the history at ``path`` (A4)."""
-    raw = (
-        spark.read.schema(HISTORY_SCHEMA)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-    )
-    ok = F.col("_corrupt_record").isNull() & (F.col("schema_version") == HISTORY_SCHEMA_VERSION)
+    """Valid records of the history at ``path`` (A4).
+
+    Lines with other keys than the record's own are skipped, whatever the action. Lines without
+    ``seq`` are ordered by file and line, after all that have one.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"))
+    parsed = lines.select("_file", "_block", "_line", F.from_json("value", HISTORY_SCHEMA).alias("r"),
+                          F.json_object_keys("value").alias("keys"))
+    known = F.size(F.array_except("keys", F.array(*[F.lit(c) for c in RECORD_FIELDS]))) == 0
+    ok = F.coalesce(known, F.lit(False)) & (F.col("r.schema_version") == HISTORY_SCHEMA_VERSION)
     for c in REQUIRED:
-        ok = ok & F.col(c).isNotNull()
-    ok = ok & F.col("action").isin("move", "rename")
-    return raw.where(ok).drop("_corrupt_record")
+        ok = ok & F.col(f"r.{c}").isNotNull()
+    valid = materialize(parsed.where(ok).select("_file", "_block", "_line", "r.*"), "history")
+    place = ["_file", "_block", "_line"]
+    bare = valid.where("seq is null")
+    if not bare.take(1):
+        return valid.drop(*place)
+    last = valid.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_last"))
+    numbered = with_row_number(bare, place, "_n").crossJoin(F.broadcast(last))       # one row
+    return valid.where("seq is not null").drop(*place).unionByName(
+        numbered.withColumn("seq", F.col("_last") + F.col("_n")).drop(*place, "_n", "_last"))
 
 
 def read_legacy_log(spark: SparkSession, path: str) -> DataFrame:

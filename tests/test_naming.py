@@ -59,3 +59,19 @@ def test_ordinals_match_window(spark):
     glob = with_row_number(df, ["o", "id"], "rn").join(
         df.withColumn("want", F.row_number().over(Window.orderBy("o", "id"))), ["id", "g", "o"])
     assert glob.where("rn <> want").count() == 0
+
+
+def test_override_moves_only_its_file(spark):
+    from docshelf.operators.organise import apply_overrides, override_records
+
+    rows = [(k, f"in/{k}", "a.txt", f"root/X/{n}", "X", 50.0, True, "h") for k, n in enumerate(["a.txt", "a_1.txt", "a_2.txt"], 1)]
+    rows.append((4, "in/4", "b.txt", "root/Y/a_1.txt", "Y", 50.0, False, "h"))
+    before = spark.createDataFrame(rows, "doc_id bigint, path string, new_name string, dest_path string, category string, "
+                                         "confidence_pct double, is_low boolean, content_hash string")
+    overrides = spark.createDataFrame([("in/2", "Y"), ("in/4", "Y")], "path string, override_category string")
+    after = apply_overrides(before, overrides, "root")
+    got = {r["doc_id"]: (r["category"], r["dest_path"], r["is_low"], r["overridden"]) for r in after.collect()}
+    assert got == {1: ("X", "root/X/a.txt", True, False), 2: ("Y", "root/Y/a_1_1.txt", False, True),
+                   3: ("X", "root/X/a_2.txt", True, False), 4: ("Y", "root/Y/a_1.txt", False, True)}
+    moved = override_records(before, after, "r", "t").collect()
+    assert [(m["source_path"], m["destination_path"]) for m in moved] == [("root/X/a_1.txt", "root/Y/a_1_1.txt")]

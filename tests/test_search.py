@@ -43,5 +43,33 @@ def test_blank_query_and_empty_index(spark):
 def test_large_batch_is_chunked(spark):
     qs = spark.createDataFrame([(i, [1.0, float(i) / 10]) for i in range(7)], "query_id bigint, qvec array<double>")
     whole = sorted(search.search_batch(index(spark), qs).collect())
-    chunked = sorted(search.search_batch(index(spark), qs, max_batch=2).collect())
+    chunked = sorted(search.search_batch(index(spark), qs, batch_bytes=32).collect())
     assert whole == chunked and len(whole) > 0
+
+
+def test_text_search_matches_brute_force(spark):
+    import numpy as np
+
+    from docshelf.operators import index as I
+
+    docs = [("t/a.txt", "invoice total due march invoice"), ("t/b.txt", "neural network training data"),
+            ("t/c.txt", "invoice network"), ("t/d.txt", "garden roses bloom")]
+    files = spark.createDataFrame([(p, p[2:], "X", t, len(t), 0, p) for p, t in docs],
+                                  "path string, filename string, category string, text string, size bigint, "
+                                  "mtime_us bigint, content_hash string")
+    texts = spark.createDataFrame([(1, "invoice due"), (2, "network data"), (3, "  ")], "id bigint, text string")
+    vectorise = I.hashed_vectoriser(1 << 12)
+    got = search.search_texts(I.encode(files, vectorise), texts, vectorise, "id", "text").collect()
+
+    def vector(t):
+        words = t.split()
+        return {w: words.count(w) for w in words}
+
+    want = set()
+    for i, q in [(1, "invoice due"), (2, "network data")]:
+        for p, t in docs:
+            a, b = vector(q), vector(t)
+            cos = sum(a[w] * b.get(w, 0) for w in a) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+            if cos >= 0.25:
+                want.add((i, p, round(100 * cos, 1)))
+    assert {(h["query_id"], h["path"], h["score_pct"]) for h in got} == want

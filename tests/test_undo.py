@@ -99,3 +99,13 @@ def test_legacy_names_do_not_collide(spark):
     occ = spark.createDataFrame([("/t/a.txt",)], "path string")
     got = {r["dest"]: r["restore_path"] for r in undo.legacy_plan(moves, "/t", inv, occ).collect()}
     assert got == {"/t/Y/a.txt": "/t/a_restored_1.txt", "/t/X/a.txt": "/t/a_restored_2.txt", "/t/X/b.txt": None}
+
+
+def test_lines_without_order_and_with_other_keys(spark):
+    bare = [json.loads(rec(0, "r", a, f"in/{k}", f"out/{k}")) for k, a in enumerate(["move", "copy", "move"])]
+    for b in bare:
+        del b["seq"]
+    strange = dict(json.loads(rec(9, "r", "move", "in/z", "out/z")), colour="red")
+    path = write_lines([rec(5, "r", "move", "in/first", "out/first"), *map(json.dumps, bare), json.dumps(strange)])
+    got = [(r["seq"], r["source_path"]) for r in read_history(spark, path).orderBy("seq").collect()]
+    assert got == [(5, "in/first"), (6, "in/0"), (7, "in/1"), (8, "in/2")]
