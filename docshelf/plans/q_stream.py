@@ -18,9 +18,10 @@ from .. import options as O
 from ..operators import naive_bayes as nb
 from ..operators.naming import destination_plan
 from ..session import scratch_path
-from ..sources.tables import table_path
+from ..sources.history import append_history, read_history
+from ..sources.tables import read_table
 from ..streaming import watch
-from .catalog import query
+from .catalog import ORACLE, query
 from .q_classify import lang_model, nb_result_sql
 
 ROOT = "watch"
@@ -41,40 +42,45 @@ def _watch_events(events):
         F.lit(False).alias("is_directory"), F.col("props").alias("text"))
 
 
-def event_stream(spark, sf_dir):
-    """The events table as a file stream."""
-    schema = spark.read.parquet(table_path(sf_dir, "events")).schema
-    # a file stream watches a folder: the table folder, narrowed to the table's file
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+ARRIVALS = 3      # the events arrive in so many parts; the stream is stopped and started between them
 
 
-def _run(spark, stream, name, per_batch=None):
+def _run(spark, rows, name, transform, per_batch=None, order="ts_us"):
+    """Stream ``rows`` through ``transform`` in time order, one restart per part; the written result.
+
+    Each part is appended to the watched folder, and the query goes on from its checkpoint, so keyed
+    state and planned names cross batches and restarts.
+    """
     base = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    watch.run_to_table(stream, f"{base}/out", f"{base}/ckpt", per_batch)
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    part = F.least(F.lit(ARRIVALS - 1), F.floor((F.col(order) - F.lit(low)) * ARRIVALS / F.lit(max(1, (high or 0) - (low or 0)))))
+    for k in range(ARRIVALS if low is not None else 1):
+        rows.where(part == k).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        watch.run_to_table(transform(stream), f"{base}/out", f"{base}/ckpt",
+                           per_batch and (lambda df, batch_id: per_batch(df, batch_id, f"{base}/out")))
     return spark.read.parquet(f"{base}/out")
 
 
+def watch_events(spark, sf_dir):
+    events = _watch_events(read_table(spark, sf_dir, "events", spread=False))
+    return events.withColumn("ts_us", F.unix_micros("ts"))
+
+
 def filtered(spark, sf_dir):
-    return _run(spark, watch.filter_events(_watch_events(event_stream(spark, sf_dir)), ROOT), "watch-filter")
+    return _run(spark, watch_events(spark, sf_dir), "watch-filter", lambda s: watch.filter_events(s, ROOT))
 
 
 def settled(spark, sf_dir):
     """J3 over the accepted events (a second stream reads the first one's output)."""
-    acc = filtered(spark, sf_dir).where("accepted")
-    base = scratch_path(spark, f"watch-accepted-{uuid.uuid4().hex}")
-    acc.write.parquet(base)
-    stream = spark.readStream.schema(acc.schema).parquet(base)
-    out = _run(spark, watch.settle(stream, FIXTURE_SETTLE_SECONDS), "watch-settle")
-    return out.join(acc.select("event_id", "text"), ["event_id"])
+    accepted = filtered(spark, sf_dir).where("accepted").select("event_id", "ts", "ts_us", "path", "text")
+    out = _run(spark, accepted, "watch-settle", lambda s: watch.settle(s, FIXTURE_SETTLE_SECONDS))
+    return out.join(accepted.select("event_id", "text"), ["event_id"])
 
 
 def deduped(spark, sf_dir):
     s = settled(spark, sf_dir).withColumn("content_hash", F.md5(F.col("text").cast("binary")))
-    base = scratch_path(spark, f"watch-settled-{uuid.uuid4().hex}")
-    s.write.parquet(base)
-    stream = spark.readStream.schema(s.schema).parquet(base)
-    out = _run(spark, watch.dedup(stream), "watch-dedup")
+    out = _run(spark, s, "watch-dedup", watch.dedup)
     return out.join(s.select("event_id", "text", "ts_us"), ["event_id"])
 
 
@@ -129,18 +135,27 @@ def watch_dedup(spark, sf_dir):
 
 
 def _status_batch(model, root):
-    def per_batch(df, batch_id):
+    def per_batch(df, batch_id, out_path):
         files = df.select("event_id", "path", "text", "is_duplicate", "original_path", "ts_us")
         originals = files.where(~F.col("is_duplicate"))
         classified = nb.classify(model, originals.select("event_id", "text"), id_col="event_id")
         named = originals.join(classified, ["event_id"]).withColumn(
             "name", F.element_at(F.split("path", "/"), -1))
-        planned = destination_plan(named, root, "category", "name", ["ts_us", "event_id"])
-        moved = planned.select("event_id", "path", F.lit("moved").alias("status"), "category",
-                               F.col("dest_path").alias("destination_path"))
+        # names that earlier batches (not this one, should it be replayed) have taken
+        present = None
+        if batch_id > 0:
+            taken = df.sparkSession.read.parquet(out_path).where((F.col("batch") < batch_id) & (F.col("status") == "moved"))
+            present = taken.select(F.regexp_extract("destination_path", r"^(.*)/[^/]*$", 1).alias("dest_dir"),
+                                   F.regexp_extract("destination_path", r"([^/]*)$", 1).alias("name"))
+        planned = destination_plan(named, root, "category", "name", ["ts_us", "event_id"], present)
+        none = F.lit(None).cast("string")
+        moved = planned.select(
+            "event_id", "path", F.lit("moved").alias("status"), none.alias("reason"), "category",
+            F.col("dest_path").alias("destination_path"),
+            F.md5(F.concat_ws(":", F.lit("watch"), F.col("event_id").cast("string"))).alias("run_id"))
         dups = files.where("is_duplicate").select(
-            "event_id", "path", F.lit("duplicate").alias("status"), F.lit(None).cast("string").alias("category"),
-            F.lit(None).cast("string").alias("destination_path"))
+            "event_id", "path", F.lit("duplicate").alias("status"), F.concat(F.lit("copy of "), "original_path").alias("reason"),
+            none.alias("category"), none.alias("destination_path"), none.alias("run_id"))
         return moved.unionByName(dups)
     return per_batch
 
@@ -151,17 +166,39 @@ moved AS (
   SELECT d.event_id, d.path, r.category, regexp_extract(d.path, '([^/]*)$', 1) AS name, d.ts
   FROM dd d JOIN nb_result r ON r.doc_id = d.event_id WHERE NOT d.is_duplicate),
 k AS (SELECT *, row_number() OVER (PARTITION BY category, name ORDER BY ts, event_id) - 1 AS k FROM moved)
-SELECT event_id, path, 'moved' AS status, category,
+SELECT event_id, path, 'moved' AS status, CAST(NULL AS VARCHAR) AS reason, category,
        '{DEST_ROOT}/' || category || '/' || CASE WHEN k = 0 THEN name
-            ELSE regexp_replace(name, '\\.txt$', '') || '_' || CAST(k AS VARCHAR) || '.txt' END AS destination_path
+            ELSE regexp_replace(name, '\\.txt$', '') || '_' || CAST(k AS VARCHAR) || '.txt' END AS destination_path,
+       md5('watch:' || CAST(event_id AS VARCHAR)) AS run_id
 FROM k
 UNION ALL
-SELECT event_id, path, 'duplicate', NULL, NULL FROM dd WHERE is_duplicate""")
+SELECT event_id, path, 'duplicate', 'copy of ' || first_path, NULL, NULL, NULL FROM dd WHERE is_duplicate
+UNION ALL
+SELECT event_id, path, 'skipped', CASE WHEN NOT ok_ext THEN 'unsupported type' ELSE 'not a top-level file' END, NULL, NULL, NULL
+FROM acc WHERE NOT (ok_ext AND top)""")
 def watch_status(spark, sf_dir):
+    """A status row per event: moved (each file a run of its own), duplicate, or skipped with its reason."""
     d = deduped(spark, sf_dir)
-    model = lang_model(spark, sf_dir)
-    base = scratch_path(spark, f"watch-deduped-{uuid.uuid4().hex}")
-    d.write.parquet(base)
-    stream = spark.readStream.schema(d.schema).parquet(base)
-    out = _run(spark, stream, "watch-status", _status_batch(model, DEST_ROOT))
-    return out.select("event_id", "path", "status", "category", "destination_path")
+    out = _run(spark, d, "watch-status", lambda s: s, _status_batch(lang_model(spark, sf_dir), DEST_ROOT))
+    none = F.lit(None).cast("string")
+    skipped = filtered(spark, sf_dir).where("not accepted").select(
+        "event_id", "path", F.lit("skipped").alias("status"), "reason", none.alias("category"),
+        none.alias("destination_path"), none.alias("run_id"))
+    return out.select(*skipped.columns).unionByName(skipped)
+
+
+@query("watch_history", lambda: f"""SELECT event_id AS seq, run_id, 'move' AS action, path AS source_path, destination_path,
+       regexp_extract(destination_path, '([^/]*)$', 1) AS final_name
+FROM ({ORACLE["watch_status"]}) WHERE status = 'moved'""")
+def watch_history(spark, sf_dir):
+    """The move records that watch mode appends, one run id per file (J5, A7), as they are read back."""
+    s = watch_status(spark, sf_dir).where("status = 'moved'")
+    path = scratch_path(spark, f"watch-history-{uuid.uuid4().hex}")
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    append_history(s.select(
+        F.lit(O.HISTORY_SCHEMA_VERSION).alias("schema_version"), "run_id", F.lit("2026-01-01T00:00:00+00:00").alias("timestamp"),
+        F.lit("move").alias("action"), F.col("path").alias("source_path"), F.col("destination_path"),
+        F.lit(None).cast("string").alias("source_hash"), F.lit(None).cast("string").alias("destination_hash"),
+        name.alias("original_name"), F.regexp_extract("destination_path", r"([^/]*)$", 1).alias("final_name"),
+        F.col("event_id").alias("seq")), path)
+    return read_history(spark, path).select("seq", "run_id", "action", "source_path", "destination_path", "final_name")
