@@ -6,7 +6,7 @@ family (one against the rest) picks the family; within it, one machine per pair
 separates close relatives, and most votes win (then margins, then name).
 
 Training runs as Spark groups, one per machine, on a bounded sample: at most ``rows_per_language``
-labelled texts of each language, those with the smallest hash of their text. Only the weights come
+different labelled texts of each language, those with the smallest hashes. Only the weights come
 to the driver.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; so is every text when
@@ -122,7 +122,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
     place = F.shiftrightunsigned("u", 11) / float(1 << 53)
     first = Window.partitionBy("lang").orderBy("u", "text")
     sample = (rows.join(F.broadcast(sizes), "lang")       # one row per language
-              .where(place * F.col("size") < 2 * opts.rows_per_language)
+              .where(place * F.col("size") < 2 * opts.rows_per_language).dropDuplicates(["lang", "u"])
               .withColumn("n", F.row_number().over(first)).where(F.col("n") <= opts.rows_per_language))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
