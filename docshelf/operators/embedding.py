@@ -4,7 +4,7 @@ Vectors arrive as a column. A category's prototype is the normalised mean of
 its labelled vectors (Spark ML ``Summarizer.mean``: a partially aggregated
 ``groupBy``, so a category with a third of all vectors is combined map-side).
 Each vector is scored against every prototype; the prototype table is bounded
-by the taxonomy and broadcast after a size check. Confidence is the cosine
+by the taxonomy; its size is checked before it is broadcast. Confidence is the cosine
 similarity times 100 rounded to one decimal; low when that rounded value is
 under 30 %, and unlike the NB gate the category is kept.
 """
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, with_normalised
 from ..options import EMBEDDING_LOW_THRESHOLD
 
-MAX_PROTOTYPES = 10_000
+BLOCK_PROTOTYPES = 1_000
+BROADCAST_BYTES = 64 << 20
 
 
 def prototypes(labelled: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
@@ -32,22 +33,27 @@ def prototypes(labelled: DataFrame, label_col: str = "label", vec_col: str = "em
     return with_normalised(means, "_mean", "proto").drop("_mean")
 
 
-def _proto_row(protos: DataFrame) -> DataFrame:
-    """All prototypes in one row (category order), bounded by the taxonomy."""
-    return protos.agg(F.sort_array(F.collect_list(F.struct("category", "proto"))).alias("_protos"),
-                      F.count(F.lit(1)).alias("_n_protos"))
+def _proto_blocks(protos: DataFrame, n_blocks: int) -> DataFrame:
+    """The prototypes as rows of up to about ``BLOCK_PROTOTYPES`` each, in category order."""
+    return protos.groupBy(F.pmod(F.xxhash64("category"), F.lit(n_blocks)).alias("_block")).agg(
+        F.sort_array(F.collect_list(F.struct("category", "proto"))).alias("_protos"))
 
 
 def classify(docs: DataFrame, protos: DataFrame, id_col: str, vec_col: str = "embedding",
              low_threshold: float = EMBEDDING_LOW_THRESHOLD) -> DataFrame:
-    """``(id, category, confidence_pct, is_low)``; ties go to the first category in order."""
-    n_protos = protos.count()            # bounded by the taxonomy; checked before broadcasting
-    if n_protos > MAX_PROTOTYPES:
-        raise ValueError(f"{n_protos} prototypes: the table is broadcast and must stay under {MAX_PROTOTYPES}")
-    row = _proto_row(protos)
+    """``(id, category, confidence_pct, is_low)``; ties go to the first category in order.
+
+    The prototypes meet the vectors block by block. They are broadcast only up to
+    ``BROADCAST_BYTES`` of vectors (counted first); with one block no shuffle follows, with more
+    each vector keeps its best of each block and those are compared.
+    """
+    n, dim = protos.agg(F.count(F.lit(1)), F.max(F.size("proto"))).first()
+    blocks = _proto_blocks(protos, max(1, -(-n // BLOCK_PROTOTYPES)))
+    if n * (dim or 0) * 8 <= BROADCAST_BYTES:
+        blocks = F.broadcast(blocks)
     normed = with_normalised(docs.select(id_col, vec_col), vec_col, "_u")
     sims = (
-        normed.crossJoin(F.broadcast(row))
+        normed.crossJoin(blocks)
         .select(id_col, F.transform("_protos", lambda p: F.struct(p["category"].alias("category"),
                                                                  dot(F.col("_u"), p["proto"]).alias("sim"))).alias("_s"))
     )
@@ -55,6 +61,10 @@ def classify(docs: DataFrame, protos: DataFrame, id_col: str, vec_col: str = "em
         sims.withColumn("_max", F.array_max(F.transform("_s", lambda s: s["sim"])))
         .select(id_col, F.filter("_s", lambda s: s["sim"] == F.col("_max"))[0].alias("_b"))
     )
+    if n > BLOCK_PROTOTYPES:
+        tops = best.groupBy(id_col).agg(F.max("_b.sim").alias("_top"))
+        best = (best.join(tops, [id_col]).where(F.col("_b.sim") == F.col("_top")).groupBy(id_col)
+                .agg(F.min(F.struct("_b.category", "_b.sim")).alias("_b")))
     pct = F.round(F.col("_b.sim") * 100.0, 1)
     return best.select(
         id_col, F.col("_b.category").alias("category"), pct.alias("confidence_pct"),

@@ -39,9 +39,7 @@ from ..session import materialize
 from .skew import lookup_join
 from .tokens import doc_terms
 
-# The taxonomy bounds the number of classes; the class table is broadcast,
-# so fitting refuses label sets above this size.
-MAX_CLASSES = 10_000
+DENSE_CLASSES = 64      # up to so many classes a term's deltas are one vector; the results are the same beyond
 
 
 @dataclass
@@ -87,40 +85,36 @@ def stored_corrections(corrections: DataFrame) -> DataFrame:
 def fit(samples: DataFrame, options: NBOptions = NBOptions()) -> NBModel:
     """Fit the model tables from ``samples(sample_id, text, label, weight)``.
 
-    Eager: the tokenised corpus is persisted once (vocabulary and weights both
-    read it) and the model tables are written to the shared checkpoint folder,
-    which cuts their lineage and gives the scoring join their exact size.
+    Eager: the model tables are written to the shared checkpoint folder, which
+    cuts their lineage and gives the scoring join their exact size.
     """
     a = float(options.alpha)
-    dt = doc_terms(samples, "sample_id", "text", options.ngram_range, options.stop_words,
-                   keep=["label", "weight"]).persist()
-    try:
-        totals = samples.agg(F.sum("weight").cast("double").alias("n"))
-        vocab = materialize(
-            dt.groupBy("term").agg(F.sum("weight").alias("df"))
-            .crossJoin(F.broadcast(totals))
-            .select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")),
-            "nb-vocab",
-        )
-        weighted = lookup_join(dt, vocab, ["term"], ["sample_id"], options.term_salt)
-        xr = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
-        per_doc = Window.partitionBy("sample_id")
-        normed = (
-            weighted.select("sample_id", "label", "weight", "term", "idf", xr.alias("xr"))
-            .withColumn("norm", F.sqrt(F.sum(F.col("xr") * F.col("xr")).over(per_doc)))
-        )
-        # per (term, class) mass, then one row per term with its class entries
-        terms = materialize(
-            normed.groupBy("term", "label")
-            .agg(F.sum(F.col("weight") * F.col("xr") / F.col("norm")).alias("n_ct"), F.first("idf").alias("idf"))
-            .groupBy("term")
-            .agg(F.first("idf").alias("idf"),
-                 F.collect_list(F.struct(
-                     "label", "n_ct", (F.log(F.col("n_ct") + a) - F.log(F.lit(a))).alias("delta"))).alias("deltas")),
-            "nb-terms",
-        )
-    finally:
-        dt.unpersist()
+    # tokenised twice rather than kept: the exploded corpus is many times its texts
+    dt = doc_terms(samples, "sample_id", "text", options.ngram_range, options.stop_words, keep=["label", "weight"])
+    totals = samples.agg(F.sum("weight").cast("double").alias("n"))
+    vocab = materialize(
+        dt.groupBy("term").agg(F.sum("weight").alias("df"))
+        .crossJoin(F.broadcast(totals))
+        .select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")),
+        "nb-vocab",
+    )
+    weighted = lookup_join(dt, vocab, ["term"], ["sample_id"], options.term_salt)
+    xr = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    per_doc = Window.partitionBy("sample_id")
+    normed = (
+        weighted.select("sample_id", "label", "weight", "term", "idf", xr.alias("xr"))
+        .withColumn("norm", F.sqrt(F.sum(F.col("xr") * F.col("xr")).over(per_doc)))
+    )
+    # per (term, class) mass, then one row per term with its class entries
+    terms = materialize(
+        normed.groupBy("term", "label")
+        .agg(F.sum(F.col("weight") * F.col("xr") / F.col("norm")).alias("n_ct"), F.first("idf").alias("idf"))
+        .groupBy("term")
+        .agg(F.first("idf").alias("idf"),
+             F.collect_list(F.struct(
+                 "label", "n_ct", (F.log(F.col("n_ct") + a) - F.log(F.lit(a))).alias("delta"))).alias("deltas")),
+        "nb-terms",
+    )
     n_vocab = terms.agg(F.count(F.lit(1)).cast("double").alias("v"))
     class_mass = terms.select(F.inline("deltas")).groupBy("label").agg(F.sum("n_ct").alias("n_c_mass"))
     class_count = samples.groupBy("label").agg(F.sum("weight").cast("double").alias("n_c"))
@@ -134,9 +128,6 @@ def fit(samples: DataFrame, options: NBOptions = NBOptions()) -> NBModel:
         ),
         "nb-classes",
     )
-    n_classes = classes.count()          # a few rows: the written class table
-    if n_classes > MAX_CLASSES:
-        raise ValueError(f"{n_classes} labels: the class table is broadcast and must stay under {MAX_CLASSES}")
     return NBModel(classes=classes, terms=terms, options=options)
 
 
@@ -148,15 +139,29 @@ def _class_row(model: NBModel) -> DataFrame:
     )
 
 
-def score(model: NBModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, label, confidence)``: arg-max label and its probability, per document.
+def _dense_sums(model: NBModel, dt: DataFrame, markers: DataFrame, labels: list[str], id_col: str) -> DataFrame:
+    """Per document: ``x_sum, norm, blank, hit`` (label -> sum of deltas), as one sum per class.
 
-    Blank texts get label null and confidence 0 (see :func:`gate`). Every
-    input document gets exactly one row.
+    A term's deltas become a vector in label order before the join, so a hit stays one row and
+    documents are summed in one shuffle with map-side combine.
     """
-    opts = model.options
-    dt = doc_terms(docs, id_col, text_col, opts.ngram_range, opts.stop_words)
-    hits = lookup_join(dt, model.terms, ["term"], [id_col], opts.term_salt)
+    by_label = F.map_from_entries(F.transform("deltas", lambda d: F.struct(d["label"], d["delta"])))
+    terms = model.terms.select("term", "idf", by_label.alias("_m")).select(
+        "term", "idf", F.array(*[F.coalesce(F.element_at("_m", x), F.lit(0.0)) for x in labels]).alias("_d"))
+    hits = lookup_join(dt, terms, ["term"], [id_col], model.options.term_salt)
+    xr = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    rows = hits.select(id_col, xr.alias("xr"), F.lit(None).cast("boolean").alias("blank"), "_d").unionByName(
+        markers.select(id_col, F.lit(0.0).alias("xr"), "blank", F.lit(None).cast("array<double>").alias("_d")))
+    per_class = [F.coalesce(F.sum(F.col("xr") * F.col("_d")[k]), F.lit(0.0)) for k in range(len(labels))]
+    return rows.groupBy(id_col).agg(
+        F.sum("xr").alias("x_sum"), F.sqrt(F.sum(F.col("xr") * F.col("xr"))).alias("norm"), F.max("blank").alias("blank"),
+        F.map_from_arrays(F.array(*map(F.lit, labels)).cast("array<string>"),
+                          F.array(*per_class).cast("array<double>")).alias("hit"))
+
+
+def _sparse_sums(model: NBModel, dt: DataFrame, markers: DataFrame, labels: list[str], id_col: str) -> DataFrame:
+    """The same sums for many classes: a hit becomes one row per class it was seen with."""
+    hits = lookup_join(dt, model.terms, ["term"], [id_col], model.options.term_salt)
     xr = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
     entries = F.transform("deltas", lambda d: F.struct(d["label"].alias("label"), d["delta"].alias("delta")))
     stat_entry = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("delta")))
@@ -169,20 +174,33 @@ def score(model: NBModel, docs: DataFrame, id_col: str = "doc_id", text_col: str
             F.lit(False).alias("blank"),
         )
     )
-    # one marker row per document, so documents without a known term still score
-    markers = docs.select(id_col, F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("s"),
-                          F.lit(0.0).alias("q"), is_blank(text_col).alias("blank"))
+    marked = markers.select(id_col, F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), "blank")
     per_label = (
-        contrib.unionByName(markers)
+        contrib.unionByName(marked)
         .groupBy(id_col, "label")
         .agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("blank").alias("blank"))
     )
-    per_doc = per_label.groupBy(id_col).agg(
+    return per_label.groupBy(id_col).agg(
         F.sum(F.when(F.col("label").isNull(), F.col("s"))).alias("x_sum"),
         F.sqrt(F.sum(F.when(F.col("label").isNull(), F.col("q")))).alias("norm"),
         F.max("blank").alias("blank"),
         F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "s")))).alias("hit"),
     )
+
+
+def score(model: NBModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, label, confidence)``: arg-max label and its probability, per document.
+
+    Blank texts get label null and confidence 0 (see :func:`gate`). Every
+    input document gets exactly one row.
+    """
+    opts = model.options
+    dt = doc_terms(docs, id_col, text_col, opts.ngram_range, opts.stop_words)
+    # one marker row per document, so documents without a known term still score
+    markers = docs.select(id_col, is_blank(text_col).alias("blank"))
+    labels = [r["label"] for r in model.classes.select("label").orderBy("label").collect()]     # the taxonomy
+    sums = _dense_sums if len(labels) <= DENSE_CLASSES else _sparse_sums
+    per_doc = sums(model, dt, markers, labels, id_col)
     scored = (
         per_doc.crossJoin(F.broadcast(_class_row(model)))
         .withColumn("_inv", F.when(F.col("norm") > 0, 1.0 / F.col("norm")).otherwise(F.lit(0.0)))

@@ -1,8 +1,7 @@
 """TF-IDF weights (D4): sublinear tf, smoothed idf, L2-normalised per document.
 
 Spark ML's ``IDF`` has neither the ``+1`` smoothing term nor sublinear tf, so
-the weights are computed relationally: the tokenised corpus is persisted
-once, the vocabulary (document frequencies) is a partially aggregated
+the weights are computed relationally: the vocabulary (document frequencies) is a partially aggregated
 ``groupBy(term)`` written to the checkpoint folder, and the per-document norm
 is a window over the document's own terms.
 """
@@ -20,7 +19,7 @@ from .tokens import doc_terms
 def tfidf(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram_range=(1, 2),
           stop_words: tuple[str, ...] | None = None, term_salt: int = 8) -> DataFrame:
     """``(id, term, tf, idf, weight)`` for every distinct term of every document."""
-    dt = doc_terms(df, id_col, text_col, ngram_range, stop_words).persist()
+    dt = doc_terms(df, id_col, text_col, ngram_range, stop_words)
     n_docs = df.agg(F.count(F.lit(1)).cast("double").alias("n"))
     vocab = materialize(
         dt.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
