@@ -5,12 +5,12 @@ A config JSON document becomes three tables: ``categories(pos, category)``,
 plus the option scalars. Edits are set operations on those tables; each
 returns new tables (nothing mutates in place). Guards that must fail loudly
 (unknown category, protected category, duplicate) raise ``TaxonomyError``
-after a bounded check (``limit(1)``) on the driver.
+after a bounded check (one row) on the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,22 +79,42 @@ def violations(t: Taxonomy) -> DataFrame:
     return out
 
 
-def validate(t: Taxonomy) -> None:
-    """Raise with the first violations, naming the offending categories."""
-    bad = violations(t).limit(20).collect()
-    if bad:
-        raise TaxonomyError("; ".join(f"{r['rule']}: {r['item']}" for r in bad))
+def validate(t: Taxonomy, show: int = 20) -> None:
+    """Raise when a rule is violated: how many items, and the first ``show`` of them in order."""
+    bad = violations(t)
+    total = bad.count()
+    if total:
+        first = ", ".join(f"{r['rule']} {r['item']!r}" for r in bad.orderBy("rule", "item").take(show))
+        raise TaxonomyError(f"{total} violations: {first}")
 
 
-def _clean_name(name: str) -> str:
-    c = name.strip()
-    if not c:
-        raise TaxonomyError("Category name is required.")
-    return c
+# What each edit asks of the category it names; a rule that does not hold fails the edit under its own name.
+EDIT_RULES = {
+    "add": ("named", "new", "worded"),
+    "delete": ("named", "unprotected", "listed"),
+    "update": ("named", "listed", "worded"),
+}
 
 
-def _exists(t: Taxonomy, name: str) -> bool:
-    return t.categories.where(F.col("category") == name).limit(1).count() > 0
+def _checked(t: Taxonomy, edit: str, name: str, keywords=None) -> tuple[str, DataFrame | None]:
+    """The stripped name and the keyword rows of an edit whose rules all hold."""
+    name = name.strip()
+    rows = _keyword_rows(t.categories.sparkSession, name, keywords) if keywords is not None else None
+
+    def listed() -> bool:
+        return bool(t.categories.where(F.col("category") == name).take(1))
+
+    holds = {
+        "named": lambda: bool(name),
+        "new": lambda: not listed(),
+        "listed": listed,
+        "unprotected": lambda: name != PROTECTED_CATEGORY,
+        "worded": lambda: bool(rows.take(1)),
+    }
+    for rule in EDIT_RULES[edit]:
+        if not holds[rule]():
+            raise TaxonomyError(f"cannot {edit} category {name!r}: it must be {rule}")
+    return name, rows
 
 
 def _keyword_rows(spark: SparkSession, name: str, keywords) -> DataFrame:
@@ -110,43 +130,24 @@ def _keyword_rows(spark: SparkSession, name: str, keywords) -> DataFrame:
 
 def add_category(t: Taxonomy, name: str, keywords=None) -> Taxonomy:
     """Append a new category with its keyword sentences (a default when none)."""
-    spark = t.categories.sparkSession
-    name = _clean_name(name)
-    if _exists(t, name):
-        raise TaxonomyError(f"Category '{name}' already exists.")
-    kw = keywords if keywords else [DEFAULT_KEYWORD_SENTENCE.format(name=name)]
-    rows = _keyword_rows(spark, name, kw)
-    if rows.limit(1).count() == 0:
-        raise TaxonomyError("At least one keyword sentence is required.")
+    default = [DEFAULT_KEYWORD_SENTENCE.format(name=name.strip())]
+    name, rows = _checked(t, "add", name, keywords or default)
     next_pos = t.categories.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).cast("int").alias("pos"))
-    cats = t.categories.unionByName(next_pos.select("pos", F.lit(name).alias("category")))
-    training = t.training.where(F.col("category") != name).unionByName(rows)
-    return Taxonomy(cats, training, t.corrections, t.extensions, t.raw)
+    return replace(t, categories=t.categories.unionByName(next_pos.select("pos", F.lit(name).alias("category"))),
+                   training=t.training.where(F.col("category") != name).unionByName(rows))
 
 
 def delete_category(t: Taxonomy, name: str) -> Taxonomy:
     """Remove a category and its training rows; corrections stay."""
-    name = _clean_name(name)
-    if name == PROTECTED_CATEGORY:
-        raise TaxonomyError(f"'{PROTECTED_CATEGORY}' is the fallback category and cannot be deleted.")
-    if not _exists(t, name):
-        raise TaxonomyError(f"Category '{name}' does not exist.")
-    cats = t.categories.where(F.col("category") != name)
-    training = t.training.where(F.col("category") != name)
-    return Taxonomy(cats, training, t.corrections, t.extensions, t.raw)
+    name, _ = _checked(t, "delete", name)
+    return replace(t, categories=t.categories.where(F.col("category") != name),
+                   training=t.training.where(F.col("category") != name))
 
 
 def update_keywords(t: Taxonomy, name: str, keywords) -> Taxonomy:
     """I4: replace a category's keyword sentences."""
-    spark = t.categories.sparkSession
-    name = _clean_name(name)
-    if not _exists(t, name):
-        raise TaxonomyError(f"Category '{name}' does not exist.")
-    rows = _keyword_rows(spark, name, keywords)
-    if rows.limit(1).count() == 0:
-        raise TaxonomyError("At least one keyword sentence is required.")
-    training = t.training.where(F.col("category") != name).unionByName(rows)
-    return Taxonomy(t.categories, training, t.corrections, t.extensions, t.raw)
+    name, rows = _checked(t, "update", name, keywords)
+    return replace(t, training=t.training.where(F.col("category") != name).unionByName(rows))
 
 
 def list_categories(t: Taxonomy) -> DataFrame:

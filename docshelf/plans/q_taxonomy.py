@@ -14,11 +14,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import options as O
+from ..operators import naive_bayes as nb
 from ..operators import taxonomy as tx
 from ..operators.language import language_name
 from ..session import scratch_path
 from ..sources.tables import read_table
 from .catalog import query
+from .q_classify import nb_result_sql
 from .sqltext import q
 
 
@@ -86,6 +88,47 @@ def taxonomy_validate(spark, sf_dir):
     return tx.violations(t)
 
 
+def write_faulty_configs(spark, sf_dir) -> str:
+    """Three faulty documents built from the languages: corrupt, empty, and one with blank, untrained and dotless entries."""
+    langs = read_table(spark, sf_dir, "documents").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    codes = F.array_join("langs", '","')
+    docs = langs.select(F.posexplode(F.array(
+        F.concat(F.lit("{bad json "), F.array_join("langs", " ")),
+        F.lit('{"categories": [], "training_data": {}, "organizer": {"supported_extensions": []}}'),
+        F.concat(F.lit('{"categories": [" ","'), codes, F.lit('"], "training_data": {" ": ["x"]}, "organizer": {"supported_extensions": ["'),
+                 codes, F.lit('"]}}')),
+    )).alias("no", "value"))
+    path = scratch_path(spark, f"faulty-{uuid.uuid4().hex}")
+    docs.repartition(3, "no").select("value", "no").write.partitionBy("no").text(path)
+    return path
+
+
+@query("taxonomy_validate_rules", """
+WITH langs AS (SELECT DISTINCT lang FROM documents)
+SELECT 0 AS config, 'invalid_json' AS rule, CAST(NULL AS VARCHAR) AS item
+UNION ALL SELECT 0, 'no_categories', NULL UNION ALL SELECT 0, 'no_training_data', NULL
+UNION ALL SELECT 1, 'no_categories', NULL UNION ALL SELECT 1, 'no_training_data', NULL
+UNION ALL SELECT 2, 'blank_category', ' '
+UNION ALL SELECT 2, 'missing_training', lang FROM langs
+UNION ALL SELECT 2, 'bad_extension', lang FROM langs""")
+def taxonomy_validate_rules(spark, sf_dir):
+    """All six rules over three faulty documents."""
+    path, out = write_faulty_configs(spark, sf_dir), None
+    for k in range(3):
+        found = tx.violations(tx.load_config(spark, f"{path}/no={k}")).select(F.lit(k).alias("config"), "rule", "item")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("taxonomy_model", lambda: nb_result_sql(f"""SELECT 2 * t.pos + hash(t.category) % 1000003 AS sample_id, t.text, t.category AS label, 1 AS weight
+  FROM (WITH {_CATS_SQL} SELECT category, pos, text FROM training) t""") + """
+SELECT doc_id, category, confidence_pct, is_low FROM nb_result""")
+def taxonomy_model(spark, sf_dir):
+    """Config to model to classified documents."""
+    t = tx.load_config(spark, write_config(spark, sf_dir))
+    return nb.classify(nb.fit(tx.training_samples(t)), read_table(spark, sf_dir, "documents"))
+
+
 _EDIT_ADD = "spam offer\n\n  cheap pills  "
 _EDIT_FR = "bonjour texte\nfrançais"
 
