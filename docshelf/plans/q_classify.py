@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import options as O
-from ..operators import dedup, language, reports
+from ..operators import dedup, embedding, language, reports
 from ..operators import naive_bayes as nb
+from ..operators.classify import classify
 from ..session import materialize
 from ..sources.tables import documents_as_files, read_table
-from .catalog import query
+from . import q_search  # noqa: F401  (classify_methods repeats its embedding_classify)
+from .catalog import ORACLE, query
 from .sqltext import file_path_sql, nb_model_ctes, nb_score_ctes, q
 
 # --------------------------------------------------------------------------
@@ -142,6 +144,42 @@ def nb_with_corrections(spark, sf_dir):
     return nb.classify(model, docs)
 
 
+# --------------------------------------------------------------------------
+# The two methods behind one entry; D13: files that failed
+# --------------------------------------------------------------------------
+
+@query("classify_methods", lambda: f"""
+SELECT 'nb' AS method, doc_id AS id, category, confidence_pct, is_low FROM ({ORACLE["nb_classify"]})
+UNION ALL
+SELECT 'embedding', vec_id, CAST(category AS VARCHAR), confidence_pct, is_low FROM ({ORACLE["embedding_classify"]})""")
+def classify_methods(spark, sf_dir):
+    docs, vectors = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "embeddings")
+    by_text = classify(docs, "nb", model=lang_model(spark, sf_dir))
+    by_vector = classify(vectors, "embedding", "vec_id", prototypes=embedding.prototypes(vectors, "label"))
+
+    def named(df, method, id_col):
+        return df.select(F.lit(method).alias("method"), F.col(id_col).alias("id"), F.col("category").cast("string").alias("category"),
+                         "confidence_pct", "is_low")
+
+    return named(by_text, "nb", "doc_id").unionByName(named(by_vector, "embedding", "vec_id"))
+
+
+FAILED_SQL = "SELECT doc_id FROM labels WHERE quality = 0"
+
+
+@query("classify_errors", lambda: nb_result_sql() + f""",
+failed AS ({FAILED_SQL})
+SELECT r.doc_id, CASE WHEN f.doc_id IS NULL THEN r.category ELSE {q(O.ERROR_CATEGORY)} END AS category,
+       CASE WHEN f.doc_id IS NULL THEN r.confidence_pct ELSE 0.0 END AS confidence_pct, f.doc_id IS NOT NULL OR r.is_low AS is_low
+FROM nb_result r LEFT JOIN failed f USING (doc_id)""")
+def classify_errors(spark, sf_dir):
+    """Low-quality labelled documents stand for files whose extraction failed: they have no score."""
+    docs = read_table(spark, sf_dir, "documents")
+    failed = read_table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    scored = nb.score(lang_model(spark, sf_dir), docs.join(failed, ["doc_id"], "left_anti"))
+    return nb.gate(docs.select("doc_id").join(scored, ["doc_id"], "left"))
+
+
 # --------------------------------------------------------------------------
 # Language names and identification
 # --------------------------------------------------------------------------

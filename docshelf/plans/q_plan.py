@@ -11,7 +11,7 @@ from ..operators import naming, organise, reports
 from ..session import materialize
 from ..sources.tables import documents_as_files, read_table
 from .catalog import query
-from .q_classify import TRAIN_LANG_SQL, labelled_docs, lang_model
+from .q_classify import FAILED_SQL, TRAIN_LANG_SQL, labelled_docs, lang_model
 from .sqltext import file_path_sql, nb_model_ctes, nb_score_ctes, proposed_name_sql, q, sanitise_sql, suffix_sql, stem_sql
 
 ROOT = "organised"
@@ -264,6 +264,32 @@ def run_stats(spark, sf_dir):
     return reports.run_stats(plan["results"], plan["duplicates"])
 
 
+@query("run_stats_errors", lambda: _organise_sql_ctes() + f""",
+failed AS (SELECT o.doc_id FROM orig o JOIN ({FAILED_SQL}) l USING (doc_id)),
+done AS (SELECT * FROM results WHERE doc_id NOT IN (SELECT doc_id FROM failed))
+SELECT CAST((SELECT count(*) FROM f) AS BIGINT) AS total_files, CAST(count(*) AS BIGINT) AS moved,
+       CAST((SELECT count(*) FROM f) - (SELECT count(*) FROM results) AS BIGINT) AS duplicates,
+       CAST((SELECT count(*) FROM failed) AS BIGINT) AS errors, CAST(count(*) FILTER (WHERE is_low) AS BIGINT) AS low_confidence
+FROM done""")
+def run_stats_errors(spark, sf_dir):
+    """A run in which some files failed: they count as errors, not as moved (G1)."""
+    plan = organise_results(spark, sf_dir)
+    failed = read_table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    results = plan["results"]
+    return reports.run_stats(results.join(failed, ["doc_id"], "left_anti"), plan["duplicates"],
+                             results.join(failed, ["doc_id"], "left_semi"))
+
+
+@query("status_labels", lambda: _organise_sql_ctes() + f""",
+ov AS ({OVERRIDES_SQL})
+SELECT r.doc_id, CASE WHEN ov.override_category IS NOT NULL THEN {q(O.STATUS_OVERRIDDEN)}
+                      WHEN r.is_low THEN {q(O.STATUS_LOW)} ELSE {q(O.STATUS_CONFIDENT)} END AS status
+FROM results r LEFT JOIN ov USING (path)""")
+def status_labels(spark, sf_dir):
+    out = organise.apply_overrides(organise_results(spark, sf_dir)["results"], overrides(spark, sf_dir), ROOT, web=True)
+    return out.select("doc_id", reports.status_label().alias("status"))
+
+
 @query("category_counts", lambda: _organise_sql_ctes() + f""",
 cats AS (SELECT DISTINCT lang AS category FROM documents UNION SELECT {q(O.FALLBACK_CATEGORY)}),
 counts AS (SELECT category, count(*) AS n_files, count(*) FILTER (WHERE is_low) AS n_low,
