@@ -23,9 +23,9 @@ from .common import text_rows, written
 
 @dataclass(frozen=True)
 class SpanOptions:
-    run: int = 3               # sentences in a span
+    run: int = 3               # sentences in a span at least
     least_words: int = 12      # words in a span at least
-    long_words: int = 40       # a run of fewer sentences counts from so many words on
+    long_words: int = 25       # fewer sentences count from so many words on
 
 
 # Fixed value: a sentence with its end and the white space after it; runs of plain classes only, so linear.
@@ -44,20 +44,28 @@ def spans_of(rows: DataFrame, opts: SpanOptions) -> DataFrame:
                  F.xxhash64(w).alias("h"), F.hash(w).alias("g"), F.size(w).alias("n"))).alias("s")))
     starts = F.sequence(F.lit(1), F.size("s"))
 
-    def run(length: int):
+    def words_in(i, length):
+        return F.aggregate(F.slice("s", i, length), F.lit(0), lambda acc, x: acc + x["n"])
+
+    def span(i, length):
+        part = F.slice("s", i, length)
+        return F.when(length.isNotNull() & (i + length - 1 <= F.size("s")), F.struct(
+            (i - 1).alias("at"), length.alias("length"), F.xxhash64(F.transform(part, lambda x: x["h"])).alias("h1"),
+            F.hash(F.transform(part, lambda x: x["g"]), length).alias("h2")))
+
+    def full(i):
+        # most runs have words enough; only the others are lengthened
+        longer = F.filter(F.sequence(F.lit(opts.run + 1), F.lit(3 * opts.least_words)),
+                          lambda n: words_in(i, n) >= opts.least_words)
+        return span(i, F.when(words_in(i, F.lit(opts.run)) >= opts.least_words, F.lit(opts.run)).otherwise(F.get(longer, F.lit(0))))
+
+    def short(length: int):
         def one(i):
-            part = F.slice("s", i, length)
-            total = F.aggregate(part, F.lit(0), lambda acc, x: acc + x["n"])
-            before = F.aggregate(F.slice("s", i, length - 1), F.lit(0), lambda acc, x: acc + x["n"]) if length > 1 else F.lit(0)
-            least = (total >= opts.least_words) if length == opts.run else (
-                (total >= opts.long_words) & (before < opts.long_words))
-            fits = (i + length - 1 <= F.size("s")) & least
-            return F.when(fits, F.struct((i - 1).alias("at"), F.lit(length).alias("length"),
-                                         F.xxhash64(F.transform(part, lambda x: x["h"])).alias("h1"),
-                                         F.hash(F.transform(part, lambda x: x["g"]), F.lit(length)).alias("h2")))
+            before = words_in(i, F.lit(length - 1)) if length > 1 else F.lit(0)
+            return span(i, F.when((words_in(i, F.lit(length)) >= opts.long_words) & (before < opts.long_words), F.lit(length)))
         return F.transform(starts, one)
 
-    all_runs = F.concat(*[run(n) for n in range(1, opts.run + 1)])
+    all_runs = F.concat(F.transform(starts, full), *[short(n) for n in range(1, opts.run)])
     return (marks.where(F.size("s") > 0)
             .select("row_key", "doc_id", F.explode(F.filter(all_runs, lambda x: x.isNotNull())).alias("x"))
             .select("row_key", "doc_id", "x.*"))
