@@ -46,3 +46,21 @@ def test_registry_and_reset(spark):
     assert not out[6]["is_duplicate"]
     reset = {r["doc_id"]: r for r in dedup.check_against_registry(batch, dedup.empty_registry(spark)).collect()}
     assert not reset[5]["is_duplicate"]
+
+
+def test_unique_hashes_are_not_replicated(spark, monkeypatch):
+    sizes = []
+
+    def counting(big, lookup, keys, salt_cols, buckets, how="inner"):
+        sizes.append(lookup.count())
+        return salted_lookup(big, lookup, keys, salt_cols, buckets, how)
+
+    from docshelf.operators import dedup
+    from docshelf.operators.skew import salted_lookup
+
+    monkeypatch.setattr(dedup, "salted_lookup", counting)
+    df = spark.createDataFrame([(k, f"p{k}", f"h{k % 90}") for k in range(100)], "doc_id bigint, path string, content_hash string")
+    got = dedup.mark_duplicates(df).where("is_duplicate").collect()
+    assert len(got) == 10 and sizes == [10]
+    registry = spark.createDataFrame([(f"h{k}", "old") for k in range(80, 500)], "content_hash string, first_path string")
+    assert dedup.check_against_registry(df, registry).where("is_duplicate").count() == 20 and sizes[-1] == 10

@@ -65,3 +65,17 @@ def test_dedup_with_ttl_runs(spark):
     df = spark.createDataFrame(rows, "content_hash string, path string, event_id long, ts_us long")
     out = run(spark, df, lambda s: watch.dedup(s, ttl_seconds=3600))
     assert sorted((r["event_id"], r["is_duplicate"]) for r in out.collect()) == [(1, False), (2, True), (3, False)]
+
+
+def test_default_start_takes_files_written_after_it(spark, tmp_path):
+    import os
+
+    root = tmp_path / "inbox"
+    root.mkdir()
+    (root / "old.txt").write_text("old")
+    os.utime(root / "old.txt", (1_000_000_000, 1_000_000_000))
+    events = watch.folder_events(spark, str(root))
+    (root / "new.txt").write_text("new")
+    base = scratch_path(spark, f"t-start-{uuid.uuid4().hex}")
+    watch.run_to_table(events, f"{base}/out", f"{base}/ckpt")
+    assert [os.path.basename(r["path"]) for r in spark.read.parquet(f"{base}/out").collect()] == ["new.txt"]
