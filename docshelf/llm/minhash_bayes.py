@@ -2,10 +2,12 @@
 
 1. Each text becomes its set of word shingles (as 64-bit hashes) and a MinHash signature whose
    bands are hashed. Texts with equal sets form a class; only class representatives go on.
-2. Representatives that share a band are candidates. A band bucket is compared in rounds: against
-   one pivot, then against 8, 64, 512, ... of its members, and only between members that are not
-   yet in one component, until every pair is either compared or already connected. A large group
-   of near copies thus costs about one comparison per member, and still no link is lost.
+2. Representatives that share a band are candidates. Small buckets are compared pair by pair. The
+   members of a large bucket are first compared with its pivot; buckets of one group of near copies
+   mostly share their pivots, and all members that have a pivot in common form a family. Where a
+   family is not one component by then, its members outside the largest component are compared with
+   all others, block against block inside tasks, and only links that join components are written.
+   So every pair of candidates is either compared or already connected, and none is written out.
 3. A candidate pair is read signature batch by signature batch. After n hashes with m agreements
    the similarity has the posterior Beta(m + 1, n - m + 1); the pair is dropped as soon as
    P(similarity >= threshold) falls under the chosen miss probability.
@@ -42,8 +44,8 @@ class MinHashOptions:
     rows: int = 5                  # hashes in a band; at similarity 0.75 a pair is missed with 2e-5
     batch: int = 25                # hashes compared between two looks at the posterior
     miss: float = 1e-6             # posterior probability under which a pair is dropped
-    small_bucket: int = 8          # buckets up to this size are compared at once
-    growth: int = 8                # pivots per round grow by this factor
+    small_bucket: int = 8          # buckets up to this size are compared pair by pair
+    block: int = 256               # members of a family compared at once
 
 
 BLOCK = 1 << 20                    # bytes of a text hashed at once
@@ -143,13 +145,15 @@ def least_matches(opts: MinHashOptions) -> list[tuple[int, int]]:
     return out
 
 
-def plausible(a: np.ndarray, b: np.ndarray, opts: MinHashOptions) -> np.ndarray:
-    """Which pairs of signature rows survive the sequential test."""
-    alive, matches, seen = np.arange(len(a)), np.zeros(len(a), np.int64), 0
+def plausible(a: np.ndarray, b: np.ndarray, opts: MinHashOptions, i: np.ndarray | None = None,
+              j: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of signature rows (``a[i]`` with ``b[j]``) survive the sequential test."""
+    i, j = (np.arange(len(a)), np.arange(len(b))) if i is None else (i, j)
+    alive, matches, seen = np.arange(len(i)), np.zeros(len(i), np.int64), 0
     for n, least in least_matches(opts):
-        matches[alive] += (a[alive, seen:n] == b[alive, seen:n]).sum(axis=1)
+        matches[alive] += (a[i[alive], seen:n] == b[j[alive], seen:n]).sum(axis=1)
         alive, seen = alive[matches[alive] >= least], n
-    keep = np.zeros(len(a), bool)
+    keep = np.zeros(len(i), bool)
     keep[alive] = True
     return keep
 
@@ -231,40 +235,73 @@ def _in_order(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def near_links(members: DataFrame, prints: DataFrame, opts: MinHashOptions) -> DataFrame:
-    """``node, label``: components of the representatives, from the band buckets they share.
-
-    ``members``: ``bucket, node, size, pivot, place``, with ``place`` uniform in [0, 1) by bucket and node.
-    """
-    def verified(pairs: DataFrame) -> DataFrame:
-        kept = written(_survivors(pairs, prints, opts), "survivors")
-        return _verified(kept, prints, opts)
-
-    small, large = members.where(F.col("size") <= opts.small_bucket), members.where(F.col("size") > opts.small_bucket)
+    """``node, label``: components of the representatives, from the buckets (``bucket, node, size, pivot``) they share."""
+    small = members.where(F.col("size") <= opts.small_bucket).select("bucket", "node")
+    families = written(members.where(F.col("size") > opts.small_bucket).select("pivot", "node").distinct(), "families")
     other = small.select("bucket", F.col("node").alias("other"))
     pairs = (small.join(other, "bucket").where("node < other").select("node", "other")
-             .union(large.where("node <> pivot").select("node", F.col("pivot").alias("other"))))
-    links = written(verified(_in_order(pairs, "node", "other")), "links")
-    labels = connected_components(links)
-    done, top = 0.0, large.agg(F.max("size")).first()[0] or 0
-    tried = 1
-    while done < 1.0 and top:
-        labelled = (large.join(labels, "node", "left")
-                    .withColumn("label", F.coalesce("label", "node")))
-        mixed = (labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                 .where("low <> high").select("bucket"))
-        open_ = written(labelled.join(mixed, "bucket"), "open-buckets")
-        top = open_.agg(F.max("size")).first()[0] or 0
-        if not top:
-            break
-        share = F.col("place") * F.col("size")
-        pivots = (open_.where((share >= (0 if tried == 1 else tried)) & (share < tried * opts.growth))
-                  .select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label")))
-        pairs = _in_order(open_.join(pivots, "bucket").where("label <> other_label"), "node", "other")
-        tried *= opts.growth
-        done = tried / top
-        links = written(links.union(verified(pairs)).distinct(), "links")
-        labels = connected_components(links)
-    return labels
+             .union(families.where("node <> pivot").select("node", "pivot")))
+    kept = written(_survivors(_in_order(pairs, "node", "other"), prints, opts), "survivors")
+    links = written(_verified(kept, prints, opts), "links")
+    labels = written(connected_components(links), "labels")
+    return connected_components(links.union(_family_links(families, labels, prints, opts)))
+
+
+def _family_links(families: DataFrame, labels: DataFrame, prints: DataFrame, opts: MinHashOptions) -> DataFrame:
+    """Links ``a, b`` that join components inside families.
+
+    A family is cut into blocks, those of its largest component apart from the rest. A block of the rest
+    meets every block; blocks of the largest component do not meet each other.
+    """
+    rows = families.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = rows.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_ = (sizes.groupBy("pivot").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("total"))
+             .where("total > top.n"))
+    rest_blocks = F.ceil((F.col("total") - F.col("top.n")) / opts.block).cast("int")
+    top_blocks = F.ceil(F.col("top.n") / opts.block).cast("int")
+    u, is_top = F.xxhash64("node"), F.col("label") == F.col("top.label")
+    met = (rows.join(open_, "pivot")
+           .withColumn("own", F.when(is_top, rest_blocks + F.pmod(u, top_blocks)).otherwise(F.pmod(u, rest_blocks)).cast("int"))
+           .withColumn("meets", F.explode(F.sequence(F.lit(0), rest_blocks - 1 + F.when(is_top, 0).otherwise(top_blocks))))
+           .select("pivot", "node", "label", "own", F.least("own", "meets").alias("low"),
+                   F.greatest("own", "meets").alias("high"))
+           .join(prints, "node"))
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("node")
+        sig = np.frombuffer(b"".join(g["sig"]), "<u4").reshape(len(g), -1)
+        node, label, text = g["node"].to_numpy(), g["label"].to_numpy(), g["text"].to_list()
+        in_low = (g["own"] == g["low"]).to_numpy()
+        one = bool((g["low"] == g["high"]).all())
+        left, right = np.flatnonzero(in_low), np.flatnonzero(in_low if one else ~in_low)
+        root = {x: x for x in label.tolist()}
+        sets: dict[int, np.ndarray] = {}
+        out = []
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_set(text[k], opts.words)
+            return sets[k]
+
+        for at in range(0, len(left), 32):
+            i, j = (x.ravel() for x in np.meshgrid(left[at:at + 32], right, indexing="ij"))
+            differ = (label[i] != label[j]) & ((i < j) if one else True)
+            i, j = i[differ], j[differ]
+            keep = plausible(sig, sig, opts, i, j)
+            for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+                a, b = find(label[x]), find(label[y])
+                if a != b and linked(of(x), of(y), opts.percent):
+                    root[max(a, b)] = min(a, b)
+                    out.append((min(node[x], node[y]), max(node[x], node[y])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return met.groupBy("pivot", "low", "high").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -285,8 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .agg(F.count(F.lit(1)).alias("size"),
                    F.min(F.struct(F.xxhash64("node").alias("u"), "node")).alias("low"))
               .where("size > 1").select("bucket", "size", F.col("low.node").alias("pivot")))
-    place = F.shiftrightunsigned(F.xxhash64("bucket", "node"), 11) / float(1 << 53)
-    members = written(banded.join(shared, "bucket").withColumn("place", place), "members")
+    members = written(banded.join(shared, "bucket"), "members")
     candidates = members.select("node").distinct()
     prints = written(_prints(rows.select(F.col("row_key").alias("node"), "text")
                              .join(candidates, "node", "left_semi"), opts), "prints")
