@@ -1,10 +1,12 @@
 """Substring dedup on sliding sentence spans (DataFrame operations only).
 
-A text is cut into sentences (ends: ``. ! ?`` and line breaks, with the white space after them), so that
-the sentences joined give the text back. Every run of ``run`` consecutive sentences with at least
-``least_words`` words is a span, and so is every shorter run of at least ``long_words`` words. Spans are
-hashed over their words in lower case. Equal spans are found by one global aggregation; of each, the
-first (smallest id, then row, then place) stays, and the sentences that any other one covers go.
+A text is cut into sentences (ends: a full stop before white space, ``!`` or ``?`` before white space and
+anything but a lower-case letter, and line breaks, each with the white space after them), so that the
+sentences joined give the text back.
+Every run of ``run`` consecutive sentences with at least ``least_words`` words is a span, and so is every
+shortest run of fewer sentences with at least ``long_words`` words. Spans are hashed over their words in
+lower case. Equal spans are found by one global aggregation; of each, the first (smallest id, then row,
+then place) stays, and the sentences that any other one covers go.
 
 Defined results: null text counts as empty; a null id comes after all others; rows that repeat an id
 are rows of their own; within one text too only the first of equal spans stays. Only the id and text
@@ -23,13 +25,13 @@ from .common import text_rows, written
 
 @dataclass(frozen=True)
 class SpanOptions:
-    run: int = 3               # sentences in a span at least
+    run: int = 3               # sentences in a span
     least_words: int = 12      # words in a span at least
     long_words: int = 25       # fewer sentences count from so many words on
 
 
-# Fixed value: a sentence with its end and the white space after it; runs of plain classes only, so linear.
-SENTENCE = r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+"
+# Fixed value: a sentence with its end and the white space after it; one lazy run, so linear.
+SENTENCE = r"(?s).+?(?:\.\s+|[!?]\s+(?=\P{Ll})|\n\s*|\z)"
 
 
 def with_sentences(rows: DataFrame) -> DataFrame:
@@ -42,32 +44,21 @@ def spans_of(rows: DataFrame, opts: SpanOptions) -> DataFrame:
     marks = (with_sentences(rows).select("row_key", "doc_id", words.alias("words"))
              .select("row_key", "doc_id", F.transform("words", lambda w: F.struct(
                  F.xxhash64(w).alias("h"), F.hash(w).alias("g"), F.size(w).alias("n"))).alias("s")))
-    starts = F.sequence(F.lit(1), F.size("s"))
-
-    def words_in(i, length):
-        return F.aggregate(F.slice("s", i, length), F.lit(0), lambda acc, x: acc + x["n"])
-
-    def span(i, length):
-        part = F.slice("s", i, length)
-        return F.when(length.isNotNull() & (i + length - 1 <= F.size("s")), F.struct(
-            (i - 1).alias("at"), length.alias("length"), F.xxhash64(F.transform(part, lambda x: x["h"])).alias("h1"),
-            F.hash(F.transform(part, lambda x: x["g"]), length).alias("h2")))
-
-    def full(i):
-        # most runs have words enough; only the others are lengthened
-        longer = F.filter(F.sequence(F.lit(opts.run + 1), F.lit(3 * opts.least_words)),
-                          lambda n: words_in(i, n) >= opts.least_words)
-        return span(i, F.when(words_in(i, F.lit(opts.run)) >= opts.least_words, F.lit(opts.run)).otherwise(F.get(longer, F.lit(0))))
-
-    def short(length: int):
-        def one(i):
-            before = words_in(i, F.lit(length - 1)) if length > 1 else F.lit(0)
-            return span(i, F.when((words_in(i, F.lit(length)) >= opts.long_words) & (before < opts.long_words), F.lit(length)))
-        return F.transform(starts, one)
-
-    all_runs = F.concat(F.transform(starts, full), *[short(n) for n in range(1, opts.run)])
-    return (marks.where(F.size("s") > 0)
-            .select("row_key", "doc_id", F.explode(F.filter(all_runs, lambda x: x.isNotNull())).alias("x"))
+
+    def run(length: int):
+        def one(first, i):
+            part = [first] + [F.get(F.col("s"), i + k) for k in range(1, length)]
+            total, before = sum(x["n"] for x in part), sum((x["n"] for x in part[:-1]), F.lit(0))
+            counts = (total >= opts.least_words) if length == opts.run else (
+                (total >= opts.long_words) & (before < opts.long_words))
+            # a run past the end has a null total
+            return F.when(counts, F.struct(i.alias("at"), F.lit(length).alias("length"),
+                                           F.xxhash64(*[x["h"] for x in part]).alias("h1"),
+                                           F.hash(*[x["g"] for x in part]).alias("h2")))
+        return F.transform("s", one)
+
+    all_runs = F.concat(*[run(n) for n in range(1, opts.run + 1)])
+    return (marks.select("row_key", "doc_id", F.explode(F.filter(all_runs, lambda x: x.isNotNull())).alias("x"))
             .select("row_key", "doc_id", "x.*"))
 
 

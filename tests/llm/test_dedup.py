@@ -1,9 +1,9 @@
 import collections
 import hashlib
-import re
 
 import numpy as np
 import pytest
+import regex
 
 from docshelf.llm import minhash_bayes as mb
 from docshelf.llm.components import connected_components
@@ -131,17 +131,14 @@ def test_components(spark):
 def brute_spans(rows, opts):
     seen, cut = collections.defaultdict(list), []
     for row, (i, t) in enumerate(rows):
-        s = re.findall(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+", t or "")
+        s = regex.findall(r"(?s).+?(?:\.[ \t\n\x0b\f\r]+|[!?][ \t\n\x0b\f\r]+(?=\P{Ll})|\n[ \t\n\x0b\f\r]*|\Z)", t or "")
         w = [tuple(x.lower().split()) for x in s]
         cut.append(s)
         for a in range(len(s)):
-            def total(n):
-                return sum(map(len, w[a:a + n]))
-
-            long = next((n for n in range(opts.run, 3 * opts.least_words + 1) if total(n) >= opts.least_words), None)
-            short = next((n for n in range(1, opts.run) if total(n) >= opts.long_words), None)
-            for n in (long, short):
-                if n is not None and a + n <= len(s):
+            for n in range(1, opts.run + 1):
+                total, before = sum(map(len, w[a:a + n])), sum(map(len, w[a:a + n - 1]))
+                if a + n <= len(s) and (total >= opts.least_words if n == opts.run
+                                        else total >= opts.long_words and before < opts.long_words):
                     seen[tuple(w[a:a + n])].append((i is None, i or 0, row, a))
     gone = collections.defaultdict(set)
     for span, places in seen.items():
