@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import salted_lookup
 from .common import text_rows, written
 from .components import connected_components
 
@@ -260,7 +261,8 @@ def _family_links(families: DataFrame, labels: DataFrame, prints: DataFrame, opt
     rest_blocks = F.ceil((F.col("total") - F.col("top.n")) / opts.block).cast("int")
     top_blocks = F.ceil(F.col("top.n") / opts.block).cast("int")
     u, is_top = F.xxhash64("node"), F.col("label") == F.col("top.label")
-    met = (rows.join(open_, "pivot")
+    # a family may hold a large share of all rows: its rows are salted, the one row about it is replicated
+    met = (salted_lookup(rows, open_, ["pivot"], ["node"], 16)
            .withColumn("own", F.when(is_top, rest_blocks + F.pmod(u, top_blocks)).otherwise(F.pmod(u, rest_blocks)).cast("int"))
            .withColumn("meets", F.explode(F.sequence(F.lit(0), rest_blocks - 1 + F.when(is_top, 0).otherwise(top_blocks))))
            .select("pivot", "node", "label", "own", F.least("own", "meets").alias("low"),
