@@ -1,7 +1,7 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling, and lossless decoding.
 
-Text is written with a marker for each space and one in front. No piece crosses from a sign to a
-following marker, so the piece lattice falls into units (markers and the signs up to the next). For
+Text is written with a marker for each space and one in front. Between two characters that stand side by
+side in no piece, no piece can cross, so there the piece lattice falls into independent units. For
 each distinct unit the forward sums of its lattice are computed once and kept as the probability of
 each piece that ends at a node. Backward sampling then draws, for all units of a batch at once, the
 last piece, the one before it, and so on. A draw is a hash of the seed, the row's key and its place, so
@@ -17,7 +17,6 @@ same text; a null id is a key like any other; other columns are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,7 +30,6 @@ from .common import tokenizer_path, whole_text
 
 MARKER = "▁"
 LITERAL = "\udc81"             # stands for a marker character of the text itself; UTF-8 text never holds it
-UNIT = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 UNIT_LIMIT = 150_000             # units remembered per Python worker
 UNIT_CHARS = 64                  # longer units are sampled but not remembered
 BLOCK_CHARS = 1 << 18            # characters sampled at once
@@ -52,6 +50,15 @@ class Pieces:
         self.longest = max(map(len, self.weight))
         #: (weight, id) of each piece; None for what only begins one
         self.found = {p[:k]: None for p in self.weight for k in range(1, len(p))} | self.weight
+        # which characters stand side by side in some piece: elsewhere no piece crosses, and a unit ends
+        together = {pair for p in self.weight for pair in zip(p, p[1:])}
+        signs = {c: k for k, c in enumerate(sorted({c for pair in together for c in pair}), 1)}
+        self.sign = np.zeros(0x110000, np.int32)
+        self.joined = np.zeros((len(signs) + 1, len(signs) + 1), bool)
+        for c, k in signs.items():
+            self.sign[ord(c)] = k
+        for a, b in together:
+            self.joined[signs[a], signs[b]] = True
         self.bytes = [sp.id_to_piece(i).replace(MARKER, " ").encode() if i in rank else b"" for i in range(n)]
         for b, i in self.byte_id.items():
             self.bytes[i] = bytes([b])
@@ -135,7 +142,7 @@ class Pieces:
         """A sampled segmentation of each text; ``keys`` are the rows' 64-bit keys."""
         units, owner, place = [], [], []
         for k, text in enumerate(texts):
-            own = UNIT.findall(self._marked(text)) if text else []
+            own = self._units(self._marked(text)) if text else []
             units += own
             owner.append(np.full(len(own), k))
             place.append(np.arange(len(own)))
@@ -147,6 +154,11 @@ class Pieces:
         sizes = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
         return [self._with_bytes(x) for x in np.split(ids, np.cumsum(sizes)[:-1])]
 
+    def _units(self, marked: str) -> list[str]:
+        sign = self.sign[np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4")]
+        ends = (np.flatnonzero(~self.joined[sign[:-1], sign[1:]]) + 1).tolist() + [len(marked)]
+        return [marked[a:b] for a, b in zip([0, *ends], ends)]
+
     @staticmethod
     def _marked(text: str) -> str:
         return MARKER + text.replace(MARKER, LITERAL).replace(" ", MARKER)
