@@ -43,6 +43,6 @@ def pieces_of(text: Column, chars: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written under the shared checkpoint folder and read back (cuts the lineage)."""
-    return materialize(df, f"llm-{name}")
+    return materialize(df, f"llm-{name}", compression)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import salted_lookup
-from .common import text_rows, written
+from .common import text_rows, whole_text, written
 from .components import connected_components
 
 
@@ -309,7 +309,11 @@ def _family_links(families: DataFrame, labels: DataFrame, prints: DataFrame, opt
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     opts: MinHashOptions = MinHashOptions()) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``, and ``row_key``."""
-    rows = text_rows(docs, id_col, text_col)
+    return _near_rows(written(text_rows(docs, id_col, text_col), "rows", "zstd"), opts)
+
+
+def _near_rows(rows: DataFrame, opts: MinHashOptions) -> DataFrame:
+    """``near_duplicates`` of a written table ``row_key, doc_id, text``: every scan sees the same keys."""
     shingles = written(shingled(rows, opts), "shingles")
     same = ["n_shingles", "set_a", "set_b"]
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
@@ -347,6 +351,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      opts: MinHashOptions = MinHashOptions()) -> DataFrame:
     """``docs`` with one row of each group of near copies (that of the smallest id), all columns unchanged."""
-    gone = near_duplicates(docs, id_col, text_col, opts).where("not kept").select(F.col("row_key").alias("__row_key"))
-    return (docs.withColumn("__row_key", F.monotonically_increasing_id()).join(gone, "__row_key", "left_anti")
-            .drop("__row_key"))
+    keyed = written(docs.withColumn("__row_key", F.monotonically_increasing_id()), "keyed", "zstd")
+    rows = keyed.select(F.col("__row_key").alias("row_key"), F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    gone = _near_rows(rows, opts).where("not kept").select(F.col("row_key").alias("__row_key"))
+    return keyed.join(gone, "__row_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

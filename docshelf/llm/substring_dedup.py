@@ -10,7 +10,7 @@ then place) stays, and the sentences that any other one covers go.
 
 Defined results: null text counts as empty; a null id comes after all others; rows that repeat an id
 are rows of their own; within one text too only the first of equal spans stays. Only the id and text
-columns are read. The input is a table as read: it is scanned twice and rows are matched by place.
+columns are read; they are written once with a key for each row, and every later scan reads that table.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``first_ids``: the documents that hold the first of the removed spans.
     """
-    rows = text_rows(docs, id_col, text_col)
+    rows = written(text_rows(docs, id_col, text_col), "rows")
     spans = written(spans_of(rows, opts), "spans")
     key = ["h1", "h2", "length"]
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "at")

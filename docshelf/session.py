@@ -74,7 +74,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, compression: str | None = None):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor does not recompute the upstream job) and
@@ -85,7 +85,7 @@ def materialize(df, name: str):
 
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.parquet(path)
 
 

@@ -6,6 +6,7 @@ import pytest
 import regex
 
 from docshelf.llm import minhash_bayes as mb
+from docshelf.llm import substring_dedup
 from docshelf.llm.components import connected_components
 from docshelf.llm.exact_dedup import drop_copies, exact_groups
 from docshelf.llm.substring_dedup import SpanOptions, remove_repeats
@@ -163,3 +164,31 @@ def test_passage_in_another_text_goes_and_clean_text_stays(spark):
         (3, words(90, 8), None)])).collect()}
     assert got[1].n_removed == got[3].n_removed == 0
     assert "p30" not in got[2].text and got[2].text.endswith("End.") and got[2].first_ids == [1]
+
+
+@pytest.mark.parametrize("module", [mb, substring_dedup])
+def test_rows_keep_their_keys_when_the_splits_change(spark, tmp_path, monkeypatch, module):
+    base = words(200, 9).split()
+    rows = [(k, " ".join(base[:k] + ["new"] + base[k:]) if k % 4 == 0 else words(80, 1000 + k), "en") for k in range(40)]
+    frame(spark, rows).repartition(12, "doc_id").write.parquet(str(tmp_path / "docs"))
+    size = "spark.sql.files.maxPartitionBytes"
+    before, plain = spark.conf.get(size), module.written
+
+    def then_other_splits(df, *args):     # as when an executor is lost or added between two scans
+        out = plain(df, *args)
+        spark.conf.set(size, "64k")
+        return out
+
+    monkeypatch.setattr(module, "written", then_other_splits)
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    try:
+        spark.conf.set(size, "64m")
+        if module is mb:
+            ids = sorted(r.doc_id for r in mb.drop_near_copies(docs).select("doc_id").collect())
+            assert ids == [0] + [k for k in range(40) if k % 4]
+        else:
+            got = remove_repeats(docs).collect()
+            texts = [(i, t) for i, t, _ in rows]
+            assert collections.Counter((r.doc_id, r.text, r.n_removed) for r in got) == brute_spans(texts, SpanOptions())
+    finally:
+        spark.conf.set(size, before)
