@@ -8,7 +8,7 @@ from .common import documents
 from .exact_dedup import exact_groups
 from .minhash_bayes import near_duplicates
 from .queries import query
-from .substring_dedup import remove_repeats
+from .substring_dedup import SpanOptions, remove_repeats
 
 
 @query("op9_exact_dedup", sql="""
@@ -30,4 +30,4 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir))
+    return remove_repeats(documents(spark, sf_dir), opts=SpanOptions(lengthen=True))

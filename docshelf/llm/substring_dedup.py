@@ -4,8 +4,10 @@ A text is cut into sentences (ends: a full stop before white space, ``!`` or ``?
 anything but a lower-case letter, and line breaks, each with the white space after them), so that the
 sentences joined give the text back.
 Every run of ``run`` consecutive sentences with at least ``least_words`` words is a span, and so is every
-shortest run of fewer sentences with at least ``long_words`` words. Spans are hashed over their words in
-lower case. Equal spans are found by one global aggregation; of each, the first (smallest id, then row,
+shortest run of fewer sentences with at least ``long_words`` words. With ``lengthen``, as the query runs it,
+a run of ``run`` sentences with too few words goes on until it has ``least_words``, and in scripts without
+spaces between words lengths count in characters: two of Chinese or Japanese and four of Thai, Lao, Khmer or
+Myanmar count as a word. Spans are hashed over their words in lower case. Equal spans are found by one global aggregation; of each, the first (smallest id, then row,
 then place) stays, and the sentences that any other one covers go.
 
 Defined results: null text counts as empty; a null id comes after all others; rows that repeat an id
@@ -28,10 +30,15 @@ class SpanOptions:
     run: int = 3               # sentences in a span
     least_words: int = 12      # words in a span at least
     long_words: int = 25       # fewer sentences count from so many words on
+    lengthen: bool = False     # runs of short sentences are lengthened, scripts without spaces count in characters
 
 
 # Fixed value: a sentence with its end and the white space after it; one lazy run, so linear.
 SENTENCE = r"(?s).+?(?:\.\s+|[!?]\s+(?=\P{Ll})|\n\s*|\z)"
+# Fixed value: what counts as a word: a run of other signs, or some characters of a script without spaces.
+_IDEOGRAPHS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{3001}-\x{303F}"
+_UNSPACED = r"\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[{_IDEOGRAPHS}]{{1,2}}|[{_UNSPACED}]{{1,4}}|[^\s{_IDEOGRAPHS}{_UNSPACED}]+"
 
 
 def with_sentences(rows: DataFrame) -> DataFrame:
@@ -40,24 +47,36 @@ def with_sentences(rows: DataFrame) -> DataFrame:
 
 def spans_of(rows: DataFrame, opts: SpanOptions) -> DataFrame:
     """``row_key, doc_id, at, length, h1, h2``: the hashed spans of each text."""
-    words = F.transform("sentences", lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"\S+"), F.lit(0)))
+    def unspaced(s):        # ASCII texts, and those without signs from Thai on, are not read again
+        return (F.octet_length(s) > F.char_length(s)) & s.rlike(r"[^\x{0}-\x{DFF}]") & F.lit(opts.lengthen)
+
+    words = F.transform("sentences", lambda s: F.struct(
+        F.regexp_extract_all(F.lower(s), F.lit(r"\S+"), F.lit(0)).alias("w"),
+        F.when(unspaced(s), F.regexp_count(s, F.lit(WORD))).alias("n")))
     marks = (with_sentences(rows).select("row_key", "doc_id", words.alias("words"))
-             .select("row_key", "doc_id", F.transform("words", lambda w: F.struct(
-                 F.xxhash64(w).alias("h"), F.hash(w).alias("g"), F.size(w).alias("n"))).alias("s")))
+             .select("row_key", "doc_id", F.transform("words", lambda x: F.struct(
+                 F.xxhash64(x["w"]).alias("h"), F.hash(x["w"]).alias("g"), F.coalesce(x["n"], F.size(x["w"])).alias("n"))).alias("s")))
+
+    def total(part):
+        return sum((x["n"] for x in part), F.lit(0))        # null for a run past the end
+
+    def span(part, i):
+        return F.struct(i.alias("at"), F.lit(len(part)).alias("length"),
+                        F.xxhash64(*[x["h"] for x in part]).alias("h1"), F.hash(*[x["g"] for x in part]).alias("h2"))
+
+    # only the first and the last sentence of a text can be without words, so no run needs more sentences
+    most = max(opts.run, opts.least_words + 1) if opts.lengthen else opts.run
 
-    def run(length: int):
+    def first_run(lengths, least: int):
         def one(first, i):
-            part = [first] + [F.get(F.col("s"), i + k) for k in range(1, length)]
-            total, before = sum(x["n"] for x in part), sum((x["n"] for x in part[:-1]), F.lit(0))
-            counts = (total >= opts.least_words) if length == opts.run else (
-                (total >= opts.long_words) & (before < opts.long_words))
-            # a run past the end has a null total
-            return F.when(counts, F.struct(i.alias("at"), F.lit(length).alias("length"),
-                                           F.xxhash64(*[x["h"] for x in part]).alias("h1"),
-                                           F.hash(*[x["g"] for x in part]).alias("h2")))
+            part, out = [first] + [F.get(F.col("s"), i + k) for k in range(1, max(lengths))], F
+            for n in lengths:           # of ordinary sentences, the first length is taken and no other looked at
+                out = out.when(total(part[:n]) >= least, span(part[:n], i))
+            return out
         return F.transform("s", one)
 
-    all_runs = F.concat(*[run(n) for n in range(1, opts.run + 1)])
+    all_runs = F.concat(first_run(range(opts.run, most + 1), opts.least_words),
+                        *([first_run(range(1, opts.run), opts.long_words)] if opts.run > 1 else []))
     return (marks.select("row_key", "doc_id", F.explode(F.filter(all_runs, lambda x: x.isNotNull())).alias("x"))
             .select("row_key", "doc_id", "x.*"))
 
@@ -68,8 +87,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``first_ids``: the documents that hold the first of the removed spans.
     """
-    rows = written(text_rows(docs, id_col, text_col), "rows")
-    spans = written(spans_of(rows, opts), "spans")
+    rows = written(text_rows(docs, id_col, text_col), "rows", "zstd")
+    spans = written(spans_of(rows, opts), "spans", "zstd")
     key = ["h1", "h2", "length"]
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "at")
     firsts = (spans.groupBy(*key).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -192,3 +192,48 @@ def test_rows_keep_their_keys_when_the_splits_change(spark, tmp_path, monkeypatc
             assert collections.Counter((r.doc_id, r.text, r.n_removed) for r in got) == brute_spans(texts, SpanOptions())
     finally:
         spark.conf.set(size, before)
+
+
+def brute_lengthened(rows, opts):
+    """As brute_spans, of lines of plain words: from each line the shortest run of 3 or more with words enough."""
+    seen, cut = collections.defaultdict(list), []
+    for row, (_, t) in enumerate(rows):
+        s = t.splitlines(keepends=True)
+        w = [tuple(x.lower().split()) for x in s]
+        cut.append(s)
+        for a in range(len(s)):
+            def first(lengths, least):
+                return next((n for n in lengths if a + n <= len(s) and sum(map(len, w[a:a + n])) >= least), None)
+
+            for n in (first(range(opts.run, len(s) + 1), opts.least_words), first(range(1, opts.run), opts.long_words)):
+                if n is not None:
+                    seen[tuple(w[a:a + n])].append((row, a))
+    gone = collections.defaultdict(set)
+    for span, places in seen.items():
+        for row, a in sorted(places)[1:]:
+            gone[row] |= set(range(a, a + len(span)))
+    return [(i, "".join(x for k, x in enumerate(s) if k not in gone[row]), len(gone[row]))
+            for row, ((i, _), s) in enumerate(zip(rows, cut))]
+
+
+def test_repeats_of_short_lines_match_brute_force(spark):
+    def lines(seed, sizes):
+        return "".join(" ".join(f"s{seed}n{k}w{j}" for j in range(n)) + "\n" for k, n in enumerate(sizes))
+
+    verse, items, mixed = lines(1, [3] * 20), lines(2, [1] * 30), lines(3, [1, 5, 2, 30, 1, 1, 13, 4] * 2)
+    texts = [verse + mixed, lines(4, [9]) + verse + lines(5, [2]), items, lines(6, [4, 4]) + items + mixed, lines(7, [1] * 13) * 2]
+    rows = list(enumerate(texts))
+    got = remove_repeats(frame(spark, [(i, t, None) for i, t in rows]), opts=SpanOptions(lengthen=True)).collect()
+    want = brute_lengthened(rows, SpanOptions())
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == want
+    assert [n for _, _, n in want] == [0, 20, 0, 46, 13]
+
+
+def test_repeats_of_texts_without_spaces_go(spark):
+    han = "".join("".join(chr(0x4E00 + 40 * k + j) for j in range(18)) + "。\n" for k in range(3))
+    thai = "".join("".join(chr(0x0E01 + (7 * k + j) % 46) for j in range(24)) + "\n" for k in range(3))
+    got = {r.doc_id: r for r in remove_repeats(frame(spark, [
+        (1, han, None), (2, "开头\n" + han + "结尾", None), (3, thai, None), (4, "ก\n" + thai, None), (5, "好\n是\n不\n", None),
+        (6, "好\n是\n不\n", None)]), opts=SpanOptions(lengthen=True)).collect()}
+    assert {i: (r.n_removed, r.text) for i, r in got.items() if i % 2 == 0} == {
+        2: (3, "开头\n结尾"), 4: (3, "ก\n"), 6: (0, "好\n是\n不\n")}
