@@ -117,8 +117,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
     """Learn from the rows of ``labelled`` with a label and a text."""
     rows = labelled.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null").withColumn("u", F.xxhash64("text"))
-    # a threshold per language thins each task's rows before the exact cut
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    # a threshold per language thins each task's rows before the exact cut; copies do not count
+    sizes = rows.select("lang", "u").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     place = F.shiftrightunsigned("u", 11) / float(1 << 53)
     first = Window.partitionBy("lang").orderBy("u", "text")
     sample = (rows.join(F.broadcast(sizes), "lang")       # one row per language

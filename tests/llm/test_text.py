@@ -68,6 +68,12 @@ def test_token_counts_of_documents(spark, word_bpe):
     assert all(r.n_tokens == n_tokens(word_bpe[1], texts[r.doc_id]) for r in token_counts(docs).collect())
 
 
+def test_language_of_few_texts_and_many_copies_is_learned(spark):
+    names = [f"l{k}" for k in range(8)]
+    docs = spark.range(8 * 4000).selectExpr("concat('l', id % 8) as lang", "repeat(concat('text of ', chr(97 + id % 8)), 5) as text")
+    assert sorted(x for f in lang.fit(docs).families for x in f) == names
+
+
 def test_language_of_held_out_documents(spark):
     docs = documents(spark, SF_SMALL).select("doc_id", "lang")
     got = op5_language_svm(spark, SF_SMALL).join(docs, "doc_id").collect()
