@@ -14,9 +14,10 @@ there and cannot merge across the boundary with the piece before it.
 
 Texts are cut into chunks. A chunk's state map is known without its start state up to its first
 reset: ``(head, count, tail)`` -- the characters before the first white space, the pieces between,
-and the characters after the last. Maps compose associatively: a tail joins the next head. The
+and the characters after the last. A chunk without ASCII white space is closed at special strings,
+digits, and ideographic punctuation before a letter instead. Maps compose associatively: a tail joins the next head. The
 joins ("seams") of all chunks are found by a prefix sum over the closed chunks and counted in
-parallel, so no text is ever read in one piece.
+parallel. Only a run with none of these resets (one long word, say) is read in one piece.
 
 Defined results: null and empty text have 0 tokens; rows that repeat an id are counted one by one;
 special strings inside a text count as one token each, as in the tokenizer's default.
@@ -25,6 +26,7 @@ special strings inside a text count as one token each, as in the tokenizer's def
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -43,6 +45,9 @@ INFINITE = 1 << 60
 WHITE_SPACE = set("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 # Fixed value: contraction endings that form a pre-token after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+# Fixed value: places inside a run without ASCII white space at which a pre-token surely ends, whatever is around
+# (a digit is a pre-token of its own; a letter never continues punctuation, nor composes with it).
+SURE = "(?<=[0-9])|(?<=[\u3000\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[^\\W_])"
 ASCII_SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 
@@ -60,6 +65,8 @@ class Transducers:
         model = json.loads(spec)
         vocab, suffix = model["model"]["vocab"], model["model"]["end_of_word_suffix"]
         self.specials = [t["content"] for t in model["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, sorted(self.specials))) or r"(?!)")
+        self.sure = re.compile(rf"{self.special.pattern}|{SURE}")
         symbols = byte_symbols()
         #: token of byte b, and at 256 + b of byte b at the end of a word
         self.base = [vocab[s] for s in symbols] + [vocab[s + suffix] for s in symbols]
@@ -212,13 +219,9 @@ class Transducers:
 
     def count(self, segment: str) -> int:
         """Tokens of a text without seams: special strings count 1, the rest by the transducers."""
-        for special in self.specials:
-            if special in segment:
-                # leftmost special first, as the specials do not overlap one another
-                at = min((segment.find(s), s) for s in self.specials if s in segment)
-                head, tail = segment[: at[0]], segment[at[0] + len(at[1]):]
-                return self.count(head) + 1 + self.count(tail)
-        return sum(map(self.pieces, self.pre_tokens(self.normalise(segment))))
+        # leftmost special first, as the specials do not overlap one another
+        parts = self.special.split(segment) if any(s in segment for s in self.specials) else [segment]
+        return len(parts) - 1 + sum(self.pieces(w) for part in parts for w in self.pre_tokens(self.normalise(part)))
 
     def word(self, segment: str) -> int:
         n = self.words.get(segment)
@@ -231,6 +234,8 @@ class Transducers:
     def chunk_map(self, chunk: str, first: bool, last: bool) -> tuple[int, bool, str, str]:
         """``(count, closed, head, tail)`` of a chunk; known ends of the text close it."""
         segments = chunk.translate(ASCII_SPACE).split(" ")
+        if len(segments) == 1 and not (first and last):
+            segments = self.sure.sub(lambda m: f" {m[0]} ", chunk).split(" ")
         if len(segments) == 1 and not (first and last):
             if not first and not last:
                 return 0, False, segments[0], ""

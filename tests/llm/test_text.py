@@ -68,6 +68,22 @@ def test_token_counts_of_documents(spark, word_bpe):
     assert all(r.n_tokens == n_tokens(word_bpe[1], texts[r.doc_id]) for r in token_counts(docs).collect())
 
 
+def test_runs_of_special_strings_are_counted_in_a_loop(word_bpe):
+    fst, lib = word_bpe
+    text = "a<|startoftext|>b" + "<|endoftext|>" * 5000 + "'s 1"
+    assert fst.count(text) == n_tokens(lib, text)
+
+
+@pytest.mark.parametrize("chunk_chars", [5, 23])
+def test_texts_without_white_space_by_any_chunks(spark, word_bpe, chunk_chars):
+    texts = ["今天天气很好，我们去公园。「好」。e\u0301第二天，下雨了！？他说：再见。" * 5, "aB3dEf0+/9zQ'll8s7'1e\u0301" * 9,
+             "a<|endoftext|>b3<|startoftext|>" * 8 + "の。\u0301は\u3000が、'。s"]
+    got = token_counts(frame(spark, [(k, t, None) for k, t in enumerate(texts)]), chunk_chars=chunk_chars).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {k: n_tokens(word_bpe[1], t) for k, t in enumerate(texts)}
+    assert word_bpe[0].chunk_map("很好，我们", False, False) == (0, True, "很好，", "我们")
+    assert word_bpe[0].chunk_map("x<|endoftext|>y", False, False) == (1, True, "x", "y")
+
+
 def test_language_of_few_texts_and_many_copies_is_learned(spark):
     names = [f"l{k}" for k in range(8)]
     docs = spark.range(8 * 4000).selectExpr("concat('l', id % 8) as lang", "repeat(concat('text of ', chr(97 + id % 8)), 5) as text")
