@@ -89,6 +89,22 @@ def materialize(df, name: str, compression: str | None = None):
     return spark.read.parquet(path)
 
 
+def drop_written(df) -> None:
+    """Delete the tables that :func:`materialize` wrote for ``df``, once nothing reads them any more.
+
+    Only files below the shared checkpoint folder are touched; other inputs of ``df`` stay.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(conf)
+    root = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(base)).toString().rstrip("/") + "/"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(folder))
+        if path.toString().startswith(root):
+            fs.delete(path, True)
+
+
 def estimated_bytes(df) -> int:
     """Optimizer size estimate of ``df`` (exact for a Parquet scan, an upper bound otherwise)."""
     try:
