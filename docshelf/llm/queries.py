@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the query modules (registration happens on import)."""
-    from . import q_dedup, q_packing, q_pages, q_text, q_vectors  # noqa: F401
+    from . import q_conversations, q_dedup, q_packing, q_pages, q_text, q_vectors  # noqa: F401
