@@ -251,10 +251,12 @@ def cluster_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     drop_written(before)
 
     # one row per centroid
-    parts = {r.cluster: int(r.part) for r in state.groupBy("cluster").agg(
-        F.sum(F.expr("try_cast(d AS decimal(38,0))")).alias("part")).collect() if r.part is not None}
+    d = F.expr("try_cast(d AS decimal(38,0))")
+    parts = {r.cluster: None if r.part is None or r.beyond else int(r.part) for r in state.groupBy("cluster").agg(
+        F.try_sum(d).alias("part"), F.count_if(d.isNull()).alias("beyond")).collect()}
+    whole = None if None in parts.values() else sum(parts.values())
     facts = spark.createDataFrame(
-        [(j, _long(parts.get(j)), _long(sum(parts.values())), hashlib.sha256(",".join(map(str, c)).encode()).hexdigest())
+        [(j, _long(parts.get(j)), _long(whole), hashlib.sha256(",".join(map(str, c)).encode()).hexdigest())
          for j, c in enumerate(history[-1])],
         "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
     return state.join(F.broadcast(facts), "cluster").select(
