@@ -62,3 +62,24 @@ def with_group_row_number(df: DataFrame, group_cols: list[str], order_cols: list
         .withColumn(out, (F.col("_off") + (F.col("_mid") - F.col("_first")) + 1).cast("bigint"))
         .drop("_pid", "_mid", "_first", "_off")
     )
+
+
+def with_group_running_count(df: DataFrame, group_cols: list[str], order_cols: list, flag: str, out: str) -> DataFrame:
+    """``df`` plus the number of rows flagged so far in its group, itself included, in ``order_cols`` order.
+
+    Range-sorted like :func:`with_group_row_number`: counts inside a partition come from a window over
+    (partition, group), so a hot group is as many tasks as it has partitions.
+    """
+    groups = [F.col(c) for c in group_cols]
+    sorted_df = materialize(
+        df.repartitionByRange(*groups, *order_cols).sortWithinPartitions(*groups, *order_cols)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_mid", F.monotonically_increasing_id()), "group-count")
+    one = F.when(F.col(flag), 1).otherwise(0).cast("bigint")
+    totals = sorted_df.groupBy("_pid", *group_cols).agg(F.sum(one).alias("_n"))
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *group_cols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_pid", *group_cols).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    return (sorted_df.withColumn("_in", F.sum(one).over(inside))
+            .join(offsets, ["_pid", *group_cols], "left")
+            .withColumn(out, F.col("_off") + F.col("_in")).drop("_pid", "_mid", "_off", "_in"))

@@ -75,3 +75,65 @@ def test_override_moves_only_its_file(spark):
                    3: ("X", "root/X/a_2.txt", True, False), 4: ("Y", "root/Y/a_1.txt", False, True)}
     moved = override_records(before, after, "r", "t").collect()
     assert [(m["source_path"], m["destination_path"]) for m in moved] == [("root/X/a_1.txt", "root/Y/a_1_1.txt")]
+
+
+def test_numbered_families_match_sequential(spark):
+    """Explicit numbers in any order, nested tails, existing names: the rule itself, over many folders."""
+    rng = random.Random(11)
+    stems = ["a", "a_1", "a_2", "a_3", "a_1_1", "a_1_2", "a_2_1", "a_01", "a_0", "b_10", "b", "_1", "a_1_1_1"]
+    reqs, existing = [], []
+    for f in range(60):
+        weights = [rng.random() ** 2 for _ in stems]
+        for _ in range(rng.randrange(1, 40)):
+            reqs.append((f"F{f}", rng.choices(stems, weights)[0] + rng.choice(["", ".txt", ".txt"])))
+        existing += [(f"F{f}", rng.choice(stems) + ".txt") for _ in range(rng.randrange(0, 4))]
+    rng.shuffle(reqs)
+    reqs = [(i, d, n) for i, (d, n) in enumerate(reqs)]
+    df = spark.createDataFrame(reqs, "rid bigint, dest_dir string, name string").repartition(5)
+    for ex in (None, spark.createDataFrame(existing, "dest_dir string, name string")):
+        got = {r["rid"]: r["final_name"] for r in naming.plan_names(df, ex, order_cols=["rid"]).collect()}
+        want = sequential(reqs, existing if ex is not None else [])
+        assert {k: v for k, v in got.items() if v != want[k]} == {}
+        assert len(got) == len(reqs)
+
+
+def test_hot_family_with_explicit_numbers_spans_tasks(spark):
+    """A third of all rows in one family, plain and numbered requests mixed, beside existing numbers."""
+    rng = random.Random(5)
+    names = ["the.txt"] * 700 + [f"the_{k}.txt" for k in rng.sample(range(1, 900), 500)] + ["the_7.txt"] * 20
+    names += [f"w{k}.txt" for k in range(2400)]
+    rng.shuffle(names)
+    reqs = [(i, "D", n) for i, n in enumerate(names)]
+    existing = [("D", f"the_{k}.txt") for k in rng.sample(range(1, 1500), 200)] + [("D", "w5.txt")]
+    df = spark.createDataFrame(reqs, "rid bigint, dest_dir string, name string").repartition(8)
+    ex = spark.createDataFrame(existing, "dest_dir string, name string")
+    got = {r["rid"]: r["final_name"] for r in naming.plan_names(df, ex, order_cols=["rid"]).collect()}
+    assert got == sequential(reqs, existing)
+
+
+def test_names_with_other_separators_dots_and_nulls(spark):
+    names = ["a.", "a.", "a._1", "a.", ".env", ".env", ".env_1", "x_restored_1", "x", "x", "x", "", "", "_1", "日本.txt", "日本.txt", "日本_1.txt"]
+    reqs = [(i, "D", n) for i, n in enumerate(names)]
+    df = spark.createDataFrame([*reqs, (98, None, "x"), (99, "D", None)], "rid bigint, dest_dir string, name string")
+    for sep in ("_", "_restored_"):
+        got = {r["rid"]: r["final_name"] for r in naming.plan_names(df, None, order_cols=["rid"], sep=sep).collect()}
+        assert got.pop(98) is None and got.pop(99) is None
+        want = sequential_parts(reqs, sep)
+        assert got == want
+    assert naming.plan_names(df.limit(0), df.limit(0), order_cols=["rid"]).count() == 0
+
+
+def sequential_parts(reqs, sep):
+    """As ``sequential``, with the suffix rule of the library (a name that ends in a dot has none)."""
+    import re
+
+    taken, out = set(), {}
+    for rid, d, name in reqs:
+        m = re.search(r"(?s)^.+(\.[^.]+)\Z", name)
+        sfx = m.group(1) if m else ""
+        stem_, cand, k = name[:len(name) - len(sfx)], name, 1
+        while cand in taken:
+            cand, k = f"{stem_}{sep}{k}{sfx}", k + 1
+        taken.add(cand)
+        out[rid] = cand
+    return out
