@@ -127,27 +127,39 @@ def undo_plan(records: DataFrame, inventory: DataFrame, occupied: DataFrame) ->
     return planned.unionByName(skipped)
 
 
-def undo_stats(plan: DataFrame) -> DataFrame:
-    """H7: found / restored / skipped / errors per run (records counted through their chains)."""
+def undo_stats(plan: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """H7: found / restored / skipped / errors per run (records counted through their chains).
+
+    ``failures(run_id, head_seq)`` are the restores that the mover could not carry out: errors, not restored.
+    """
+    if failures is None:
+        plan = plan.withColumn("_failed", F.lit(False))
+    else:
+        failed = failures.select("run_id", "head_seq").distinct().withColumn("_failed", F.lit(True))
+        plan = plan.join(failed, ["run_id", "head_seq"], "left").withColumn("_failed", F.coalesce("_failed", F.lit(False)))
+    restore = F.col("decision") == "restore"
+    total = lambda cond: F.sum(F.when(cond, F.col("steps")).otherwise(0)).cast("bigint")
     return plan.groupBy("run_id").agg(
         F.sum("steps").cast("bigint").alias("found"),
-        F.sum(F.when(F.col("decision") == "restore", F.col("steps")).otherwise(0)).cast("bigint").alias("restored"),
-        F.sum(F.when(F.col("decision") != "restore", F.col("steps")).otherwise(0)).cast("bigint").alias("skipped"),
-        F.lit(0).cast("bigint").alias("errors"),
+        total(restore & ~F.col("_failed")).alias("restored"),
+        total(~restore).alias("skipped"),
+        total(restore & F.col("_failed")).alias("errors"),
     )
 
 
 def legacy_plan(moves: DataFrame, root: str, inventory: DataFrame, occupied: DataFrame | None = None) -> DataFrame:
     """H8: restore each logged move to ``<root>/<name>``, newest first; no hash check.
 
-    A name that ``occupied(path)`` or a newer move holds takes ``stem_restored_N``.
+    A name that ``occupied(path)`` or a newer move holds takes ``stem_restored_N``. Moves of one timestamp are
+    ordered by ``place`` where the log reader gives it, and then by name and destination.
     """
+    ties = [c for c in ("place", "filename", "dest") if c in moves.columns]
     inv = inventory.select(F.col("path").alias("dest"), F.lit(True).alias("_present"))
     j = moves.join(inv, ["dest"], "left").withColumn(
         "source_path", F.concat(F.lit(root.rstrip("/") + "/"), base_name("dest")))
     columns = ["logged_at", "filename", "dest", "restore_path", "decision"]
     found = with_row_number(j.where("_present").withColumn("decision", F.lit("restore")),
-                            [F.col("logged_at").desc()], "_order")
+                            [F.col("logged_at").desc(), *[F.col(c).desc() for c in ties]], "_order")
     if occupied is None:
         occupied = moves.select(F.col("dest").alias("path")).limit(0)
     planned = restore_plan(found, occupied, ["_order"])
@@ -155,3 +167,18 @@ def legacy_plan(moves: DataFrame, root: str, inventory: DataFrame, occupied: Dat
         "logged_at", "filename", "dest", F.lit(None).cast("string").alias("restore_path"),
         F.lit("skipped_missing").alias("decision"))
     return planned.select(*columns).unionByName(missing)
+
+
+def undo_run(records: DataFrame, run_id: str | None, moves: DataFrame, root: str, inventory: DataFrame,
+             occupied: DataFrame) -> DataFrame:
+    """Undo one run from the history, or from the legacy log when no record matches (H8).
+
+    Returns ``original_name, destination_path, restore_path, decision``: net moves of ``run_id`` (else of the latest run),
+    or, when the history has none, the moves of the log.
+    """
+    chosen = materialize(records_to_undo(records, run_id).drop("undo_order"), "undo-run")
+    if chosen.isEmpty():
+        plan = legacy_plan(moves, root, inventory, occupied)
+        return plan.select(F.col("filename").alias("original_name"), F.col("dest").alias("destination_path"), "restore_path", "decision")
+    plan = undo_plan(chosen, inventory, occupied)
+    return plan.select(base_name("original_path").alias("original_name"), "destination_path", "restore_path", "decision")

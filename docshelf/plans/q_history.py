@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import options as O
 from ..operators import undo
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.history import append_history, read_history, read_legacy_log
 from ..sources.tables import read_table
 from .catalog import query
@@ -232,6 +232,18 @@ def undo_stats(spark, sf_dir):
     return undo.undo_stats(plan)
 
 
+@query("undo_stats_errors", _CHAIN_SQL + """
+SELECT run_id, CAST(sum(steps) AS BIGINT) AS found,
+       CAST(sum(CASE WHEN decision = 'restore' AND restore_path = original_path THEN steps ELSE 0 END) AS BIGINT) AS restored,
+       CAST(sum(CASE WHEN decision <> 'restore' THEN steps ELSE 0 END) AS BIGINT) AS skipped,
+       CAST(sum(CASE WHEN decision = 'restore' AND restore_path <> original_path THEN steps ELSE 0 END) AS BIGINT) AS errors
+FROM plan GROUP BY run_id""")
+def undo_stats_errors(spark, sf_dir):
+    """A mover that fails wherever the old path is occupied: those restores are errors."""
+    plan = materialize(undo.undo_plan(written_history(spark, sf_dir), inventory(spark, sf_dir), occupied(spark, sf_dir)), "undo-plan")
+    return undo.undo_stats(plan, plan.where("decision = 'restore' AND restore_path <> original_path"))
+
+
 # --- A5 / H8 --------------------------------------------------------------------------
 # Legacy text log: one line per event, moves for organised files and other
 # lines for errors.
@@ -258,7 +270,7 @@ lines AS (SELECT replace(substr(timestamp, 1, 19), 'T', ' ') || ',' || lpad(CAST
 
 @query("legacy_log_parse", f"WITH {_LOG_SQL} SELECT logged_at, filename, dest FROM lines")
 def legacy_log_parse(spark, sf_dir):
-    return legacy_log(spark, sf_dir)
+    return legacy_log(spark, sf_dir).drop("place")
 
 
 @query("legacy_plan", f"""WITH {_LOG_SQL},
@@ -276,3 +288,34 @@ def legacy_plan(spark, sf_dir):
     taken = names.select(F.concat(F.lit(f"{ROOT}/"), "fname").alias("path"))
     return undo.legacy_plan(legacy_log(spark, sf_dir), ROOT, inventory(spark, sf_dir), taken)
 
+
+
+def crowded_log(spark, sf_dir):
+    """A log whose stamps are whole days, so many moves tie, of files that share a few names."""
+    ev = _event_cols(read_table(spark, sf_dir, "events")).where("event_type <> 'error'")
+    line = F.concat(F.substring("timestamp", 1, 10), F.lit(" 00:00:00,000 | INFO | utils | Moved '"), F.col("event_type"), F.lit(".txt' -> '"),
+                    F.lit("organised/"), F.col("event_id").cast("string"), F.lit("/"), F.col("event_type"), F.lit(".txt'"))
+    path = scratch_path(spark, f"crowded-log-{uuid.uuid4().hex}")
+    ev.select("event_id", line.alias("value")).repartitionByRange("event_id").sortWithinPartitions("event_id") \
+        .select("value").write.text(path)
+    return read_legacy_log(spark, path)
+
+
+@query("undo_fallback", f"""WITH {_EV_SQL},
+lines AS (SELECT event_id, event_type || '.txt' AS name, substr(timestamp, 1, 10) AS logged_on,
+                 'organised/' || CAST(event_id AS VARCHAR) || '/' || event_type || '.txt' AS dest, value >= 10 AS present
+          FROM ev WHERE event_type <> 'error'),
+k AS (SELECT *, row_number() OVER (PARTITION BY name, present ORDER BY logged_on DESC, event_id DESC) - 1 AS k FROM lines)
+SELECT name AS original_name, dest AS destination_path,
+       CASE WHEN NOT present THEN NULL WHEN k = 0 THEN '{ROOT}/' || name
+            ELSE '{ROOT}/' || regexp_replace(name, '\\.txt$', '') || '{O.RESTORED_SUFFIX}' || CAST(k AS VARCHAR) || '.txt' END AS restore_path,
+       CASE WHEN present THEN 'restore' ELSE 'skipped_missing' END AS decision
+FROM k""")
+def undo_fallback(spark, sf_dir):
+    """No record of the run id: the legacy log is undone, its ties newest line first."""
+    ev = _event_cols(read_table(spark, sf_dir, "events"))
+    present = ev.where("event_type <> 'error' AND value >= 10").select(
+        F.concat(F.lit("organised/"), F.col("event_id").cast("string"), F.lit("/"), F.col("event_type"), F.lit(".txt")).alias("path"),
+        F.lit(None).cast("string").alias("md5"))
+    return undo.undo_run(written_history(spark, sf_dir), "no-such-run", crowded_log(spark, sf_dir), ROOT, present,
+                         present.select("path").limit(0))

@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from .. import options as O
 from ..operators import naive_bayes as nb
-from ..operators.naming import destination_plan
-from ..session import scratch_path
-from ..sources.history import append_history, read_history
+from ..session import drop_written, materialize, scratch_path
+from ..sources.history import read_history, write_history
 from ..sources.tables import read_table
 from ..streaming import watch
 from .catalog import ORACLE, query
@@ -27,6 +26,7 @@ from .q_classify import lang_model, nb_result_sql
 ROOT = "watch"
 DEST_ROOT = "organised"
 FIXTURE_SETTLE_SECONDS = 600.0
+WATCH_TS = "2026-01-01T00:00:00+00:00"
 
 
 def _watch_events(events):
@@ -45,21 +45,22 @@ def _watch_events(events):
 ARRIVALS = 3      # the events arrive in so many parts; the stream is stopped and started between them
 
 
-def _run(spark, rows, name, transform, per_batch=None, order="ts_us"):
+def _run(spark, rows, name, transform, per_batch=None, order="ts_us", out=None):
     """Stream ``rows`` through ``transform`` in time order, one restart per part; the written result.
 
     Each part is appended to the watched folder, and the query goes on from its checkpoint, so keyed
     state and planned names cross batches and restarts.
     """
     base = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    out = out or f"{base}/out"
     low, high = rows.agg(F.min(order), F.max(order)).first()
     part = F.least(F.lit(ARRIVALS - 1), F.floor((F.col(order) - F.lit(low)) * ARRIVALS / F.lit(max(1, (high or 0) - (low or 0)))))
     for k in range(ARRIVALS if low is not None else 1):
         rows.where(part == k).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-        watch.run_to_table(transform(stream), f"{base}/out", f"{base}/ckpt",
-                           per_batch and (lambda df, batch_id: per_batch(df, batch_id, f"{base}/out")))
-    return spark.read.parquet(f"{base}/out")
+        watch.run_to_table(transform(stream), out, f"{base}/ckpt",
+                           per_batch and (lambda df, batch_id: per_batch(df, batch_id, out)))
+    return spark.read.parquet(out)
 
 
 def watch_events(spark, sf_dir):
@@ -80,8 +81,8 @@ def settled(spark, sf_dir):
 
 def deduped(spark, sf_dir):
     s = settled(spark, sf_dir).withColumn("content_hash", F.md5(F.col("text").cast("binary")))
-    out = _run(spark, s, "watch-dedup", watch.dedup)
-    return out.join(s.select("event_id", "text", "ts_us"), ["event_id"])
+    keys = s.select("event_id", "ts_us", "path", "text", "content_hash")
+    return _run(spark, keys, "watch-dedup", watch.dedup, lambda df, batch_id, out_path: watch.attach_firsts(df))
 
 
 # --------------------------------------------------------------------------
@@ -134,30 +135,57 @@ def watch_dedup(spark, sf_dir):
     return deduped(spark, sf_dir).select("path", "event_id", "is_duplicate", "original_path")
 
 
-def _status_batch(model, root):
+def _classified_batch(model):
+    """Originals get their category, copies pass: what the naming stream reads (J5, first half)."""
     def per_batch(df, batch_id, out_path):
         files = df.select("event_id", "path", "text", "is_duplicate", "original_path", "ts_us")
-        originals = files.where(~F.col("is_duplicate"))
-        classified = nb.classify(model, originals.select("event_id", "text"), id_col="event_id")
-        named = originals.join(classified, ["event_id"]).withColumn(
-            "name", F.element_at(F.split("path", "/"), -1))
-        # names that earlier batches (not this one, should it be replayed) have taken
-        present = None
-        if batch_id > 0:
-            taken = df.sparkSession.read.parquet(out_path).where((F.col("batch") < batch_id) & (F.col("status") == "moved"))
-            present = taken.select(F.regexp_extract("destination_path", r"^(.*)/[^/]*$", 1).alias("dest_dir"),
-                                   F.regexp_extract("destination_path", r"([^/]*)$", 1).alias("name"))
-        planned = destination_plan(named, root, "category", "name", ["ts_us", "event_id"], present)
+        classified = nb.classify(model, files.where(~F.col("is_duplicate")).select("event_id", "text"), id_col="event_id")
+        return files.drop("text").join(classified.select("event_id", "category"), ["event_id"], "left")
+    return per_batch
+
+
+def _named_stream(classified):
+    """Copies as they are, and originals with the name that keyed state gives them."""
+    originals = classified.where(~F.col("is_duplicate"))
+    wanted = originals.select("event_id", "ts_us", F.concat(F.lit(DEST_ROOT + "/"), "category").alias("dest_dir"),
+                              F.element_at(F.split("path", "/"), -1).alias("name"))
+    names = watch.allocate_names(wanted)
+    return classified.withColumn("final_name", F.lit(None).cast("string")).unionByName(names, allowMissingColumns=True)
+
+
+def _record_batch(base):
+    """Status and history rows of a batch, each into its own folder of the batch."""
+    def sink(df, batch_id):
+        names = df.where("final_name IS NOT NULL").select("event_id", "final_name")
+        files = materialize(df.where("path IS NOT NULL").drop("final_name").join(names, ["event_id"], "left"), "watch-batch")
         none = F.lit(None).cast("string")
-        moved = planned.select(
+        moved = files.where(~F.col("is_duplicate")).select(
             "event_id", "path", F.lit("moved").alias("status"), none.alias("reason"), "category",
-            F.col("dest_path").alias("destination_path"),
+            F.concat(F.lit(DEST_ROOT + "/"), "category", F.lit("/"), "final_name").alias("destination_path"),
             F.md5(F.concat_ws(":", F.lit("watch"), F.col("event_id").cast("string"))).alias("run_id"))
         dups = files.where("is_duplicate").select(
             "event_id", "path", F.lit("duplicate").alias("status"), F.concat(F.lit("copy of "), "original_path").alias("reason"),
             none.alias("category"), none.alias("destination_path"), none.alias("run_id"))
-        return moved.unionByName(dups)
-    return per_batch
+        watch.write_batch(moved.unionByName(dups), f"{base}/status", batch_id)
+        last = lambda c: F.element_at(F.split(c, "/"), -1)
+        write_history(moved.select(
+            F.lit(O.HISTORY_SCHEMA_VERSION).alias("schema_version"), "run_id", F.lit(WATCH_TS).alias("timestamp"),
+            F.lit("move").alias("action"), F.col("path").alias("source_path"), F.col("destination_path"),
+            none.alias("source_hash"), none.alias("destination_hash"), last("path").alias("original_name"),
+            last("destination_path").alias("final_name"), F.col("event_id").alias("seq")), f"{base}/history/batch={batch_id}")
+        drop_written(files)
+    return sink
+
+
+def _watched(spark, sf_dir):
+    """Status and history folders of the stream over all arrivals: classify, then name and record."""
+    classified = f"{scratch_path(spark, 'watch-classified')}-{uuid.uuid4().hex}"
+    _run(spark, deduped(spark, sf_dir), "watch-classify", lambda s: s, _classified_batch(lang_model(spark, sf_dir)), out=classified)
+    base = scratch_path(spark, f"watch-records-{uuid.uuid4().hex}")
+    schema = spark.read.parquet(classified).drop("batch").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{classified}/batch=*")
+    watch.run_batches(_named_stream(stream), _record_batch(base), f"{base}/ckpt")
+    return base
 
 
 @query("watch_status", lambda: nb_result_sql(docs_sql="SELECT event_id AS doc_id, props AS text FROM events").replace(
@@ -178,8 +206,7 @@ SELECT event_id, path, 'skipped', CASE WHEN NOT ok_ext THEN 'unsupported type' E
 FROM acc WHERE NOT (ok_ext AND top)""")
 def watch_status(spark, sf_dir):
     """A status row per event: moved (each file a run of its own), duplicate, or skipped with its reason."""
-    d = deduped(spark, sf_dir)
-    out = _run(spark, d, "watch-status", lambda s: s, _status_batch(lang_model(spark, sf_dir), DEST_ROOT))
+    out = spark.read.parquet(f"{_watched(spark, sf_dir)}/status")
     none = F.lit(None).cast("string")
     skipped = filtered(spark, sf_dir).where("not accepted").select(
         "event_id", "path", F.lit("skipped").alias("status"), "reason", none.alias("category"),
@@ -191,14 +218,6 @@ def watch_status(spark, sf_dir):
        regexp_extract(destination_path, '([^/]*)$', 1) AS final_name
 FROM ({ORACLE["watch_status"]}) WHERE status = 'moved'""")
 def watch_history(spark, sf_dir):
-    """The move records that watch mode appends, one run id per file (J5, A7), as they are read back."""
-    s = watch_status(spark, sf_dir).where("status = 'moved'")
-    path = scratch_path(spark, f"watch-history-{uuid.uuid4().hex}")
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    append_history(s.select(
-        F.lit(O.HISTORY_SCHEMA_VERSION).alias("schema_version"), "run_id", F.lit("2026-01-01T00:00:00+00:00").alias("timestamp"),
-        F.lit("move").alias("action"), F.col("path").alias("source_path"), F.col("destination_path"),
-        F.lit(None).cast("string").alias("source_hash"), F.lit(None).cast("string").alias("destination_hash"),
-        name.alias("original_name"), F.regexp_extract("destination_path", r"([^/]*)$", 1).alias("final_name"),
-        F.col("event_id").alias("seq")), path)
-    return read_history(spark, path).select("seq", "run_id", "action", "source_path", "destination_path", "final_name")
+    """The move records that watch mode writes batch by batch, one run id per file (J5, A7), as they are read back."""
+    return read_history(spark, f"{_watched(spark, sf_dir)}/history/batch=*").select(
+        "seq", "run_id", "action", "source_path", "destination_path", "final_name")

@@ -34,6 +34,11 @@ def append_history(records: DataFrame, path: str) -> None:
     records.select(*sorted(RECORD_FIELDS)).write.mode("append").json(path)
 
 
+def write_history(records: DataFrame, folder: str) -> None:
+    """The records of one streaming batch as JSON lines in a folder of its own; a replayed batch replaces it."""
+    records.select(*sorted(RECORD_FIELDS)).write.mode("overwrite").json(folder)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Valid records of the history at ``path`` (A4).
 
@@ -61,16 +66,19 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_legacy_log(spark: SparkSession, path: str) -> DataFrame:
-    """Move lines of a legacy text log: ``(logged_at, filename, dest)`` (A5).
+    """Move lines of a legacy text log: ``(logged_at, filename, dest, place)`` (A5).
 
-    The log line starts with its timestamp, which orders the moves (newest
-    first = ``logged_at`` descending); a distributed read has no line order.
-    Undecodable bytes are dropped like the reference reader does.
+    The log line starts with its timestamp, which orders the moves (newest first = ``logged_at`` descending);
+    lines of one timestamp are ordered by ``place`` (file, block start, line in the block), which does not depend on
+    how the file was split. Undecodable bytes are dropped like the reference reader does.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", "�", "").alias("line"))
+    lines = spark.read.text(path).select(
+        F.regexp_replace("value", "�", "").alias("line"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("line")).alias("place"))
     moved = lines.where(F.col("line").rlike(MOVE_PATTERN))
     return moved.select(
         F.regexp_extract("line", r"^(\S+ \S+)", 1).alias("logged_at"),
         F.regexp_extract("line", MOVE_PATTERN, 1).alias("filename"),
-        F.regexp_extract("line", MOVE_PATTERN, 2).alias("dest"),
+        F.regexp_extract("line", MOVE_PATTERN, 2).alias("dest"), "place",
     )
