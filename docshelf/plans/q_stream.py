@@ -73,10 +73,11 @@ def filtered(spark, sf_dir):
 
 
 def settled(spark, sf_dir):
-    """J3 over the accepted events (a second stream reads the first one's output)."""
-    accepted = filtered(spark, sf_dir).where("accepted").select("event_id", "ts", "ts_us", "path", "text")
-    out = _run(spark, accepted, "watch-settle", lambda s: watch.settle(s, FIXTURE_SETTLE_SECONDS))
-    return out.join(accepted.select("event_id", "text"), ["event_id"])
+    """J2 and J3 in one stream: the accepted events that open a window."""
+    events = watch_events(spark, sf_dir).select("event_id", "ts", "ts_us", "path", "is_directory", "text")
+    out = _run(spark, events, "watch-settle",
+               lambda s: watch.settle(watch.filter_events(s, ROOT).where("accepted"), FIXTURE_SETTLE_SECONDS))
+    return out.join(events.select("event_id", "text"), ["event_id"])
 
 
 def deduped(spark, sf_dir):

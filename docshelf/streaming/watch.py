@@ -10,10 +10,10 @@
   first event (a session window would be extended by each event), so it is
   keyed state: ``transformWithState`` per path holds the window end, and an event-time
   timer drops it once the watermark has passed it.
-* J4 dedup: keyed state per content hash holds the first file. Each task first reduces
-  its rows to one candidate per hash, so a hash with a third of all events is one small row
-  per task; duplicates are attached to the rows of the batch by a salted join. State never
-  expires unless a TTL is given (the watcher's memory never forgets either); with one, an event-time timer drops it.
+* J4 dedup: a streaming aggregation keeps the first file of a content hash. It is partial in each task
+  before the shuffle, so a hash with a third of all events is one small row per task; duplicates are
+  attached to the rows of the batch by a salted join. State never expires unless a TTL is given (the watcher's memory
+  never forgets either); with one, ``transformWithState`` holds it and an event-time timer drops it.
 * J5/J6: ``foreachBatch`` classifies the originals; names are given by a second keyed
   stream whose state holds the taken numbers of each name as runs, so a batch reads and
   writes only the state of its own names, however old the stream is. Status rows and history rows
@@ -31,7 +31,6 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -84,12 +83,18 @@ def filter_events(events: DataFrame, root: str) -> DataFrame:
     return events.where(~F.coalesce(F.col("is_directory"), F.lit(False))).select("*", acc, reason)
 
 
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a batch uploads its changes, not whole files of the store
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # passed windows are dropped with the next arrivals; no batch of its own for that
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
-def _keyed(grouped, processor: StatefulProcessor, schema: str, event_time: bool) -> DataFrame:
-    """``transformWithState`` in append mode; it needs the RocksDB state store."""
-    return grouped.transformWithState(processor, schema, "append", "EventTime" if event_time else "None")
+def _keyed(grouped, processor: StatefulProcessor, schema: str, mode: str = "update", time: str = "EventTime") -> DataFrame:
+    """``transformWithState``; it needs the RocksDB state store."""
+    return grouped.transformWithState(processor, schema, mode, time)
 
 
 class _Settle(StatefulProcessor):
@@ -132,13 +137,13 @@ def settle(events: DataFrame, delay_seconds: float = WATCH_SETTLE_SECONDS) -> Da
     delay_us = int(round(delay_seconds * 1_000_000))
     keyed = (events.select("path", "event_id", "ts", F.unix_micros(F.col("ts")).alias("ts_us"))
              .withWatermark("ts", f"{max(1, -(-delay_us // 1000))} milliseconds"))
-    return _keyed(keyed.groupBy("path"), _Settle(delay_us), "path string, event_id long, ts_us long", True)
+    return _keyed(keyed.groupBy("path"), _Settle(delay_us), "path string, event_id long, ts_us long")
 
 
 class _Firsts(StatefulProcessor):
     """The first file of a hash. Emits the files that rows of the batch may be copies of, in order."""
 
-    def __init__(self, ttl_us: int | None):
+    def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
 
     def init(self, handle) -> None:
@@ -148,17 +153,13 @@ class _Firsts(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         known = self.first.get()
         last = tuple(known) if known else None
-        if self.ttl_us is None:
-            found = [last or min((r.ts_us, r.event_id, r.path) for r in rows)]
-        else:
-            found = [last] if last else []
-            for r in sorted((r.ts_us, r.event_id, r.path) for r in rows):
-                if not found or r[0] - found[-1][0] > self.ttl_us:
-                    found.append(r)
+        found = [last] if last else []
+        for r in sorted((r.ts_us, r.event_id, r.path) for r in rows):
+            if not found or r[0] - found[-1][0] > self.ttl_us:
+                found.append(r)
         if found[-1] != last:
             self.first.update(found[-1])
-            if self.ttl_us is not None:
-                self.handle.registerTimer(-(-(found[-1][0] + self.ttl_us) // 1000))
+            self.handle.registerTimer(-(-(found[-1][0] + self.ttl_us) // 1000))
         for ts_us, event_id, path in found:
             yield Row(content_hash=key[0], ts_us=ts_us, event_id=event_id, path=path)
 
@@ -172,28 +173,25 @@ class _Firsts(StatefulProcessor):
         pass
 
 
-def _task_firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The first row of each hash in a batch of rows: what may be first must be first here."""
-    for b in batches:
-        yield b.sort_values(["ts_us", "event_id"], kind="stable").drop_duplicates("content_hash")
-
-
 def dedup(files: DataFrame, ttl_seconds: float | None = None) -> DataFrame:
     """J4 as a stream: the rows of ``files`` and, flagged ``_first``, the first files of their hashes.
 
-    ``files(content_hash, path, event_id, ts_us, ...)``. :func:`attach_firsts` turns a batch of it into
-    marked rows. With ``ttl_seconds`` a hash is forgotten once an event arrives that much (event time) after its first
-    file, and its state is dropped when the watermark (newest event time less the TTL) has passed that; an event that is
-    later still is an original. The default, like the watcher, never forgets.
+    ``files(content_hash, path, event_id, ts_us, ...)``; run it in update mode (:func:`run_batches` does), where
+    :func:`attach_firsts` turns a batch into marked rows. The first file of a hash is the earliest of the first batch
+    that held one (a batch's timestamp is kept with its offsets, so a replay decides alike). The default, like the
+    watcher, never forgets: that is a streaming aggregation, partial in each task before the shuffle. With
+    ``ttl_seconds`` a hash is forgotten once an event arrives that much (event time) after its first file; its state is
+    dropped when the watermark (newest event time less the TTL) has passed that, and an event that is later still is an original.
     """
     keys = files.select("content_hash", "path", "event_id", "ts_us")
-    ttl_us = None if ttl_seconds is None else int(ttl_seconds * 1_000_000)
-    if ttl_us is None:
-        keys = keys.mapInPandas(_task_firsts, keys.schema)
+    if ttl_seconds is None:
+        seen = keys.withColumn("seen", F.struct(F.current_timestamp().alias("arrived"), "ts_us", "event_id", "path"))
+        firsts = seen.groupBy("content_hash").agg(F.min("seen").alias("f")).select("content_hash", "f.ts_us", "f.event_id", "f.path")
     else:
+        ttl_us = int(ttl_seconds * 1_000_000)
         keys = keys.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", f"{max(1, -(-ttl_us // 1000))} milliseconds")
-    firsts = _keyed(keys.groupBy("content_hash"), _Firsts(ttl_us),
-                    "content_hash string, ts_us long, event_id long, path string", ttl_us is not None)
+        firsts = _keyed(keys.groupBy("content_hash"), _Firsts(ttl_us),
+                        "content_hash string, ts_us long, event_id long, path string")
     return files.withColumn("_first", F.lit(False)).unionByName(firsts.withColumn("_first", F.lit(True)), allowMissingColumns=True)
 
 
@@ -302,7 +300,7 @@ def allocate_names(files: DataFrame, dir_col: str = "dest_dir", name_col: str =
     sfx = F.regexp_extract(name, r"(?s)^.+(\.[^.]+)\z", 1)
     root = F.regexp_replace(name.substr(F.lit(1), F.length(name) - F.length(sfx)), f"(?:{re.escape(sep)}[1-9][0-9]{{0,17}})+\\z", "")
     keyed = files.select("event_id", "ts_us", name.alias("name"), F.col(dir_col).alias("dir"), F.concat(root, F.lit("/"), sfx).alias("family"))
-    return _keyed(keyed.groupBy("dir", "family"), _Names(sep), "event_id long, final_name string", False)
+    return _keyed(keyed.groupBy("dir", "family"), _Names(sep), "event_id long, final_name string", time="None")
 
 
 def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
@@ -313,17 +311,19 @@ def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
 def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> list[dict]:
     """Run what has arrived (``availableNow``) through ``sink(batch, batch_id)``; the progress of each batch."""
     conf = stream.sparkSession.conf
-    before = conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    before = {key: conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        conf.set(key, value)
     try:
-        q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+        q = (stream.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
         q.awaitTermination()
     finally:
-        if before is None:
-            conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for key, value in before.items():
+            if value is None:
+                conf.unset(key)
+            else:
+                conf.set(key, value)
     if q.exception() is not None:
         raise q.exception()
     return [json.loads(p.json) for p in q.recentProgress]
