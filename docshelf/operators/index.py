@@ -14,10 +14,11 @@ the left side and are reported by an anti join. ``force`` ignores the cache.
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -94,30 +95,93 @@ def deleted(files: DataFrame, cached: DataFrame) -> DataFrame:
     return valid_cache(cached).join(files.select("path"), ["path"], "left_anti")
 
 
-def save(index: DataFrame, path: str) -> None:
+def _versions(spark, path: str) -> tuple[int, str | None]:
+    """Number and folder of the newest version; (0, None) when there is none."""
+    try:
+        r = spark.read.schema("version string, at bigint").parquet(f"{path}/pointer").agg(
+            F.max("at").alias("at"), F.max_by("version", "at").alias("version")).first()
+    except AnalysisException:
+        return 0, None
+    return r.at or 0, r.version
+
+
+def save(index: DataFrame, path: str, cells: int | None = None) -> None:
     """Persist (A9) as a new version, then point to it: readers see the last whole version.
 
-    Items are partitioned by category, so a category filter reads only its folder (E4). Earlier
-    versions stay until the caller removes their folders.
+    Items are partitioned by category, so a category filter reads only its folder (E4). With ``cells``, they are
+    partitioned by nearest centre too, and each cell's centre and exact radius are kept, so that a search reads only the cells
+    that can reach its threshold (:func:`load_cells`). Versions are numbered; two writers that take the same number clash,
+    and the later one fails. Earlier versions stay until the caller removes their folders.
     """
     spark, version = index.sparkSession, uuid.uuid4().hex
-    index.select(*INDEX_COLUMNS).write.partitionBy("category").parquet(f"{path}/versions/{version}")
-    spark.range(1).select(F.lit(time.time_ns()).alias("at"), F.lit(version).alias("version")) \
-        .write.mode("append").parquet(f"{path}/pointer")
+    at, _ = _versions(spark, path)
+    items, folder = index.select(*INDEX_COLUMNS), f"{path}/versions/{version}"
+    if cells is None:
+        items.write.partitionBy("category").parquet(folder)
+    else:
+        centres = _centres(items, cells)
+        items = items.withColumn("_near", _nearest(centres)("embedding")).select(
+            *INDEX_COLUMNS, F.col("_near.cell").alias("cell"), F.col("_near.away").alias("away"))
+        items.repartitionByRange("category", "cell", "path").write.partitionBy("category", "cell").parquet(folder)
+        _cell_bounds(spark, folder, centres).write.parquet(f"{path}/cells/{version}")
+    spark.createDataFrame([(version,)], "version string").write.mode("errorifexists").parquet(f"{path}/pointer/at={at + 1}")
+
+
+def _centres(items: DataFrame, cells: int) -> list[list[float]]:
+    """At most ``cells`` different vectors of the index, drawn by a hash of the path."""
+    vectors = items.where("size(embedding) > 0").select(F.col("embedding").cast("array<double>").alias("e"), F.xxhash64("path").alias("h"))
+    return [list(r.e) for r in vectors.orderBy("h", "e").limit(cells).dropDuplicates(["e"]).orderBy("h").collect()]
+
+
+def _nearest(centres: list[list[float]]):
+    """UDF: number of the nearest centre of the same width and the distance to it; a vector without one is cell -1."""
+    dims = {d: [j for j, c in enumerate(centres) if len(c) == d] for d in {len(c) for c in centres}}
+    tables = {d: (np.array(js), np.array([centres[j] for j in js])) for d, js in dims.items()}
+
+    @F.pandas_udf("cell int, away double")
+    def near(vectors: pd.Series) -> pd.DataFrame:
+        cell, away = np.full(len(vectors), -1), np.zeros(len(vectors))
+        width = np.array([0 if v is None else len(v) for v in vectors])
+        for d, (numbers, c) in tables.items():
+            for at in np.array_split(np.nonzero(width == d)[0], len(vectors) // 2048 + 1):
+                if len(at):
+                    x = np.stack([np.asarray(vectors.iloc[i], dtype=np.float64) for i in at])
+                    gap = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
+                    best = np.where(np.isnan(gap), np.inf, gap).argmin(1)
+                    cell[at], away[at] = numbers[best], np.sqrt(((x - c[best]) ** 2).sum(1))
+        return pd.DataFrame({"cell": cell, "away": away})
+
+    return near
+
+
+def _cell_bounds(spark, folder: str, centres: list[list[float]]) -> DataFrame:
+    """``category, cell, centre, radius``: no item of a cell is farther from its centre than ``radius``."""
+    schema = f"{INDEX_SCHEMA}, cell int, away double"
+    # rounded up; a vector that is not finite makes its cell unbounded
+    radius = F.max(F.when(F.isnan("away"), F.lit(float("inf"))).otherwise(F.col("away") * (1 + 1e-9) + 1e-9))
+    reach = spark.read.schema(schema).parquet(folder).groupBy("category", "cell").agg(radius.alias("radius"))
+    table = spark.createDataFrame([(j, c) for j, c in enumerate(centres)], "cell int, centre array<double>")
+    return reach.join(F.broadcast(table), "cell", "left").select("category", "cell", "centre", "radius")
 
 
 def load(spark, path: str) -> DataFrame:
     """Load a saved index; a missing index is empty."""
-    try:
-        version = spark.read.schema("at bigint, version string").parquet(f"{path}/pointer").agg(
-            F.max_by("version", "at")).first()[0]
-    except AnalysisException:
-        version = None
+    _, version = _versions(spark, path)
     if version is None:
         return spark.createDataFrame([], INDEX_SCHEMA)
     return valid_cache(spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/versions/{version}").select(*INDEX_COLUMNS))
 
 
+def load_cells(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Items with their ``cell``, and ``category, cell, centre, radius``, of an index saved with ``cells``."""
+    _, version = _versions(spark, path)
+    bounds = "category string, cell int, centre array<double>, radius double"
+    if version is None:
+        return spark.createDataFrame([], f"{INDEX_SCHEMA}, cell int"), spark.createDataFrame([], bounds)
+    items = spark.read.schema(f"{INDEX_SCHEMA}, cell int").parquet(f"{path}/versions/{version}")
+    return valid_cache(items), spark.read.schema(bounds).parquet(f"{path}/cells/{version}")
+
+
 def clear(spark, path: str) -> DataFrame:
     """Reset to an empty index of the same schema (A10)."""
     empty = spark.createDataFrame([], INDEX_SCHEMA)

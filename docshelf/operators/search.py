@@ -12,6 +12,11 @@ decimal* descending, ties in index order (``path``).
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +72,12 @@ def _search_pass(index: DataFrame, queries: DataFrame, n_blocks: int, options: S
         index.select("path", "filename", "category", "preview", F.col("embedding").cast("array<double>").alias("_e"))
         .crossJoin(F.broadcast(_query_blocks(queries, n_blocks)))
         .select("path", "filename", "category", "preview", F.inline(hits))
-        .withColumn("score_pct", F.round(F.col("score") * 100.0, 1))
     )
+    return _ranked(scored, options)
+
+
+def _ranked(scored: DataFrame, options: SearchOptions) -> DataFrame:
+    scored = scored.withColumn("score_pct", F.round(F.col("score") * 100.0, 1))
     w = Window.partitionBy("query_id").orderBy(F.col("score_pct").desc(), F.col("path"))
     return (
         scored.withColumn("rank", F.row_number().over(w))
@@ -78,9 +87,81 @@ def _search_pass(index: DataFrame, queries: DataFrame, n_blocks: int, options: S
     )
 
 
+def reachable_cells(cells: DataFrame, vectors: np.ndarray, filters: list[str | None], min_score: float) -> list[tuple]:
+    """``(category, cell)`` of the cells in which some query may reach ``min_score``.
+
+    A score is at most the centre's score plus the radius, as queries have length one (or zero).
+    """
+    found = []
+    for r in cells.collect():       # one row per cell and category, as many as the index was saved with
+        asks = [k for k, f in enumerate(filters) if not f or f == r.category]
+        if not asks:
+            continue
+        same = r.centre is not None and len(r.centre) == vectors.shape[1]
+        top = float((vectors[asks] @ np.asarray(r.centre)).max()) + r.radius if same else np.inf
+        if not top < min_score - 1e-9:
+            found.append((r.category, r.cell))
+    return found
+
+
+def search_cells(items: DataFrame, cells: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(),
+                 batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """As :func:`search_batch`, over an index saved with cells (:func:`docshelf.operators.index.load_cells`).
+
+    Cells that cannot reach ``min_score`` for any query are not read (partition filters). The others are scored block by
+    block as one matrix product of index rows and queries; what comes near the threshold is scored again in the order of
+    its components, so scores equal those of :func:`search_batch`. Queries of one pass fit in ``batch_bytes``.
+    """
+    qs = queries if "category_filter" in queries.columns else queries.withColumn("category_filter", F.lit(None).cast("string"))
+    qs = with_normalised(qs, "qvec", "_qu").select("query_id", "_qu", "category_filter")
+    n, dim = qs.agg(F.count(F.lit(1)), F.max(F.size("_qu"))).first()
+    kind = dict(qs.dtypes)["query_id"]
+    schema = f"query_id {kind}, path string, filename string, category string, preview string, score double"
+    out = None
+    passes = max(1, -(-n * (dim or 0) * 8 // batch_bytes))
+    for k in range(passes):
+        part = qs if passes == 1 else qs.where(F.pmod(F.hash("query_id"), F.lit(passes)) == k)
+        for width, rows in itertools.groupby(sorted(part.collect(), key=lambda r: len(r._qu)), key=lambda r: len(r._qu)):
+            rows = list(rows)
+            hits = _scored_cells(items, cells, [r.query_id for r in rows], np.array([r._qu for r in rows]).reshape(len(rows), width),
+                                 [r.category_filter for r in rows], options, schema)
+            out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        out = items.sparkSession.createDataFrame([], schema)
+    return _ranked(out, options)
+
+
+def _scored_cells(items: DataFrame, cells: DataFrame, ids: list, vectors: np.ndarray, filters: list, options: SearchOptions,
+                  schema: str) -> DataFrame:
+    by_category: dict = {}
+    for category, cell in reachable_cells(cells, vectors, filters, options.min_score):
+        by_category.setdefault(category, []).append(cell)
+    wanted = F.lit(False)
+    for category, numbers in by_category.items():
+        wanted = wanted | (F.col("category").eqNullSafe(F.lit(category)) & F.col("cell").isin(numbers))
+    least, width = options.min_score, vectors.shape[1]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[[v is not None and len(v) == width for v in b["embedding"]]].reset_index(drop=True)
+            for at in range(0, len(b), 1024):
+                block = b.iloc[at:at + 1024]
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in block["embedding"]])
+                i, j = np.nonzero(x @ vectors.T >= least - 1e-9)
+                exact = np.concatenate([np.cumsum(x[i[p:p + 65536]] * vectors[j[p:p + 65536]], axis=1)[:, -1]
+                                        for p in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
+                rows = block.iloc[i].drop(columns="embedding").assign(query_id=[ids[q] for q in j], score=exact)
+                keep = [s >= least and (not filters[q] or filters[q] == c) for s, q, c in zip(exact, j, rows["category"])]
+                yield rows[keep][["query_id", "path", "filename", "category", "preview", "score"]]
+
+    return items.where(wanted).select("path", "filename", "category", "preview", "embedding").mapInPandas(score, schema)
+
+
 def search(index: DataFrame, query_vec: list[float], options: SearchOptions = SearchOptions()) -> DataFrame:
     """One query (E3/E4): ``(rank, path, filename, category, score_pct, preview)``."""
     spark = index.sparkSession
+    if options.category:
+        index = index.where(F.col("category") == options.category)      # a saved index is partitioned by category
     q = spark.createDataFrame([(0, [float(x) for x in query_vec], options.category)],
                               "query_id bigint, qvec array<double>, category_filter string")
     return search_batch(index, q, options).drop("query_id")

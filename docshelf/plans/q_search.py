@@ -118,6 +118,29 @@ def search_bands(spark, sf_dir):
     return hits.withColumn("band", search.score_band())
 
 
+def clustered_index(spark, sf_dir):
+    """The vector index saved by category and cell, as it is read back."""
+    import uuid
+
+    idx = vector_index(spark, sf_dir).select(
+        "path", "filename", "category", "preview", F.lit(0).cast("bigint").alias("size"),
+        F.lit(0).cast("bigint").alias("mtime_us"), F.md5(F.col("path").cast("binary")).alias("content_hash"),
+        F.col("embedding").cast("array<float>"), F.lit(O.INDEX_SCHEMA_VERSION).alias("schema_version"))
+    path = scratch_path(spark, f"cells-{uuid.uuid4().hex}")
+    index.save(idx, path, cells=32)
+    return index.load_cells(spark, path)
+
+
+@query("search_clustered", _sql_search(False))
+def search_clustered(spark, sf_dir):
+    return search.search_cells(*clustered_index(spark, sf_dir), prototype_queries(spark, sf_dir))
+
+
+@query("search_clustered_filtered", _sql_search(True))
+def search_clustered_filtered(spark, sf_dir):
+    return search.search_cells(*clustered_index(spark, sf_dir), prototype_queries(spark, sf_dir, True))
+
+
 # --- E1 / E2 / E7 -------------------------------------------------------------
 # Current tree: documents after duplicates were removed. Cache: an index built
 # earlier from the labelled documents; toxic ones were edited since (their

@@ -1,8 +1,10 @@
 """Vector search: threshold on the raw score, order by rounded score then path, top-k, filters."""
 import math
 
+import numpy as np
+
 from docshelf.operators import search
-from docshelf.options import SearchOptions
+from docshelf.options import INDEX_SCHEMA_VERSION, SearchOptions
 
 
 def unit(v):
@@ -73,3 +75,66 @@ def test_text_search_matches_brute_force(spark):
             if cos >= 0.25:
                 want.add((i, p, round(100 * cos, 1)))
     assert {(h["query_id"], h["path"], h["score_pct"]) for h in got} == want
+
+
+def cell_index(spark, rows, cells):
+    import uuid
+
+    from docshelf.operators import index as I
+    from docshelf.session import scratch_path
+
+    df = spark.createDataFrame([(p, p, c, "v", 1, 0, "h", v, INDEX_SCHEMA_VERSION) for p, c, v in rows], I.INDEX_SCHEMA)
+    path = scratch_path(spark, f"t-cells-{uuid.uuid4().hex}")
+    I.save(df, path, cells=cells)
+    return df, path
+
+
+def test_cells_give_the_same_hits_and_read_less(spark):
+    """Tight and wide cells, vectors of any length, copies, a vector opposite to its centre, null and odd vectors."""
+    import random
+
+    from docshelf.operators import index as I
+
+    r = random.Random(3)
+    ways = [[r.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = []
+    for k in range(900):
+        way, spread, scale = ways[k % 12], [0.02, 0.3, 3.0][k % 3], [1, 1, 1, 0.2, 5][k % 5]
+        rows.append((f"p/{k}", f"c{k % 4}", [scale * (x + r.gauss(0, spread)) for x in unit(way)]))
+    rows += [(f"q/{k}", "c1", rows[5][2]) for k in range(300)] + [("z/1", "c2", [0.0] * 8), ("z/2", None, unit(ways[3])), ("z/3", "c1", []),
+                                                                ("z/4", "c3", [float("nan")] * 8)]
+    plain, path = cell_index(spark, rows, 40)
+    items, cells = I.load_cells(spark, path)
+    qs = spark.createDataFrame([(i, ways[i], ["", None, "c1", "c9"][i % 4]) for i in range(6)] + [(9, [0.0] * 8, None)],
+                               "query_id bigint, qvec array<double>, category_filter string")
+    options = SearchOptions(top_k=400, min_score=0.9)
+    want = sorted(map(tuple, search.search_batch(plain.where("path <> 'z/4'"), qs, options).collect()))
+    got = sorted(map(tuple, search.search_cells(items, cells, qs, options).collect()))
+    assert got == want and len(got) > 300
+    assert sorted(map(tuple, search.search_cells(items, cells, qs, options, batch_bytes=128).collect())) == want
+    one = search.search_cells(items, cells, qs.where("query_id = 0"), SearchOptions(min_score=0.98))
+    plan = one._jdf.queryExecution().toString()
+    assert "PartitionFilters: []" not in plan and "cell" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # where cells are tight, most are not read
+    _, path = cell_index(spark, [x for k, x in enumerate(rows[:900]) if k % 3 == 0 and k % 5 < 3], 40)
+    _, tight = I.load_cells(spark, path)
+    found = search.reachable_cells(tight, np.array([unit(ways[0])]), [None], 0.9)
+    assert 0 < len(found) < tight.count() / 2
+    assert search.search_cells(items, cells, qs.limit(0)).count() == 0
+
+
+def test_category_filter_reads_one_folder_and_versions_are_numbered(spark):
+    import pytest
+
+    from docshelf.operators import index as I
+
+    rows = [(f"p/{k}", f"c{k % 4}", unit([1.0, k + 1.0])) for k in range(40)]
+    _, path = cell_index(spark, rows, 4)
+    hits = search.search(I.load(spark, path), [1.0, 2.0], SearchOptions(category="c1"))
+    assert "c1" in hits._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert {h["category"] for h in hits.collect()} == {"c1"}
+    assert I._versions(spark, path)[0] == 1
+    I.clear(spark, path)
+    assert I._versions(spark, path)[0] == 2 and I.load(spark, path).count() == 0
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        spark.createDataFrame([("v",)], "version string").write.mode("errorifexists").parquet(f"{path}/pointer/at=2")
