@@ -14,7 +14,8 @@ What is left at the end of a partition is cut into sequences whose lengths are p
 sequence needs padding.
 
 Defined results: null text counts as empty and is packed as the single token 0; rows that repeat an
-id are packed one by one; an empty table gives no pieces; other columns are not read.
+id are packed one by one; an empty table gives no pieces; other columns are not read. Very long texts, runs of
+white space or of one character among them, are read whole.
 """
 
 from __future__ import annotations
@@ -61,9 +62,19 @@ def encoder(spec: _Spec):
     return _ENCODERS[spec.id]
 
 
-def token_ids(text: str, enc) -> np.ndarray:
-    """Ids of a whole text (special strings as in the tokenizer's default) and the closing 0."""
-    return np.array(enc.encode(text, allowed_special="all") + [0], dtype="<u4")
+def token_ids(text: str, enc, spec: _Spec) -> np.ndarray:
+    """Ids of a whole text (special strings as in the tokenizer's default) and the closing 0.
+
+    White space of half a million characters or more is beyond the backtracking of the fast encoder's
+    pattern; such a text is read by the tokenizer library itself.
+    """
+    try:
+        ids = enc.encode(text, allowed_special="all")
+    except ValueError:
+        from tokenizers import Tokenizer
+
+        ids = Tokenizer.from_str(spec.value).encode(text, add_special_tokens=False).ids
+    return np.array(ids + [0], dtype="<u4")
 
 
 def tokenised(rows: DataFrame, spec: _Spec, opts: PackingOptions) -> DataFrame:
@@ -73,7 +84,7 @@ def tokenised(rows: DataFrame, spec: _Spec, opts: PackingOptions) -> DataFrame:
         for b in batches:
             n, full, tail = [], [], []
             for text in b.pop("text"):
-                ids = token_ids(text, enc)
+                ids = token_ids(text, enc, spec)
                 cut = len(ids) // opts.window * opts.window
                 n.append(len(ids))
                 full.append([zlib.crc32(ids[i:i + opts.window].tobytes()) for i in range(0, cut, opts.window)])

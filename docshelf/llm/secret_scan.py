@@ -10,7 +10,8 @@ name), ``flow`` (one that reaches a sensitive name through another name). The la
 only where no pattern span overlaps. Offsets are code points, ends exclusive.
 
 Defined results: null text counts as empty and has no spans; rows that repeat an id are scanned one
-by one; other columns are not read.
+by one; other columns are not read. Very long texts and names are read whole, in time that grows with
+their length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,13 +49,14 @@ SENSITIVE = {
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|<.*|\$[{(A-Z_].*|%\(?.*|\{\{.*|your.*|change.?me.*|example.*|dummy.*|placeholder"
                          r"|true|false|null|none|nil|undefined|todo|redacted|(?:https?|file)://[^:@]*)$")
 OPERATOR = re.compile(r"=>|:=|[=:]")
-NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["'\]]{0,2}[ \t]*\Z""")
 PART = re.compile(r"""[ \t]*(?:(?:Bearer|Basic)[ \t]+)?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`"""
                   r"""|([^\s,;#&(){}\[\]"'`<>+][^\s,;&(){}\[\]"'`<>+]*))""")
 JOIN = re.compile(r"[ \t]*\+")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-NAME_CHARS = 128                 # longest name before an operator
+NOT_NAME = re.compile(r"[^A-Za-z0-9_.\-]")
+NAME_START = re.compile(r"[A-Za-z_].*", re.S)
+STEP = 256                       # characters read at once towards the start of a name
 
 
 def sensitivity(name: str) -> float:
@@ -79,14 +83,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def name_before(text: str, end: int) -> str:
+    """The name that ends before ``end`` (but for blanks and up to two closing quotes or brackets), or an empty string."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    for _ in range(2):
+        if end and text[end - 1] in "\"']":
+            end -= 1
+    start = end
+    while start:
+        low = max(0, start - STEP)
+        other = [m.end() for m in NOT_NAME.finditer(text, low, start)]
+        start = other[-1] if other else low
+        if other:
+            break
+    name = NAME_START.search(text, start, end)
+    return name.group() if name else ""
+
+
 def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int, str, bool]]]]:
     """``(name, parts)`` in text order; a part is ``(start, end, value, quoted)``."""
     at = 0
     for op in OPERATOR.finditer(text):
         if op.start() < at:                                   # inside the literal of the last assignment
             continue
-        name = NAME_BEFORE.search(text, max(0, op.start() - NAME_CHARS), op.start())
-        if name is None or text.startswith(("=", "/"), op.end()):
+        if text.startswith(("=", "/"), op.end()) or not (name := name_before(text, op.start())):
             continue
         parts, pos = [], op.end()
         while (m := PART.match(text, pos)) is not None:
@@ -98,37 +119,52 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int, str, bool
             pos = more.end()
         if parts:
             at = parts[-1][1]
-            yield name.group(1), parts
+            yield name, parts
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
-    """Literals that reach a sensitive name, directly or through constants."""
-    constants: dict[str, list[tuple[int, int, str]]] = {}
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    for name, parts in assignments(text):
-        weight, reached = sensitivity(name), []
+    """Literals that reach a sensitive name, directly or through constants.
+
+    Each assignment is a node that points to the earlier assignments whose names it uses. The best weight that
+    the literals of an assignment reach is found from the last assignment to the first, in one pass.
+    """
+    current: dict[str, int] = {}
+    own: list[float] = []
+    uses: list[set[int]] = []
+    literals: list[tuple[int, int, int, str]] = []
+    for node, (name, parts) in enumerate(assignments(text)):
+        own.append(sensitivity(name))
+        uses.append(set())
         for start, end, value, quoted in parts:
-            if not quoted and NAME.match(value) and value in constants:
-                hits = [(s, e, v, "flow") for s, e, v in constants[value]]
+            if not quoted and value in current and NAME.match(value):
+                uses[node].add(current[value])
             else:
-                hits = [(start, end, value, "literal")]
-            for s, e, v, kind in hits:
-                reached.append((s, e, v))
-                score = weight * randomness(v) * 1.5
-                if score >= SCORE and score > best.get((s, e), (0.0, ""))[0]:
-                    best[s, e] = (score, kind)
-        constants[name] = list(dict.fromkeys(reached))
-    return [(s, e, kind) for (s, e), (_, kind) in best.items()]
+                literals.append((node, start, end, value))
+        current[name] = node
+    best = own[:]
+    for node in range(len(own) - 1, -1, -1):
+        for earlier in uses[node]:
+            best[earlier] = max(best[earlier], best[node])
+    found = []
+    for node, start, end, value in literals:
+        if best[node] > 0 and best[node] * (r := randomness(value)) * 1.5 >= SCORE:
+            direct = own[node] * r * 1.5 >= SCORE and own[node] == best[node]
+            found.append((start, end, "literal" if direct else "flow"))
+    return found
+
+
+def apart(spans: list[tuple[int, int, str]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The ``spans`` that overlap none of ``taken``."""
+    starts = sorted((s, e) for s, e, _ in taken)
+    furthest = list(accumulate((e for _, e in starts), max))
+    starts = [s for s, _ in starts]
+    return [x for x in spans if (k := bisect_left(starts, x[1])) == 0 or furthest[k - 1] <= x[0]]
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
     """All spans of a text by start, then kind."""
     base = base_spans(text)
-    taken = sorted((s, e) for s, e, _ in base)
-    more = []
-    for s, e, kind in lexed_spans(text) if ("=" in text or ":" in text) else []:
-        if not any(a < e and s < b for a, b in taken):
-            more.append((s, e, kind))
+    more = apart(lexed_spans(text), base) if "=" in text or ":" in text else []
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

@@ -101,9 +101,10 @@ def test_packing_takes_odd_rows(spark, encode):
 
 
 def test_ids_equal_the_tokenizer(spark, encode):
-    enc = packing.encoder(_Spec(spark, tokenizer_path("byte_bpe_50k.json")))
+    spec = _Spec(spark, tokenizer_path("byte_bpe_50k.json"))
+    enc = packing.encoder(spec)
     for t in ["", "  two  spaces \n\n x", "it's 'REALLY 123abc", "日本語 é̈ \U0001f600‍", "a<|endoftext|>b", "\x00\x1c\x85\xa0 z", "x" * 3000]:
-        assert (packing.token_ids(t, enc) == encode(t)).all(), t
+        assert (packing.token_ids(t, enc, spec) == encode(t)).all(), t
 
 
 def test_neighbours_of_a_seed_share_its_words():
