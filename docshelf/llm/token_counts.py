@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import pieces_of, text_rows, tokenizer_path, written
 
 CHUNK_CHARS = 8192
-STATE_LIMIT = 100_000     # interned states per Python worker; beyond it the lazy tables start anew
-WORD_LIMIT = 400_000      # remembered words per Python worker
+STATE_LIMIT = 200_000     # interned states per Python worker; beyond it the lazy tables start anew
+WORD_LIMIT = 400_000      # remembered words, and pre-tokens, per Python worker
 INFINITE = 1 << 60
 
 # Fixed value: the white space characters (Unicode White_Space) at which pre-tokens end.
@@ -48,6 +48,7 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 # Fixed value: places inside a run without ASCII white space at which a pre-token surely ends, whatever is around
 # (a digit is a pre-token of its own; a letter never continues punctuation, nor composes with it).
 SURE = "(?<=[0-9])|(?<=[\u3000\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[^\\W_])"
+SIGNS = set(".,;:!?()\"%*$-")       # signs that are neither white space nor an apostrophe
 ASCII_SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 
@@ -80,6 +81,7 @@ class Transducers:
         self._trie(vocab, suffix, {s: b for b, s in enumerate(symbols)})
         self.classes: dict[str, str] = {}
         self.words: dict[str, int] = {"": 0}
+        self.pre_counts: dict[str, int] = {}
         self._reset()
 
     def _trie(self, vocab: dict[str, int], suffix: str, byte_of: dict[str, int]) -> None:
@@ -221,7 +223,26 @@ class Transducers:
         """Tokens of a text without seams: special strings count 1, the rest by the transducers."""
         # leftmost special first, as the specials do not overlap one another
         parts = self.special.split(segment) if any(s in segment for s in self.specials) else [segment]
-        return len(parts) - 1 + sum(self.pieces(w) for part in parts for w in self.pre_tokens(self.normalise(part)))
+        n, known = len(parts) - 1, self.pre_counts
+        for part in parts:
+            text = self.normalise(part)
+            # a run of letters is one pre-token, and so is a single sign after it
+            if text.isalpha():
+                words = (text,)
+            elif text[:-1].isalpha() and text[-1] in SIGNS:
+                words = (text[:-1], text[-1])
+            else:
+                words = self.pre_tokens(text)
+            for w in words:
+                k = known.get(w)
+                n += self._pre_count(w) if k is None else k
+        return n
+
+    def _pre_count(self, word: str) -> int:
+        if len(self.pre_counts) > WORD_LIMIT:
+            self.pre_counts.clear()
+        n = self.pre_counts[word] = self.pieces(word)
+        return n
 
     def word(self, segment: str) -> int:
         n = self.words.get(segment)
