@@ -119,6 +119,19 @@ def decode_text(spark, sf_dir):
     return d.select("doc_id", F.length(t).cast("bigint").alias("chars"), F.md5(t.cast("binary")).alias("content_md5"))
 
 
+@query("decode_damaged", """
+SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, md5(t) AS content_md5
+FROM (SELECT doc_id, chr(65533) || text || 'a' || chr(65533) || 'b' || chr(128512) AS t FROM documents)""")
+def decode_damaged(spark, sf_dir):
+    """Malformed bytes around and inside whole texts go; a U+FFFD that the file holds stays."""
+    d = read_table(spark, sf_dir, "documents")
+    b = lambda h: F.unhex(F.lit(h))
+    # cut sequences, stray continuations, overlong and surrogate forms, beyond the last code point
+    raw = F.concat(b("80EFBFBDC0AFED A080".replace(" ", "")), F.col("text").cast("binary"), b("F0908061EFBFBDF5808080"), b("E28262F09F9880F09F98"))
+    t = FS.decode_text(raw)
+    return d.select("doc_id", F.length(t).cast("bigint").alias("chars"), F.md5(t.cast("binary")).alias("content_md5"))
+
+
 # --- B2 --------------------------------------------------------------------------
 # Conversation turns as the parts of one file per conversation; user and
 # assistant turns are the text members, system turns are not.

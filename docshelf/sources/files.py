@@ -94,15 +94,21 @@ def extractor_kind(path: str | Column) -> Column:
     return F.coalesce(F.element_at(m, ext), F.lit("none"))
 
 
+# The well-formed UTF-8 sequences, as characters of a Latin-1 view of the bytes.
+UTF8_SEQUENCE = ("[\\x00-\\x7F]|[\\xC2-\\xDF][\\x80-\\xBF]|\\xE0[\\xA0-\\xBF][\\x80-\\xBF]|[\\xE1-\\xEC\\xEE\\xEF][\\x80-\\xBF]{2}"
+                 "|\\xED[\\x80-\\x9F][\\x80-\\xBF]|\\xF0[\\x90-\\xBF][\\x80-\\xBF]{2}|[\\xF1-\\xF3][\\x80-\\xBF]{3}|\\xF4[\\x80-\\x8F][\\x80-\\xBF]{2}")
+
+
 def decode_text(content: str | Column) -> Column:
     """B1: UTF-8 with malformed bytes dropped, universal newlines.
 
-    ``make_valid_utf8`` replaces each malformed sequence with U+FFFD, which
-    is then removed (a genuine U+FFFD in the input is lost too).
+    Bytes that are well formed as a whole are taken as they are. Otherwise the well-formed sequences are kept
+    and every other byte is dropped, so a genuine U+FFFD of the file stays.
     """
     c = F.col(content) if isinstance(content, str) else content
-    valid = F.make_valid_utf8(c.cast("string"))
-    return F.regexp_replace(F.regexp_replace(valid, "�", ""), "\r\n?", "\n")
+    latin = F.regexp_replace(F.decode(c, "ISO-8859-1"), f"(?s)({UTF8_SEQUENCE})|.", "$1")
+    kept = F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(F.encode(latin, "ISO-8859-1").cast("string"))
+    return F.regexp_replace(kept, "\r\n?", "\n")
 
 
 def read_texts(spark: SparkSession, root: str, categories: list[str] | DataFrame, recursive: bool = False) -> DataFrame:

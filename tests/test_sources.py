@@ -87,3 +87,20 @@ def test_model_choice(spark):
     assert got[2]["category"] == "A" and got[2]["confidence_pct"] == 70.7    # tie -> first category, kept
     with pytest.raises(ValueError):
         classify(docs, "svm")
+
+
+def test_decode_drops_only_malformed_bytes(spark):
+    import random
+
+    from docshelf.sources.files import decode_text
+
+    r = random.Random(1)
+    parts = [b"\xef\xbf\xbd", "é".encode(), "日".encode(), "\U0001f600".encode(), b"\r\n", b"\r", b"a", b"\x00", b"\xc3", b"\xe2\x82", b"\xf0\x9f\x98",
+             b"\x80", b"\xc0\xaf", b"\xed\xa0\x80", b"\xf5", b"\xff", b"\xf4\x90\x80\x80", b"\xe0\x80\x80"]
+    raws = [b"".join(r.choices(parts, k=r.randrange(0, 12))) for _ in range(600)] + [r.randbytes(40) for _ in range(600)]
+    raws += [b"x" * 300_000 + b"\xff" + "ß".encode() * 100_000, b""]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(raws)] + [(-1, None)], "i int, content binary").repartition(3)
+    got = {x.i: x.t for x in df.select("i", decode_text("content").alias("t")).collect()}
+    assert got.pop(-1) is None
+    for i, raw in enumerate(raws):
+        assert got[i] == raw.decode("utf-8", errors="ignore").replace("\r\n", "\n").replace("\r", "\n"), raw[:80]
