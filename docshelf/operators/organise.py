@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name
+from ..functions.text import base_name, char_preview_web
 from ..options import HISTORY_SCHEMA_VERSION
 from ..session import materialize
 from . import dedup
@@ -119,6 +119,11 @@ def override_records(before: DataFrame, after: DataFrame, run_id: str, timestamp
         base_name("dest_path").alias("final_name"))
 
 
+def web_corrections(after: DataFrame, texts: DataFrame) -> DataFrame:
+    """What overrides in the web form teach the classifier (F7): the preview it shows, not the whole text."""
+    return override_corrections(after, texts.select("doc_id", char_preview_web("text").alias("text")))
+
+
 def override_corrections(after: DataFrame, texts: DataFrame) -> DataFrame:
     """What overrides teach the classifier: ``(sample_id, text, label)`` for D11 from ``texts(doc_id, text)``."""
     return after.where("overridden").select("doc_id", F.col("category").alias("label")).join(texts, ["doc_id"]).select(

@@ -12,7 +12,7 @@ from ..session import materialize
 from ..sources.tables import documents_as_files, read_table
 from .catalog import query
 from .q_classify import FAILED_SQL, TRAIN_LANG_SQL, labelled_docs, lang_model
-from .sqltext import file_path_sql, nb_model_ctes, nb_score_ctes, proposed_name_sql, q, sanitise_sql, suffix_sql, stem_sql
+from .sqltext import file_path_sql, nb_model_ctes, nb_score_ctes, proposed_name_sql, q, sanitise_sql, suffix_sql, stem_sql, words_sql
 
 ROOT = "organised"
 RUN_ID = "0f1e2d3c4b5a69788796a5b4c3d2e1f0"
@@ -218,12 +218,12 @@ def override_moves(spark, sf_dir):
         "doc_id", "run_id", "action", "source_path", "destination_path", "source_hash", "original_name", "final_name")
 
 
-def _override_learn_sql() -> str:
+def _override_learn_sql(text: str = "o.text") -> str:
     return f"""WITH f AS (SELECT doc_id, {file_path_sql()} AS path, text, md5(text) AS content_hash FROM documents),
 firsts AS (SELECT content_hash, min(doc_id) AS doc_id FROM f GROUP BY content_hash),
 orig AS (SELECT f.* FROM f JOIN firsts USING (content_hash, doc_id)),
 train AS ({TRAIN_LANG_SQL}
-  UNION ALL SELECT o.doc_id, o.text, ov.override_category, {O.CORRECTION_WEIGHT} FROM orig o JOIN ({OVERRIDES_SQL}) ov USING (path)),
+  UNION ALL SELECT o.doc_id, {text}, ov.override_category, {O.CORRECTION_WEIGHT} FROM orig o JOIN ({OVERRIDES_SQL}) ov USING (path)),
 score_docs AS (SELECT doc_id, text FROM documents),
 {nb_model_ctes('train')},
 {nb_score_ctes('score_docs')}
@@ -251,6 +251,20 @@ def override_web(spark, sf_dir):
     return out.select("doc_id", "category", "confidence_pct", "is_low", "overridden")
 
 
+_PREVIEW_SQL = f"""substr(array_to_string({words_sql('o.text')}, ' '), 1, {O.PREVIEW_CHARS})
+  || CASE WHEN len({words_sql('o.text')}) > {O.PREVIEW_WEB_ELLIPSIS_WORDS} THEN '...' ELSE '' END"""
+
+
+@query("override_web_learn", lambda: _override_learn_sql(_PREVIEW_SQL))
+def override_web_learn(spark, sf_dir):
+    """Overrides in the web form teach their previews, and the retrained model classifies all documents (F7 into D11)."""
+    docs = read_table(spark, sf_dir, "documents")
+    after = organise.apply_overrides(organise_results(spark, sf_dir)["results"], overrides(spark, sf_dir), ROOT, web=True)
+    learned = organise.web_corrections(after, docs.select("doc_id", "text"))
+    samples = nb.training_samples(labelled_docs(spark, sf_dir), "doc_id", "text", "lang")
+    return nb.classify(nb.fit(nb.with_corrections(samples, learned)), docs)
+
+
 # --- G1-G6 / A8 -------------------------------------------------------------------
 
 @query("run_stats", lambda: _organise_sql_ctes() + """,
