@@ -38,6 +38,14 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                        F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces_of(text: Column, chars: int) -> Column:
     """``text`` cut into consecutive pieces of at most ``chars`` code points (one linear pass)."""
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import free_name, whole_text, written
 
 FAN_IN = 16
 DIGEST = ["digest", "n_bytes", "check"]
@@ -94,12 +94,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     from pyspark.sql import Window
 
-    kept = (exact_groups(docs, id_col, text_col, keep).where("kept")
-            .select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_sha256")
-                    .alias("__key")))
-    keyed = docs.withColumn("__key", F.concat_ws(
-        ":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.sha2(whole_text(text_col), 256)))
+    key, place = free_name(docs, "__key"), free_name(docs, "__n")
+    of = lambda doc_id, digest: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), digest).alias(key)
+    kept = exact_groups(docs, id_col, text_col, keep).where("kept").select(of(F.col("doc_id"), F.col("text_sha256")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*columns, of(F.col(f"`{id_col}`"), F.sha2(whole_text(text_col), 256)))
     others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]
-    first = Window.partitionBy("__key").orderBy(*(others or [F.lit(0)]))
-    return (keyed.join(kept, "__key", "left_semi").withColumn("__n", F.row_number().over(first))
-            .where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    first = Window.partitionBy(key).orderBy(*(others or [F.lit(0)]))
+    return (keyed.join(kept, key, "left_semi").withColumn(place, F.row_number().over(first))
+            .where(F.col(place) == 1).select(*columns))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 UNDETERMINED = "und"
 
@@ -202,5 +202,6 @@ def predicted(text: Column, model: LanguageModel, spark) -> Column:
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose language cannot be told, all columns unchanged."""
-    return (docs.withColumn("__lang", predicted(F.col(text_col).cast("string"), model, docs.sparkSession))
-            .where(F.col("__lang.lang") != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    found = free_name(docs, "__lang")
+    return (docs.withColumn(found, predicted(F.col(text_col).cast("string"), model, docs.sparkSession))
+            .where(F.col(f"{found}.lang") != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import salted_lookup
-from .common import text_rows, whole_text, written
+from .common import free_name, text_rows, whole_text, written
 from .components import connected_components
 
 
@@ -351,7 +351,8 @@ def _near_rows(rows: DataFrame, opts: MinHashOptions) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      opts: MinHashOptions = MinHashOptions()) -> DataFrame:
     """``docs`` with one row of each group of near copies (that of the smallest id), all columns unchanged."""
-    keyed = written(docs.withColumn("__row_key", F.monotonically_increasing_id()), "keyed", "zstd")
-    rows = keyed.select(F.col("__row_key").alias("row_key"), F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    gone = _near_rows(rows, opts).where("not kept").select(F.col("row_key").alias("__row_key"))
-    return keyed.join(gone, "__row_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = free_name(docs, "__row_key")
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed", "zstd")
+    rows = keyed.select(F.col(key).alias("row_key"), F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    gone = _near_rows(rows, opts).where("not kept").select(F.col("row_key").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -237,3 +237,17 @@ def test_repeats_of_texts_without_spaces_go(spark):
         (6, "好\n是\n不\n", None)]), opts=SpanOptions(lengthen=True)).collect()}
     assert {i: (r.n_removed, r.text) for i, r in got.items() if i % 2 == 0} == {
         2: (3, "开头\n结尾"), 4: (3, "ก\n"), 6: (0, "好\n是\n不\n")}
+
+
+def test_stages_keep_columns_named_like_their_helpers(spark):
+    from docshelf.llm.language_svm import fit, identify
+
+    rows = [(i, t, "en", f"k{i}", f"r{i}", f"l{i}", i, f"K{i}") for i, t in enumerate(
+        ["one two three four five six", "one two three four five six", "seven eight nine ten eleven", "...", "twelve thirteen"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, `__key` string, `__row_key` string, `__lang` string, "
+                                       "`__n` int, `__key_` string")
+    kept = {1: 1, 2: 2, 3: 3, 4: 4}
+    for out, ids in ((drop_copies(docs), kept), (mb.drop_near_copies(docs), {0: 0, 2: 2, 3: 3, 4: 4}),
+                     (identify(docs, fit(docs)), {0: 0, 1: 1, 2: 2, 4: 4})):
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, out.collect())) == [rows[i] for i in sorted(ids)]
