@@ -6,8 +6,11 @@
 3. NN-descent: the neighbours of each node meet in a local join, forward and (a sample of) reverse,
    and every list keeps its best entries. A list whose entries are all links is saturated and is
    enlarged. Rounds go on until hardly any list changes.
-4. Audit: a bounded set of vectors is compared with all by brute force, in blocks. While the recall
-   of links is under the target, lists and start orders are doubled and refined again.
+4. Audit: a bounded set of vectors is compared with all by brute force, in blocks. Recall is averaged over
+   audited vectors with links, copies counted once, for vectors with few and with many links apart, so that a
+   hot group cannot hide lost pairs. While it is under the target, lists and start orders are doubled and
+   refined again; after the last try, the vectors are compared exactly, block against block, for links
+   between components.
 5. List entries near the threshold are verified in double precision; verified links form components.
    A link never leaves its component, so the exact number of links of each vector is counted inside
    components, block against block: pairs are never written out.
@@ -29,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import salted_lookup
+from ..session import drop_written
 from .common import written
 from .components import connected_components
 
@@ -46,7 +51,9 @@ class DescentOptions:
     settled: float = 0.002       # share of changed entries at which rounds end
     audit: int = 1024            # vectors whose links are checked against all others
     recall: float = 0.999        # recall of the audit from which the graph is accepted
-    tries: int = 3
+    class_least: int = 16        # audited vectors from which those with about as many links are averaged apart
+    tries: int = 3               # graphs built before the rest is found by comparing blocks
+    salt: int = 8                # tasks over which the copies of one vector are spread
     block: int = 2048            # vectors of a component compared at once
 
 
@@ -202,7 +209,8 @@ def links_of(lists: DataFrame, coded: DataFrame, opts: DescentOptions) -> DataFr
 
 
 def counted(labels: DataFrame, coded: DataFrame, opts: DescentOptions) -> DataFrame:
-    """``node, n``: exact number of links of each node in its component, without its own copies.
+    """``node, n, others``: exact number of links of each node in its component, without its own copies,
+    and the same with copies counted once.
 
     Components up to a block share groups of about a block; larger ones meet block by block.
     """
@@ -234,15 +242,62 @@ def counted(labels: DataFrame, coded: DataFrame, opts: DescentOptions) -> DataFr
                     i = left[at:at + 512]
                     near = (x[i] @ x[right].T >= opts.threshold) & (label[i][:, None] == label[right][None, :])
                     near &= i[:, None] != right[None, :]
-                    out.append(pd.DataFrame({"node": node[i], "n": near @ copies[right]}))
+                    out.append(pd.DataFrame({"node": node[i], "n": near @ copies[right], "others": near.sum(axis=1)}))
         return pd.concat(out)
 
-    return (placed.groupBy("team", "low", "high").applyInPandas(count, "node bigint, n bigint")
-            .groupBy("node").agg(F.sum("n").alias("n")))
+    return (placed.groupBy("team", "low", "high").applyInPandas(count, "node bigint, n bigint, others bigint")
+            .groupBy("node").agg(F.sum("n").alias("n"), F.sum("others").alias("others")))
+
+
+def links_between(labels: DataFrame, coded: DataFrame, opts: DescentOptions) -> DataFrame:
+    """Links ``a, b`` between vectors of different components, enough of them to join those components.
+
+    Exact: every block of vectors meets every other. A task holds two blocks and gives a spanning forest of
+    the components it joins, so never more rows than vectors. The work grows with the square of the vectors,
+    which is why it only follows when no graph has passed the audit.
+    """
+    blocks = max(1, -(-coded.count() // opts.block))
+    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    placed = (coded.join(labels, "node", "left")
+              .select("node", "dim", "unit", F.coalesce("label", "node").alias("label"), own.alias("own"))
+              .withColumn("meets", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+              .withColumn("low", F.least("own", "meets")).withColumn("high", F.greatest("own", "meets")).drop("meets"))
+
+    def join(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(g["unit"])).reshape(len(g), -1)
+        node, label = g["node"].to_numpy(), g["label"].to_numpy()
+        one = g["low"].iloc[0] == g["high"].iloc[0]
+        low = (g["own"] == g["low"]).to_numpy()
+        left, right = (np.arange(len(g)),) * 2 if one else (np.flatnonzero(low), np.flatnonzero(~low))
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        out = []
+        for at in range(0, len(left), 512):
+            i = left[at:at + 512]
+            r, c = np.nonzero((x[i] @ x[right].T >= opts.threshold) & (label[i][:, None] != label[right][None, :]))
+            _, firsts = np.unique(np.stack([label[i[r]], label[right[c]]]), axis=1, return_index=True)
+            for k in firsts:
+                a, b = i[r[k]], right[c[k]]
+                if (p := top(label[a])) != (q := top(label[b])):
+                    root[p] = q
+                    out.append((min(node[a], node[b]), max(node[a], node[b])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return placed.groupBy("dim", "low", "high").applyInPandas(join, "a bigint, b bigint")
 
 
 def audited_recall(coded: DataFrame, counts: DataFrame, opts: DescentOptions) -> float:
-    """Found links over true links of a bounded set of vectors, compared with all in blocks."""
+    """Recall of links of a bounded set of vectors, compared with all in blocks; copies count once.
+
+    The mean over the audited vectors that have links, or the least mean of those with about as many links
+    (powers of two) where enough were audited. 1 if none has a link.
+    """
     asked = coded.orderBy(F.xxhash64("node"), "node").limit(opts.audit).select("node", "dim", "unit").collect()
     by_dim: dict[int, tuple] = {}
     for r in asked:
@@ -257,13 +312,17 @@ def audited_recall(coded: DataFrame, counts: DataFrame, opts: DescentOptions) ->
                     nodes, q = by_dim[dim]
                     x = np.frombuffer(b"".join(g["unit"])).reshape(len(g), -1)
                     near = (q @ x.T >= opts.threshold) & (nodes[:, None] != g["node"].to_numpy()[None, :])
-                    yield pd.DataFrame({"node": nodes, "n": near @ g["copies"].to_numpy()})
+                    yield pd.DataFrame({"node": nodes, "n": near.sum(axis=1)})
 
-    true = (coded.select("node", "copies", "dim", "unit").mapInPandas(brute, "node bigint, n bigint")
-            .groupBy("node").agg(F.sum("n").alias("true")))
-    sums = (true.join(counts, "node", "left")
-            .agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first())
-    return 1.0 if not sums[0] else sums[1] / sums[0]
+    true = (coded.select("node", "dim", "unit").mapInPandas(brute, "node bigint, n bigint")
+            .groupBy("node").agg(F.sum("n").alias("true")).where(F.col("true") > 0))
+    found = F.least("true", F.coalesce("others", F.lit(0))) / F.col("true")
+    sums = (true.join(counts, "node", "left").groupBy(F.floor(F.log2("true")).alias("size"))
+            .agg(F.count(F.lit(1)).alias("vectors"), F.sum(found).alias("recall")).collect())      # one row per power of two
+    if not sums:
+        return 1.0
+    means = [s["recall"] / s["vectors"] for s in sums if s["vectors"] >= opts.class_least]
+    return min([sum(s["recall"] for s in sums) / sum(s["vectors"] for s in sums), *means])
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -283,16 +342,31 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         recall = audited_recall(coded, counts, opts)
         if recall >= opts.recall:
             break
-        opts = replace(opts, lists=2 * opts.lists, largest_list=2 * opts.largest_list, tables=2 * opts.tables)
+        if attempt + 1 < opts.tries:
+            for table in (coded, labels, counts):
+                drop_written(table)
+            opts = replace(opts, lists=2 * opts.lists, largest_list=2 * opts.largest_list, tables=2 * opts.tables)
+    else:
+        inside = labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+        labels = written(connected_components(inside.union(links_between(labels, coded, opts))), "labels")
+        counts = written(counted(labels, coded, opts), "link-counts")
+        recall = audited_recall(coded, counts, opts)
     first = F.struct(F.col("rep_id").isNull().alias("no_id"), F.col("rep_id").alias("id"), F.col("node").alias("key"))
     reps = (classes.join(coded.select("node"), "node", "left_semi").join(labels, "node", "left")
             .join(counts, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)) + F.col("copies") - 1))
     tops = reps.where("label is not null").groupBy("label").agg(F.min(first).alias("top"))
-    resolved = (reps.where("label is not null").join(tops, "label").select("vector", "n", "top")
-                .union(reps.where("label is null and copies > 1").select("vector", "n", first.alias("top"))))
+    resolved = written(
+        reps.where("label is not null").join(tops, "label").select("vector", "node", "copies", "n", "top")
+        .union(reps.where("label is null and copies > 1").select("vector", "node", "copies", "n", first.alias("top"))),
+        "resolved")
+    # a vector of its own is found by its row; only vectors with copies are looked up, their rows spread
+    own = resolved.where("copies = 1").select(F.col("node").alias("row_key"), "n", "top")
+    shared = resolved.where("copies > 1").select("vector", F.col("n").alias("shared_n"), F.col("top").alias("shared_top"))
+    found = (salted_lookup(rows, shared, ["vector"], ["row_key"], opts.salt, "left").drop("vector")
+             .join(own, "row_key", "left")
+             .withColumn("n", F.coalesce("n", "shared_n")).withColumn("top", F.coalesce("top", "shared_top")))
     alone = F.col("top").isNull()
-    return (rows.join(resolved, "vector", "left")
-            .select("vec_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_links"),
-                    F.when(alone, F.col("vec_id")).otherwise(F.col("top.id")).alias("component_id"),
-                    (alone | (F.col("row_key") == F.col("top.key"))).alias("kept"),
-                    F.lit(float(recall)).alias("audit_recall")))
+    return found.select("vec_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_links"),
+                        F.when(alone, F.col("vec_id")).otherwise(F.col("top.id")).alias("component_id"),
+                        (alone | (F.col("row_key") == F.col("top.key"))).alias("kept"),
+                        F.lit(float(recall)).alias("audit_recall"))

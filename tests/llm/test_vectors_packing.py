@@ -56,6 +56,45 @@ def test_vectors_match_brute_force_with_a_large_group(spark):
     matches_brute(spark, rows, DescentOptions(block=50))
 
 
+def test_lost_pairs_beside_a_hot_group_are_seen_and_found(spark, monkeypatch):
+    """Poor graphs lose pairs, which the links of one hot group must not outweigh; the last try ends exactly."""
+    from docshelf.llm import nn_descent
+
+    r = np.random.default_rng(11)
+    centre = r.standard_normal(24)
+    rows = [(k, (centre + 0.05 * r.standard_normal(24)).tolist()) for k in range(150)]
+    rows += [(200 + k, r.standard_normal(24).tolist()) for k in range(150)]
+    rows += [(400 + k, (np.array(rows[150 + k][1]) + 0.02 * r.standard_normal(24)).tolist()) for k in range(150)]
+    rows += [(600 + k, rows[160][1]) for k in range(20)]
+    tries, ends = [], []
+    descend, between = nn_descent.descend, nn_descent.links_between
+
+    def poor(coded, opts):
+        tries.append(opts.lists)
+        return descend(coded, opts).where("pmod(xxhash64(least(a, b), greatest(a, b)), 10) < 4")
+
+    monkeypatch.setattr(nn_descent, "descend", poor)
+    monkeypatch.setattr(nn_descent, "links_between", lambda *a: ends.append(1) or between(*a))
+    opts = DescentOptions(block=64, tries=2)
+    matches_brute(spark, rows, opts)
+    assert tries == [10, 20] and ends == [1]
+    got = near_vectors(vectors(spark, rows), opts=opts)
+    assert got.where("audit_recall = 1").count() == len(rows)
+
+
+def test_a_good_graph_passes_at_once(spark, monkeypatch):
+    from docshelf.llm import nn_descent
+
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(nn_descent, "links_between", never)
+    r = np.random.default_rng(12)
+    rows = [(k, r.standard_normal(16).tolist()) for k in range(100)]
+    rows += [(100 + k, (np.array(rows[k][1]) + 0.01 * r.standard_normal(16)).tolist()) for k in range(100)]
+    matches_brute(spark, rows, DescentOptions(tries=1))
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     matches_brute(spark, [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [1.0, inf]), (6, [1.0, 2.0]), (7, [2.0, 4.0]),
