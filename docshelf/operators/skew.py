@@ -37,6 +37,28 @@ def salted_lookup(big: DataFrame, lookup: DataFrame, keys: list[str], salt_cols:
     return b.join(l, [*keys, SALT], how).drop(SALT)
 
 
+# Keys that are joined by broadcast in split_lookup. A key that is not among them holds less than
+# this fraction of the rows, about what one of as many shuffle partitions holds anyway.
+HOT_KEYS = 10_000
+
+
+def split_lookup(big: DataFrame, lookup: DataFrame, keys: list[str], rows_col: str,
+                 hot_keys: int = HOT_KEYS) -> DataFrame:
+    """Inner join of ``big`` with ``lookup`` in which hot keys are broadcast and the others shuffled.
+
+    ``lookup`` has one row per key and in ``rows_col`` how many rows of ``big`` have it. A key is hot when
+    it holds at least one of ``hot_keys`` equal shares of all rows, so there are never more than
+    ``hot_keys`` of them: the broadcast side has a bound that does not grow with the data. Rows of hot
+    keys stay where they are; nothing is replicated. The result is the same for any ``hot_keys``. Both
+    sides are read twice, so they should be written tables. Null keys match nothing.
+    """
+    total = lookup.agg(F.sum(rows_col).cast("double")).first()[0] or 0.0
+    is_hot = F.col(rows_col) * F.lit(float(hot_keys)) >= F.lit(total)
+    hot = lookup.where(is_hot)
+    cold = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return big.join(F.broadcast(hot), keys).unionByName(cold.join(lookup.where(~is_hot), keys))
+
+
 # Largest lookup side (optimizer estimate, bytes) that is broadcast instead of
 # salted. Estimates are exact for materialized Parquet and upper bounds for
 # computed plans, so a computed side of unknown size takes the salted path.
