@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import split_lookup
 from ..session import drop_written
 from .common import text_rows, written
 
@@ -92,15 +93,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = written(spans_of(rows, opts), "spans", "zstd")
     key = ["h1", "h2", "length"]
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "at")
-    firsts = (spans.groupBy(*key).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-              .select(*key, F.col("first.doc_id").alias("first_id"), F.col("first.row_key").alias("first_row"),
-                      F.col("first.at").alias("first_at")))
-    repeated = (spans.join(firsts, key).where((F.col("row_key") != F.col("first_row")) | (F.col("at") != F.col("first_at")))
+    firsts = written(
+        spans.groupBy(*key).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select(*key, "n", F.col("first.doc_id").alias("first_id"), F.col("first.row_key").alias("first_row"),
+                F.col("first.at").alias("first_at")), "firsts", "zstd")
+    repeated = (split_lookup(spans.drop("doc_id"), firsts, key, "n")      # a very common line is not one task
+                .where((F.col("row_key") != F.col("first_row")) | (F.col("at") != F.col("first_at")))
                 .groupBy("row_key")       # at most the spans of one text
                 .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("length") - 1)))).alias("gone"),
                      F.array_sort(F.collect_set("first_id")).alias("first_ids")))
     again = written(repeated, "repeats", "zstd")
     drop_written(spans)
+    drop_written(firsts)
     stay = F.array_except(F.sequence(F.lit(0), F.size("sentences") - 1), "gone")       # by hash, in order
     kept = F.transform(stay, lambda i: F.get("sentences", i))
     none = F.col("gone").isNull()
