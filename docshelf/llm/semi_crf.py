@@ -23,13 +23,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import whole_text, written
@@ -51,8 +52,9 @@ TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[ \t]+|.", re.S)
 
 @dataclass(frozen=True)
 class CrfOptions:
-    sample_docs: int = 20_000      # documents whose islands may be learned from
-    sample_islands: int = 1_500    # islands learned from
+    sample_docs: int = 20_000      # documents whose islands without a base span may be learned from
+    sample_islands: int = 1_500    # of them, islands learned from
+    sample_kind: int = 250         # islands with a base span learned from, for each kind, of all documents
     island_tokens: int = 60        # longer islands are decoded, not learned from
     max_tokens: int = 16           # bound of a segment
     epochs: int = 4
@@ -273,19 +275,45 @@ def find_spans(text: str, field: Field | None) -> list[tuple[int, int, str]]:
     return sorted(base + more, key=lambda x: (KINDS.index(x[2]), x[0], x[1]))
 
 
-def fit(docs: DataFrame, text_col: str = "text", opts: CrfOptions = CrfOptions()) -> dict[str, list[float]]:
-    """Weights learned from the islands of a bounded sample of documents, in one Spark group."""
+def sample_of(docs: DataFrame, text_col: str = "text", opts: CrfOptions = CrfOptions()) -> DataFrame:
+    """``kind, island``: a bounded number of different islands for each base kind and for ``none``.
+
+    Islands with a base span come from all documents, so kinds that are rare among numbers are learned too;
+    those without come from a bounded sample. Of each kind the islands with the smallest crc32 are taken,
+    whatever the partitions; a task passes on no more of a kind than are taken in all.
+    """
     texts = docs.select(whole_text(text_col).alias("text"))
     share = min(1.0, opts.sample_docs / max(1, texts.count()))
+    place = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
+    most = dict.fromkeys(TYPES, opts.sample_kind) | {"none": opts.sample_islands}
+
+    def smallest(found: set[str], n: int) -> set[str]:
+        return set(sorted(found, key=lambda x: (zlib.crc32(x.encode()), x))[:n])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken = {kind: set() for kind in most}
         for b in batches:
-            out = [t[max(0, s - 1):e + 1] for t in b["text"] for s, e in islands(t)]
-            yield pd.DataFrame({"island": [x for x in out if len(x) <= 20 * opts.island_tokens]})
+            for text, asked in zip(b["text"], b["asked"]):
+                for s, e in islands(text):
+                    if e - s > 20 * opts.island_tokens:
+                        continue
+                    island = text[max(0, s - 1):e + 1]
+                    for kind in {k for _, _, k in base_spans(island)} or ({"none"} if asked else ()):
+                        taken[kind].add(island)
+                        if len(taken[kind]) > 4 * most[kind] + 100:
+                            taken[kind] = smallest(taken[kind], most[kind])
+        rows = [(kind, x) for kind, found in taken.items() for x in smallest(found, most[kind])]
+        yield pd.DataFrame(rows, columns=["kind", "island"])
+
+    first = Window.partitionBy("kind").orderBy(F.crc32("island"), "island")
+    limit = F.when(F.col("kind") == "none", opts.sample_islands).otherwise(opts.sample_kind)
+    return (texts.select("text", (place < share).alias("asked")).mapInPandas(read, "kind string, island string").distinct()
+            .withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit).drop("n"))
 
-    place = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
-    found = texts.where(place < share).mapInPandas(read, "island string").distinct()
-    sample = written(found.orderBy(F.xxhash64("island"), "island").limit(opts.sample_islands), "crf-sample")
+
+def fit(docs: DataFrame, text_col: str = "text", opts: CrfOptions = CrfOptions()) -> dict[str, list[float]]:
+    """Weights learned from a bounded sample of islands by kind, in one Spark group."""
+    sample = written(sample_of(docs, text_col, opts).select("island").distinct(), "crf-sample")
 
     def learn(g: pd.DataFrame) -> pd.DataFrame:
         weights = train([x for x in sorted(g["island"]) if len(TOKEN.findall(x)) <= opts.island_tokens], opts)

@@ -201,6 +201,33 @@ def pieces():
         return Pieces(f.read(), 1.0)
 
 
+def test_sample_holds_rare_kinds_and_is_bounded(spark):
+    """A few cards and phones among many prices; the same islands for any partitions."""
+    from docshelf.llm.semi_crf import CrfOptions, sample_of
+
+    texts = [(f"paid {k} on 2020-01-{k % 28 + 1:02d} and {k * 7} more",) for k in range(3000)]
+    texts += [("card 4111 1111 1111 1111 ok",), ("call +44 20 7946 0958 now",), ("host 10.0.0.7 up",), (None,), ("",)]
+    opts = CrfOptions(sample_docs=500, sample_islands=40, sample_kind=5)
+    docs = spark.createDataFrame(texts, "text string")
+    got = [sorted(map(tuple, sample_of(docs.repartition(n), opts=opts).collect())) for n in (1, 4)]
+    assert got[0] == got[1]
+    kinds = [kind for kind, _ in got[0]]
+    assert [kinds.count(k) for k in ("card", "phone", "ip", "email", "none")] == [1, 1, 1, 0, 40]
+    assert sample_of(docs.limit(0), opts=opts).count() == 0
+
+
+def test_sample_of_a_common_kind_is_cut_by_hash(spark):
+    import zlib
+
+    from docshelf.llm.semi_crf import CrfOptions, sample_of
+
+    docs = spark.createDataFrame([(f"write mail{k}@example.org today",) for k in range(800)], "text string").repartition(3)
+    got = {r["island"] for r in sample_of(docs, opts=CrfOptions(sample_kind=20)).collect()}
+    whole = {r["island"] for r in sample_of(docs, opts=CrfOptions(sample_kind=10_000)).collect()}
+    assert len(whole) == 800
+    assert got == set(sorted(whole, key=lambda x: (zlib.crc32(x.encode()), x))[:20])
+
+
 def test_sampled_segmentations_follow_the_lattice(pieces):
     def lattice(s):
         if not s:
