@@ -21,9 +21,8 @@ terms of document ``d``) the joint log likelihood is
 so only (term, class) pairs that occurred in training are joined; since
 ``x = x_raw / norm`` the per-document sums are taken on raw weights and
 divided once. The model is two tables: ``classes(label, log_prior, base)``
-(bounded by the taxonomy, broadcast) and ``terms(term, idf, deltas)`` (one
-row per vocabulary term, joined by a salted shuffle because a frequent term
-is in almost every document).
+(bounded by the taxonomy, broadcast) and ``terms(term, idf, deltas, df)`` (one
+row per vocabulary term, joined by shuffle unless they are few).
 """
 
 from __future__ import annotations
@@ -35,8 +34,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..options import CORRECTION_TEXT_CHARS, CORRECTION_WEIGHT, ERROR_CATEGORY, NBOptions
-from ..session import materialize
-from .skew import lookup_join
+from ..session import estimated_bytes, materialize
+from . import skew
 from .tokens import doc_terms
 
 DENSE_CLASSES = 64      # up to so many classes a term's deltas are one vector; the results are the same beyond
@@ -45,8 +44,9 @@ DENSE_CLASSES = 64      # up to so many classes a term's deltas are one vector;
 @dataclass
 class NBModel:
     classes: DataFrame   # label, n_c, log_prior, base
-    terms: DataFrame     # term, idf, deltas array<struct<label, delta>>
+    terms: DataFrame     # term, idf, deltas array<struct<label, n_ct, delta>>, df, masses
     options: NBOptions
+    mass_labels: list[str] | None = None     # labels of the vector ``masses`` in terms, if it is one
 
 
 def training_samples(df: DataFrame, id_col: str, text_col: str, label_col: str,
@@ -82,53 +82,75 @@ def stored_corrections(corrections: DataFrame) -> DataFrame:
         F.substring("text", 1, CORRECTION_TEXT_CHARS).alias("text"), "label")
 
 
+def _delta(n_ct, a: float):
+    return F.log(n_ct + a) - F.log(F.lit(a))
+
+
 def fit(samples: DataFrame, options: NBOptions = NBOptions()) -> NBModel:
     """Fit the model tables from ``samples(sample_id, text, label, weight)``.
 
     Eager: the model tables are written to the shared checkpoint folder, which
-    cuts their lineage and gives the scoring join their exact size.
+    cuts their lineage and gives the scoring join their exact size. Two passes over
+    the texts: document frequencies give each sample's norm, which then travels
+    with its text, so a term's class masses are one partially aggregated ``groupBy(term)``.
     """
     a = float(options.alpha)
-    # tokenised twice rather than kept: the exploded corpus is many times its texts
-    dt = doc_terms(samples, "sample_id", "text", options.ngram_range, options.stop_words, keep=["label", "weight"])
-    totals = samples.agg(F.sum("weight").cast("double").alias("n"))
-    vocab = materialize(
-        dt.groupBy("term").agg(F.sum("weight").alias("df"))
-        .crossJoin(F.broadcast(totals))
-        .select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")),
-        "nb-vocab",
-    )
-    weighted = lookup_join(dt, vocab, ["term"], ["sample_id"], options.term_salt)
-    xr = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    per_doc = Window.partitionBy("sample_id")
-    normed = (
-        weighted.select("sample_id", "label", "weight", "term", "idf", xr.alias("xr"))
-        .withColumn("norm", F.sqrt(F.sum(F.col("xr") * F.col("xr")).over(per_doc)))
-    )
-    # per (term, class) mass, then one row per term with its class entries
-    terms = materialize(
-        normed.groupBy("term", "label")
-        .agg(F.sum(F.col("weight") * F.col("xr") / F.col("norm")).alias("n_ct"), F.first("idf").alias("idf"))
-        .groupBy("term")
-        .agg(F.first("idf").alias("idf"),
-             F.collect_list(F.struct(
-                 "label", "n_ct", (F.log(F.col("n_ct") + a) - F.log(F.lit(a))).alias("delta"))).alias("deltas")),
-        "nb-terms",
+    # one row: the total weight, as a literal so that the written tables keep their exact size estimate
+    n = F.lit(samples.agg(F.sum("weight").cast("double").alias("n")).first()["n"]).cast("double")
+    idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
+    tf = 1.0 + F.log(F.col("tf").cast("double"))
+    # tokenised twice rather than kept: the exploded corpus is many times its texts. A term is once in a
+    # document, so the window of a term holds at most one row per document.
+    dt = doc_terms(samples, "sample_id", "text", options.ngram_range, options.stop_words, keep=["weight"])
+    norms = materialize(
+        dt.withColumn("df", F.sum("weight").over(Window.partitionBy("term")))
+        .select("sample_id", (tf * idf).alias("xr"))
+        .groupBy("sample_id").agg(F.sqrt(F.sum(F.col("xr") * F.col("xr"))).alias("norm")),
+        "nb-norms",
     )
+    normed = samples.join(norms.withColumnRenamed("sample_id", "_id"), F.col("sample_id").eqNullSafe(F.col("_id")))
+    parts = doc_terms(normed, "sample_id", "text", options.ngram_range, options.stop_words, keep=["label", "weight", "norm"])
+    mass = F.col("weight") * tf / F.col("norm")
+    # per (term, class) mass without the idf, which is the term's own factor; one row per term
+    labels = sorted((r["label"] for r in samples.select("label").distinct().limit(DENSE_CLASSES + 1).collect()),
+                    key=lambda x: (x is not None, x))
+    dense = len(labels) <= DENSE_CLASSES
+    if dense:
+        masses = [F.coalesce(F.sum(F.when(F.col("label").eqNullSafe(F.lit(x)), mass)), F.lit(0.0)) for x in labels]
+        per_term = parts.groupBy("term").agg(F.sum("weight").alias("df"), F.array(*masses).cast("array<double>").alias("masses"))
+    else:
+        per_term = (
+            parts.groupBy("term", "label").agg(F.sum("weight").alias("df"), F.sum(mass).alias("mass"))
+            .groupBy("term").agg(F.sum("df").alias("df"), F.collect_list(F.struct("label", "mass")).alias("masses")))
+    # written as df and masses, which take less room than the values derived from them
+    terms = materialize(per_term, "nb-terms").withColumn("idf", idf)
+    if dense:
+        n_ct = [F.col("masses")[k] * F.col("idf") for k in range(len(labels))]
+        entries = F.array(*[F.struct(F.lit(x).cast("string").alias("label"), m.alias("n_ct"), _delta(m, a).alias("delta"))
+                            for x, m in zip(labels, n_ct)]).cast("array<struct<label:string,n_ct:double,delta:double>>")
+        # a mass that is 0 stands for a class in which the term was not seen
+        deltas = F.filter(entries, lambda e: e["n_ct"] > 0)
+        class_mass = terms.agg(*[F.sum(m).alias(f"m{k}") for k, m in enumerate(n_ct)], F.count(F.lit(1)).alias("v")).select(
+            F.inline(F.array(*[F.struct(F.lit(x).cast("string").alias("label"), F.col(f"m{k}").alias("n_c_mass"))
+                               for k, x in enumerate(labels)]).cast("array<struct<label:string,n_c_mass:double>>")))
+    else:
+        deltas = F.transform("masses", lambda m: F.struct(
+            m["label"].alias("label"), (m["mass"] * F.col("idf")).alias("n_ct"), _delta(m["mass"] * F.col("idf"), a).alias("delta")))
+        class_mass = terms.select(F.inline(deltas)).groupBy("label").agg(F.sum("n_ct").alias("n_c_mass"))
+    terms = terms.select("term", "idf", deltas.alias("deltas"), "df", "masses")
     n_vocab = terms.agg(F.count(F.lit(1)).cast("double").alias("v"))
-    class_mass = terms.select(F.inline("deltas")).groupBy("label").agg(F.sum("n_ct").alias("n_c_mass"))
     class_count = samples.groupBy("label").agg(F.sum("weight").cast("double").alias("n_c"))
     classes = materialize(
         class_count.join(class_mass, ["label"], "left")
-        .crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(n_vocab))
+        .crossJoin(F.broadcast(n_vocab))
         .select(
             "label", "n_c",
-            F.log(F.col("n_c") / F.col("n")).alias("log_prior"),
+            F.log(F.col("n_c") / n).alias("log_prior"),
             (F.log(F.lit(a)) - F.log(F.coalesce(F.col("n_c_mass"), F.lit(0.0)) + F.lit(a) * F.col("v"))).alias("base"),
         ),
         "nb-classes",
     )
-    return NBModel(classes=classes, terms=terms, options=options)
+    return NBModel(classes=classes, terms=terms, options=options, mass_labels=labels if dense else None)
 
 
 def _class_row(model: NBModel) -> DataFrame:
@@ -139,16 +161,35 @@ def _class_row(model: NBModel) -> DataFrame:
     )
 
 
+def _term_hits(dt: DataFrame, terms: DataFrame) -> DataFrame:
+    """``dt`` joined to ``terms``: by broadcast if they are few, else by shuffle.
+
+    No salt, which would replicate the vocabulary: a term is once in a document, so the rows of one
+    term are no more than the documents. Ordered by hash first: terms share long prefixes.
+    """
+    few = estimated_bytes(terms) <= skew.BROADCAST_LIMIT
+    t = terms.select(F.col("term").alias("_t"), *[c for c in terms.columns if c != "term"])
+    same = F.col("term") == F.col("_t")
+    if few:
+        return dt.join(F.broadcast(t), same).drop("_t")
+    return dt.join(t.hint("merge"), (F.xxhash64("term") == F.xxhash64("_t")) & same).drop("_t")
+
+
 def _dense_sums(model: NBModel, dt: DataFrame, markers: DataFrame, labels: list[str], id_col: str) -> DataFrame:
     """Per document: ``x_sum, norm, blank, hit`` (label -> sum of deltas), as one sum per class.
 
     A term's deltas become a vector in label order before the join, so a hit stays one row and
     documents are summed in one shuffle with map-side combine.
     """
-    by_label = F.map_from_entries(F.transform("deltas", lambda d: F.struct(d["label"], d["delta"])))
-    terms = model.terms.select("term", "idf", by_label.alias("_m")).select(
-        "term", "idf", F.array(*[F.coalesce(F.element_at("_m", x), F.lit(0.0)) for x in labels]).alias("_d"))
-    hits = lookup_join(dt, terms, ["term"], [id_col], model.options.term_salt)
+    if model.mass_labels == labels:
+        alpha = float(model.options.alpha)
+        vector = [_delta(F.col("masses")[k] * F.col("idf"), alpha) for k in range(len(labels))]
+        terms = model.terms.select("term", "idf", F.array(*vector).cast("array<double>").alias("_d"))
+    else:
+        by_label = F.map_from_entries(F.transform("deltas", lambda d: F.struct(d["label"], d["delta"])))
+        terms = model.terms.select("term", "idf", by_label.alias("_m")).select(
+            "term", "idf", F.array(*[F.coalesce(F.element_at("_m", x), F.lit(0.0)) for x in labels]).alias("_d"))
+    hits = _term_hits(dt, terms)
     xr = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
     rows = hits.select(id_col, xr.alias("xr"), F.lit(None).cast("boolean").alias("blank"), "_d").unionByName(
         markers.select(id_col, F.lit(0.0).alias("xr"), "blank", F.lit(None).cast("array<double>").alias("_d")))
@@ -161,7 +202,7 @@ def _dense_sums(model: NBModel, dt: DataFrame, markers: DataFrame, labels: list[
 
 def _sparse_sums(model: NBModel, dt: DataFrame, markers: DataFrame, labels: list[str], id_col: str) -> DataFrame:
     """The same sums for many classes: a hit becomes one row per class it was seen with."""
-    hits = lookup_join(dt, model.terms, ["term"], [id_col], model.options.term_salt)
+    hits = _term_hits(dt, model.terms)
     xr = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
     entries = F.transform("deltas", lambda d: F.struct(d["label"].alias("label"), d["delta"].alias("delta")))
     stat_entry = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("delta")))

@@ -62,7 +62,8 @@ def split_lookup(big: DataFrame, lookup: DataFrame, keys: list[str], rows_col: s
 # Largest lookup side (optimizer estimate, bytes) that is broadcast instead of
 # salted. Estimates are exact for materialized Parquet and upper bounds for
 # computed plans, so a computed side of unknown size takes the salted path.
-BROADCAST_LIMIT = 48 * 1024 * 1024
+# The driver holds about ten times the Parquet size while it builds the hash table.
+BROADCAST_LIMIT = 8 * 1024 * 1024
 
 
 def lookup_join(big: DataFrame, lookup: DataFrame, keys: list[str], salt_cols: list[str],

@@ -1,9 +1,8 @@
 """TF-IDF weights (D4): sublinear tf, smoothed idf, L2-normalised per document.
 
 Spark ML's ``IDF`` has neither the ``+1`` smoothing term nor sublinear tf, so
-the weights are computed relationally: the vocabulary (document frequencies) is a partially aggregated
-``groupBy(term)`` written to the checkpoint folder, and the per-document norm
-is a window over the document's own terms.
+the weights are computed relationally: the document frequency is a window over
+a term's rows, and the per-document norm a window over the document's own terms.
 """
 
 from __future__ import annotations
@@ -11,23 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .skew import lookup_join
 from .tokens import doc_terms
 
 
 def tfidf(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram_range=(1, 2),
-          stop_words: tuple[str, ...] | None = None, term_salt: int = 8) -> DataFrame:
+          stop_words: tuple[str, ...] | None = None) -> DataFrame:
     """``(id, term, tf, idf, weight)`` for every distinct term of every document."""
     dt = doc_terms(df, id_col, text_col, ngram_range, stop_words)
     n_docs = df.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    vocab = materialize(
-        dt.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        .crossJoin(F.broadcast(n_docs))
-        .select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")),
-        "tfidf-vocab",
-    )
+    # a term is once in a document, so the window of a term holds at most one row per document
+    counted = dt.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
+    idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
     xr = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    weighted = lookup_join(dt, vocab, ["term"], [id_col], term_salt).withColumn("xr", xr)
+    weighted = counted.crossJoin(F.broadcast(n_docs)).withColumn("idf", idf).withColumn("xr", xr)
     norm = F.sqrt(F.sum(F.col("xr") * F.col("xr")).over(Window.partitionBy(id_col)))
     return weighted.select(id_col, "term", "tf", "idf", (F.col("xr") / norm).alias("weight"))

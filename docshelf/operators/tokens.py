@@ -2,15 +2,21 @@
 
 Tokens: lower-cased runs of two or more letters, digits or underscores; stop
 words removed; then n-grams over what is left. Term counts are computed
-inside each document's row (sort the gram array, measure runs of equal
-values) so the corpus is turned into ``(doc, term, tf)`` rows without a
-shuffle; the first shuffle is the join on ``term`` that follows.
+inside each document's row (Arrow columns of a few hundred documents at a
+time) so the corpus is turned into ``(doc, term, tf)`` rows without a
+shuffle; the first shuffle is the one by ``term`` that follows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.stopwords import token_stop_words
 from ..functions.text import TOKEN_RE
@@ -52,42 +58,47 @@ def ngrams(toks: Column, ngram_range: tuple[int, int]) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def run_starts(sorted_grams: Column) -> Column:
-    """Positions where a new distinct gram starts in a sorted gram array.
+# Documents whose grams are counted at once: what a task holds does not grow with its partition.
+COUNT_ROWS = 256
 
-    ``sorted_grams`` must be a column reference holding a sorted array.
-    """
-    s = sorted_grams
-    n = F.size(s)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: (n > 0) & ((i == 0) | (s[i] != s[i - 1])),
-    )
-    return starts
 
+def _term_counter(cols: list[str], ngram_range: tuple[int, int]):
+    """Function for ``mapInArrow`` from ``(*cols, tokens)`` to ``(*cols, term, tf)``."""
+    def grams(toks: pa.Array) -> pa.Table:
+        flat, row = toks.flatten(), pc.list_parent_indices(toks).to_numpy()
+        rows, terms = [row[:0]], [flat.slice(0, 0)]
+        for n in range(ngram_range[0], ngram_range[1] + 1):
+            m = max(len(flat) - n + 1, 0)
+            inside = row[:m] == row[len(row) - m:]          # the n tokens from here on are of one row
+            gram = flat if n == 1 else pc.binary_join_element_wise(*[flat.slice(k, m) for k in range(n)], pa.scalar(" ", flat.type))
+            rows.append(row[:m][inside])
+            terms.append(gram.filter(pa.array(inside)))
+        return pa.table({"row": np.concatenate(rows), "term": pa.concat_arrays(terms)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, COUNT_ROWS):
+                b = whole.slice(at, COUNT_ROWS)
+                counts = grams(b.column(len(cols))).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+                row = counts["row"].to_numpy()
+                order = np.argsort(row, kind="stable")      # a document's terms stay together
+                row, order = pa.array(row[order]), pa.array(order)
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(k).take(row) for k in range(len(cols))],
+                     *[counts[c].combine_chunks().take(order) for c in ("term", "count_all")]], names=[*cols, "term", "tf"])
 
-def _run_lengths(df: DataFrame, starts_col: str, sorted_col: str) -> Column:
-    st = F.col(starts_col)
-    s = F.col(sorted_col)
-    ends = F.concat(F.slice(st, 2, F.greatest(F.size(st) - 1, F.lit(0))), F.array(F.size(s)))
-    pairs = F.zip_with(st, ends, lambda a, b: F.struct(s[a].alias("term"), (b - a).cast("bigint").alias("tf")))
-    # a document without grams has no starts; zip_with would pad one null pair
-    return F.when(F.size(st) > 0, pairs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+    return count
 
 
 def doc_terms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               ngram_range: tuple[int, int] = (1, 2), stop_words: tuple[str, ...] | None = None,
               keep: list[str] | None = None) -> DataFrame:
-    """``(id_col, *keep, term, tf)``: one row per distinct term of each document.
-
-    Each step is its own projection so lambdas only read column references.
-    """
-    keep = list(keep or [])
-    cols = [id_col, *keep]
+    """``(id_col, *keep, term, tf)``: one row per distinct term of each document."""
+    cols = [id_col, *(keep or [])]
     step = df.select(*cols, tokens(text_col, stop_words).alias("_tok"))
-    step = step.select(*cols, F.array_sort(ngrams(F.col("_tok"), ngram_range)).alias("_grams"))
-    step = step.select(*cols, "_grams", run_starts(F.col("_grams")).alias("_starts"))
-    return step.select(*cols, F.inline(_run_lengths(step, "_starts", "_grams")))
+    kept = [StructField(f.name, f.dataType, True) for f in step.schema.fields[:-1]]
+    return step.mapInArrow(_term_counter(cols, ngram_range),
+                           StructType([*kept, StructField("term", StringType()), StructField("tf", LongType())]))
 
 
 def doc_terms_shuffled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

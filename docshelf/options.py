@@ -67,9 +67,7 @@ class NBOptions:
     ngram_range: tuple[int, int] = NGRAM_RANGE
     fallback: str = FALLBACK_CATEGORY
     stop_words: tuple[str, ...] | None = None   # None = Spark's English list
-    # Salt buckets for the document-term x model-term join: a frequent term
-    # appears in almost every document, so its key is spread over this many
-    # tasks. The model side is replicated this many times.
+    # No longer read: the vocabulary is not replicated for the scoring join.
     term_salt: int = 8
 
 

@@ -137,3 +137,53 @@ def test_salted_fit_matches_direct_formulas(spark):
     want = brute(TRAIN, TESTS)
     for d in want:
         assert got[d][0] == want[d][0] and abs(got[d][1] - want[d][1]) <= 0.1 and got[d][2] == want[d][2]
+
+
+def test_vocabulary_is_not_replicated(spark):
+    """Beyond the broadcast limit the scoring join reads each term once: no salt, no explode of the vocabulary."""
+    from docshelf.operators import skew
+
+    samples = spark.createDataFrame([(i, t, l, 1) for i, t, l in TRAIN], "sample_id bigint, text string, label string, weight int")
+    docs = spark.createDataFrame(TESTS, "doc_id bigint, text string")
+    model = nb.fit(samples)
+    old = skew.BROADCAST_LIMIT
+    try:
+        skew.BROADCAST_LIMIT = -1
+        plan = nb.classify(model, docs)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        skew.BROADCAST_LIMIT = old
+    assert "_salt" not in plan and "explode" not in plan
+
+
+def test_many_classes_equal_few(spark, monkeypatch):
+    samples = spark.createDataFrame([(i, t, l, 1) for i, t, l in TRAIN] + [(7000, None, "AI", 1)],
+                                    "sample_id bigint, text string, label string, weight int")
+    docs = spark.createDataFrame(TESTS, "doc_id bigint, text string")
+    few = nb.fit(samples)
+    a = sorted(nb.classify(few, docs).collect())
+    monkeypatch.setattr(nb, "DENSE_CLASSES", 1)
+    many = nb.fit(samples)
+    assert few.mass_labels is not None and many.mass_labels is None
+    assert a == sorted(nb.classify(many, docs).collect())
+
+
+def test_repeated_and_null_sample_ids_share_a_norm(spark):
+    """A correction has the id of its document: both count into one norm, as without ids."""
+    import math
+
+    rows = [(1, "red fox", "a", 1), (1, "red hen", "b", 3), (None, "blue hen", "a", 1)]
+    samples = spark.createDataFrame(rows, "sample_id bigint, text string, label string, weight int")
+    got = {(r["term"], e["label"]): e["n_ct"] for r in nb.fit(samples).terms.collect() for e in r["deltas"]}
+    grams = lambda t: t.split() + [t]      # noqa: E731
+    df = {}
+    for _, t, _, w in rows:
+        for g in grams(t):
+            df[g] = df.get(g, 0) + w
+    idf = {g: math.log((1 + 5) / (1 + n)) + 1 for g, n in df.items()}
+    norm = {k: math.sqrt(sum(idf[g] ** 2 for i, t, _, _ in rows if i == k for g in grams(t))) for k in (1, None)}
+    want = {}
+    for i, t, l, w in rows:
+        for g in grams(t):
+            want[g, l] = want.get((g, l), 0) + w * idf[g] / norm[i]
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
