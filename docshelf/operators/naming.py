@@ -32,7 +32,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordinal import with_group_row_number, with_group_running_count
@@ -48,10 +48,14 @@ def proposed_name(original: str, text: str, raw: str, enabled: bool = True):
     Kept when renaming is disabled, the stripped text is shorter than 20
     characters, there is no proposal, or the sanitised proposal is empty.
     """
+    return proposed_name_if(F.lit(enabled) & stripped_length_at_least(text, RENAME_MIN_CHARS), original, raw)
+
+
+def proposed_name_if(long_enough: Column, original: str, raw: str) -> Column:
+    """:func:`proposed_name` where the length of the text was looked at before."""
     o = F.col(original)
     clean = sanitise_name(F.col(raw))
-    ok = (F.lit(enabled) & stripped_length_at_least(text, RENAME_MIN_CHARS) & F.col(raw).isNotNull()
-          & (F.length(clean) > 0))
+    ok = long_enough & F.col(raw).isNotNull() & (F.length(clean) > 0)
     return F.when(ok, F.concat(clean, suffix(o))).otherwise(o)
 
 

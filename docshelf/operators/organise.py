@@ -12,12 +12,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, char_preview_web
-from ..options import HISTORY_SCHEMA_VERSION
+from ..functions.text import base_name, char_preview_web, stripped_length_at_least
+from ..options import HISTORY_SCHEMA_VERSION, RENAME_MIN_CHARS
 from ..session import materialize
 from . import dedup
 from . import naive_bayes as nb
-from .naming import destination_plan, proposed_name
+from .naming import destination_plan, proposed_name_if
 
 
 def new_run_id() -> str:
@@ -41,14 +41,15 @@ def organise(files: DataFrame, model: nb.NBModel, root: str, proposals: DataFram
     firsts = materialize(dedup.keep_originals(hashed.select("doc_id", "path", "content_hash")).select("doc_id"), "originals")
     originals = hashed.join(firsts, ["doc_id"], "left_semi")
     classified = nb.classify(model, originals.select("doc_id", "text"))
-    res = originals.join(classified, ["doc_id"])
+    # of the text only its length matters past here: it stays out of the joins
+    res = originals.withColumn("_long", stripped_length_at_least("text", RENAME_MIN_CHARS)).drop("text").join(classified, ["doc_id"])
     if proposals is not None and rename and not dry_run:
         res = res.join(proposals, ["doc_id"], "left").withColumn(
-            "new_name", proposed_name("filename", "text", "raw_name")).drop("raw_name")
+            "new_name", proposed_name_if(F.col("_long"), "filename", "raw_name")).drop("raw_name")
     else:
         res = res.withColumn("new_name", F.col("filename"))
-    # the text is not needed past the rename: keep it out of the planner's sort and cache
-    res = res.drop("text")
+    # read several times by the planner and by reports: without this each read classifies again
+    res = materialize(res.drop("_long"), "classified")
     planned = destination_plan(res, root, "category", "new_name", ["doc_id"], existing, dry_run)
     return {"results": planned, "duplicates": duplicates}
 
