@@ -23,12 +23,20 @@ so only (term, class) pairs that occurred in training are joined; since
 divided once. The model is two tables: ``classes(label, log_prior, base)``
 (bounded by the taxonomy, broadcast) and ``terms(term, idf, deltas, df)`` (one
 row per vocabulary term, joined by shuffle unless they are few).
+
+Up to ``DENSE_CLASSES`` classes, the occurrences of terms are shuffled as blocks
+(:mod:`.term_blocks`): in fitting twice, for the norms and for the masses, and in
+scoring once, to the part of the vocabulary that has their terms.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +44,18 @@ from ..functions.text import is_blank
 from ..options import CORRECTION_TEXT_CHARS, CORRECTION_WEIGHT, ERROR_CATEGORY, NBOptions
 from ..session import estimated_bytes, materialize
 from . import skew
+from . import term_blocks as tb
 from .tokens import doc_terms
 
 DENSE_CLASSES = 64      # up to so many classes a term's deltas are one vector; the results are the same beyond
 
+# Parts that the vocabulary is dealt to: at least so many, and one per so many bytes of training text, so that a
+# part (which one task holds) does not grow with the data. A document has one row of sums per part at most.
+LEAST_PARTS = 32
+PART_TEXT_BYTES = 64 << 20
+PACKED_TERMS = 1 << 17      # terms in a row of the packed vocabulary
+LOOKUP_TERMS = 1 << 20      # terms of blocks looked up at once, or as many as the part of the vocabulary has
+
 
 @dataclass
 class NBModel:
@@ -47,6 +63,8 @@ class NBModel:
     terms: DataFrame     # term, idf, deltas array<struct<label, n_ct, delta>>, df, masses
     options: NBOptions
     mass_labels: list[str] | None = None     # labels of the vector ``masses`` in terms, if it is one
+    packed: DataFrame | None = None          # the written rows that terms are read from, if there are mass_labels
+    parts: int = 0                           # what their terms are dealt to
 
 
 def training_samples(df: DataFrame, id_col: str, text_col: str, label_col: str,
@@ -86,59 +104,139 @@ def _delta(n_ct, a: float):
     return F.log(n_ct + a) - F.log(F.lit(a))
 
 
+def _part_df(blocks: list[tb.Block], codes: list[np.ndarray], n_terms: int) -> np.ndarray:
+    """Total weight of the samples that have each term of a part."""
+    df = np.zeros(n_terms)
+    for b, c in zip(blocks, codes):
+        term, doc, _ = b.occurrences()
+        df[c] += np.bincount(term, b.numbers("weight")[doc], len(c))       # a term is once in a block
+    return df
+
+
+def _norms(samples: DataFrame, n: float, parts: int, options: NBOptions) -> DataFrame:
+    """``sample_id, norm``; samples of one id share a norm."""
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blocks in tb.whole_parts(batches):
+            terms, codes = tb.dictionary(blocks)
+            idf = np.log((1.0 + n) / (1.0 + _part_df(blocks, codes, len(terms)))) + 1.0
+            for b, c in zip(blocks, codes):
+                term, doc, tf = b.occurrences()
+                ids = b.kept("sample_id")
+                q = np.bincount(doc, (tf * idf[c][term]) ** 2, len(ids))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(q)], names=["sample_id", "q"])
+
+    packed = tb.term_blocks(samples, ["sample_id", "weight"], "text", parts, options.ngram_range, options.stop_words)
+    return (tb.by_part(packed).mapInArrow(squares, "sample_id bigint, q double")
+            .groupBy("sample_id").agg(F.sqrt(F.sum("q")).alias("norm")))
+
+
+def _packed_terms(normed: DataFrame, labels: list, n: float, parts: int, options: NBOptions) -> DataFrame:
+    """The vocabulary: ``part, n_terms, lengths, chars, dfs, masses``, and ``mass``, what each class has of it.
+
+    ``masses`` are per (class, term), without the idf, which is the term's own factor.
+    """
+    code = F.coalesce(*[F.when(F.col("label").eqNullSafe(F.lit(x)), F.lit(k)) for k, x in enumerate(labels)], F.lit(-1))
+    names = ["part", "n_terms", "lengths", "chars", "dfs", "masses", "mass"]
+
+    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, blocks in tb.whole_parts(batches):
+            terms, codes = tb.dictionary(blocks)
+            df, total = np.zeros(len(terms)), np.zeros((len(labels), len(terms)))
+            for b, c in zip(blocks, codes):
+                term, doc, tf = b.occurrences()
+                weight, label = b.numbers("weight"), b.numbers("_class")[doc]
+                df[c] += np.bincount(term, weight[doc], len(c))
+                m = (weight / b.numbers("norm"))[doc] * tf
+                for k in range(len(labels)):
+                    total[k][c] += np.bincount(term, np.where(label == k, m, 0.0), len(c))
+            idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
+            for a in range(0, len(terms), PACKED_TERMS):
+                own, some = terms.slice(a, PACKED_TERMS), slice(a, a + PACKED_TERMS)
+                row = (part, len(own), *tb.pack_terms(own), tb.pack(df[some].astype(np.int64)), tb.pack(total[:, some]),
+                       (total[:, some] @ idf[some]).tolist())
+                types = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
+
+    packed = tb.term_blocks(normed.withColumn("_class", code), ["_class", "weight", "norm"], "text", parts,
+                            options.ngram_range, options.stop_words)
+    return tb.by_part(packed).mapInArrow(
+        masses, "part int, n_terms int, lengths binary, chars binary, dfs binary, masses binary, mass array<double>")
+
+
+def _unpacked_terms(packed: DataFrame, n_classes: int) -> DataFrame:
+    """``term, df, masses``, one row per term of a packed vocabulary."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in (tb.Block(batch, i) for i in range(batch.num_rows)):
+                terms = b.terms()
+                df = tb.unpack(b.value("dfs"), np.int64, len(terms))
+                m = tb.unpack(b.value("masses"), np.float64, n_classes * len(terms)).reshape(n_classes, len(terms)).T
+                for a in range(0, len(terms), 8192):
+                    some = m[a:a + 8192]
+                    ends = pa.array(np.arange(len(some) + 1) * n_classes, pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [terms.slice(a, 8192), pa.array(df[a:a + 8192]), pa.ListArray.from_arrays(ends, pa.array(some.ravel()))],
+                        names=["term", "df", "masses"])
+
+    cols = ["n_terms", F.lit(0).alias("n_occ"), "lengths", "chars", "dfs", "masses"]
+    return packed.select(*cols).mapInArrow(rows, "term string, df bigint, masses array<double>")
+
+
 def fit(samples: DataFrame, options: NBOptions = NBOptions()) -> NBModel:
     """Fit the model tables from ``samples(sample_id, text, label, weight)``.
 
     Eager: the model tables are written to the shared checkpoint folder, which
     cuts their lineage and gives the scoring join their exact size. Two passes over
     the texts: document frequencies give each sample's norm, which then travels
-    with its text, so a term's class masses are one partially aggregated ``groupBy(term)``.
+    with its text to the masses of its terms.
     """
     a = float(options.alpha)
     # one row: the total weight, as a literal so that the written tables keep their exact size estimate
-    n = F.lit(samples.agg(F.sum("weight").cast("double").alias("n")).first()["n"]).cast("double")
+    total = samples.agg(F.sum("weight").cast("double").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = F.lit(total["n"]).cast("double")
     idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
-    tf = 1.0 + F.log(F.col("tf").cast("double"))
-    # tokenised twice rather than kept: the exploded corpus is many times its texts. A term is once in a
-    # document, so the window of a term holds at most one row per document.
-    dt = doc_terms(samples, "sample_id", "text", options.ngram_range, options.stop_words, keep=["weight"])
-    norms = materialize(
-        dt.withColumn("df", F.sum("weight").over(Window.partitionBy("term")))
-        .select("sample_id", (tf * idf).alias("xr"))
-        .groupBy("sample_id").agg(F.sqrt(F.sum(F.col("xr") * F.col("xr"))).alias("norm")),
-        "nb-norms",
-    )
-    normed = samples.join(norms.withColumnRenamed("sample_id", "_id"), F.col("sample_id").eqNullSafe(F.col("_id")))
-    parts = doc_terms(normed, "sample_id", "text", options.ngram_range, options.stop_words, keep=["label", "weight", "norm"])
-    mass = F.col("weight") * tf / F.col("norm")
-    # per (term, class) mass without the idf, which is the term's own factor; one row per term
     labels = sorted((r["label"] for r in samples.select("label").distinct().limit(DENSE_CLASSES + 1).collect()),
                     key=lambda x: (x is not None, x))
     dense = len(labels) <= DENSE_CLASSES
+    parts = max(LEAST_PARTS, (total["bytes"] or 0) // PART_TEXT_BYTES)
     if dense:
-        masses = [F.coalesce(F.sum(F.when(F.col("label").eqNullSafe(F.lit(x)), mass)), F.lit(0.0)) for x in labels]
-        per_term = parts.groupBy("term").agg(F.sum("weight").alias("df"), F.array(*masses).cast("array<double>").alias("masses"))
+        norms = _norms(samples, total["n"] or 0.0, parts, options)
     else:
-        per_term = (
-            parts.groupBy("term", "label").agg(F.sum("weight").alias("df"), F.sum(mass).alias("mass"))
-            .groupBy("term").agg(F.sum("df").alias("df"), F.collect_list(F.struct("label", "mass")).alias("masses")))
-    # written as df and masses, which take less room than the values derived from them
-    terms = materialize(per_term, "nb-terms").withColumn("idf", idf)
+        # tokenised twice rather than kept: the exploded corpus is many times its texts. A term is once in a
+        # document, so the window of a term holds at most one row per document.
+        tf = 1.0 + F.log(F.col("tf").cast("double"))
+        dt = doc_terms(samples, "sample_id", "text", options.ngram_range, options.stop_words, keep=["weight"])
+        norms = (dt.withColumn("df", F.sum("weight").over(Window.partitionBy("term")))
+                 .select("sample_id", (tf * idf).alias("xr"))
+                 .groupBy("sample_id").agg(F.sqrt(F.sum(F.col("xr") * F.col("xr"))).alias("norm")))
+    norms = materialize(norms, "nb-norms")
+    normed = samples.join(norms.withColumnRenamed("sample_id", "_id"), F.col("sample_id").eqNullSafe(F.col("_id")))
+    packed = None
     if dense:
+        packed = materialize(_packed_terms(normed, labels, total["n"] or 0.0, parts, options), "nb-terms")
+        terms = _unpacked_terms(packed, len(labels)).withColumn("idf", idf)
         n_ct = [F.col("masses")[k] * F.col("idf") for k in range(len(labels))]
         entries = F.array(*[F.struct(F.lit(x).cast("string").alias("label"), m.alias("n_ct"), _delta(m, a).alias("delta"))
                             for x, m in zip(labels, n_ct)]).cast("array<struct<label:string,n_ct:double,delta:double>>")
         # a mass that is 0 stands for a class in which the term was not seen
         deltas = F.filter(entries, lambda e: e["n_ct"] > 0)
-        class_mass = terms.agg(*[F.sum(m).alias(f"m{k}") for k, m in enumerate(n_ct)], F.count(F.lit(1)).alias("v")).select(
+        class_mass = packed.agg(*[F.sum(F.col("mass")[k]).alias(f"m{k}") for k in range(len(labels))], F.count(F.lit(1)).alias("v")).select(
             F.inline(F.array(*[F.struct(F.lit(x).cast("string").alias("label"), F.col(f"m{k}").alias("n_c_mass"))
                                for k, x in enumerate(labels)]).cast("array<struct<label:string,n_c_mass:double>>")))
+        n_vocab = packed.agg(F.coalesce(F.sum("n_terms"), F.lit(0)).cast("double").alias("v"))
     else:
+        # per (term, class) mass without the idf; written as df and masses, which take less room than the values derived from them
+        mass = F.col("weight") * tf / F.col("norm")
+        terms = materialize(
+            doc_terms(normed, "sample_id", "text", options.ngram_range, options.stop_words, keep=["label", "weight", "norm"])
+            .groupBy("term", "label").agg(F.sum("weight").alias("df"), F.sum(mass).alias("mass"))
+            .groupBy("term").agg(F.sum("df").alias("df"), F.collect_list(F.struct("label", "mass")).alias("masses")),
+            "nb-terms").withColumn("idf", idf)
         deltas = F.transform("masses", lambda m: F.struct(
             m["label"].alias("label"), (m["mass"] * F.col("idf")).alias("n_ct"), _delta(m["mass"] * F.col("idf"), a).alias("delta")))
         class_mass = terms.select(F.inline(deltas)).groupBy("label").agg(F.sum("n_ct").alias("n_c_mass"))
+        n_vocab = terms.agg(F.count(F.lit(1)).cast("double").alias("v"))
     terms = terms.select("term", "idf", deltas.alias("deltas"), "df", "masses")
-    n_vocab = terms.agg(F.count(F.lit(1)).cast("double").alias("v"))
     class_count = samples.groupBy("label").agg(F.sum("weight").cast("double").alias("n_c"))
     classes = materialize(
         class_count.join(class_mass, ["label"], "left")
@@ -150,7 +248,7 @@ def fit(samples: DataFrame, options: NBOptions = NBOptions()) -> NBModel:
         ),
         "nb-classes",
     )
-    return NBModel(classes=classes, terms=terms, options=options, mass_labels=labels if dense else None)
+    return NBModel(classes=classes, terms=terms, options=options, mass_labels=labels if dense else None, packed=packed, parts=parts)
 
 
 def _class_row(model: NBModel) -> DataFrame:
@@ -161,13 +259,14 @@ def _class_row(model: NBModel) -> DataFrame:
     )
 
 
-def _term_hits(dt: DataFrame, terms: DataFrame) -> DataFrame:
+def _term_hits(dt: DataFrame, terms: DataFrame, few: bool | None = None) -> DataFrame:
     """``dt`` joined to ``terms``: by broadcast if they are few, else by shuffle.
 
     No salt, which would replicate the vocabulary: a term is once in a document, so the rows of one
     term are no more than the documents. Ordered by hash first: terms share long prefixes.
     """
-    few = estimated_bytes(terms) <= skew.BROADCAST_LIMIT
+    if few is None:
+        few = estimated_bytes(terms) <= skew.BROADCAST_LIMIT
     t = terms.select(F.col("term").alias("_t"), *[c for c in terms.columns if c != "term"])
     same = F.col("term") == F.col("_t")
     if few:
@@ -175,33 +274,102 @@ def _term_hits(dt: DataFrame, terms: DataFrame) -> DataFrame:
     return dt.join(t.hint("merge"), (F.xxhash64("term") == F.xxhash64("_t")) & same).drop("_t")
 
 
-def _dense_sums(model: NBModel, dt: DataFrame, markers: DataFrame, labels: list[str], id_col: str) -> DataFrame:
+def _packed_sums(model: NBModel, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per document and part of the vocabulary: ``id, xr, sq, d0, d1, ...`` (sums, squares, one sum per class).
+
+    A part's rows of the vocabulary come first, then the blocks, many of which are looked up at once.
+    """
+    n_classes, alpha = len(model.mass_labels), float(model.options.alpha)
+    n = float(model.classes.agg(F.sum("n_c")).first()[0] or 0.0)        # the samples' total weight
+
+    def load(rows: list[tb.Block]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Terms, and their idf and deltas; the last place stands for terms that are unknown."""
+        terms = pa.concat_arrays([b.terms() for b in rows])
+        df = np.concatenate([tb.unpack(b.value("dfs"), np.int64, b.n_terms) for b in rows])
+        idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
+        masses = np.concatenate([tb.unpack(b.value("masses"), np.float64, n_classes * b.n_terms).reshape(n_classes, -1) for b in rows], axis=1)
+        deltas = np.log(masses * idf + alpha) - np.log(alpha)
+        return terms, np.append(idf, 0.0), np.append(deltas, np.zeros((n_classes, 1)), axis=1)
+
+    def look_up(vocabulary, blocks: list[tb.Block]) -> Iterator[pa.RecordBatch]:
+        terms, idf, deltas = vocabulary
+        found = pc.index_in(pa.concat_arrays([b.terms() for b in blocks]), value_set=terms)
+        places = np.split(pc.fill_null(found, len(terms)).to_numpy(), np.cumsum([b.n_terms for b in blocks])[:-1])
+        for b, place in zip(blocks, places):
+            term, doc, tf = b.occurrences()
+            at = place[term]
+            known = at < len(terms)
+            at, doc = at[known], doc[known]
+            x, ids = tf[known] * idf[at], b.kept("_id")
+            hit = np.flatnonzero(np.bincount(doc, minlength=len(ids)))
+            sums = [x, x * x, *[x * deltas[k][at] for k in range(n_classes)]]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(hit)), *[pa.array(np.bincount(doc, v, len(ids))[hit], pa.float64()) for v in sums]], names=names)
+
+    def score_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, vocabulary, blocks, waiting = None, [], None, [], 0
+        for batch in batches:
+            for i, (part, is_doc) in enumerate(zip(batch.column("part").to_pylist(), batch.column("_doc").to_pylist())):
+                full = vocabulary is not None and waiting >= max(LOOKUP_TERMS, len(vocabulary[0]))
+                if blocks and (part != at or full):
+                    yield from look_up(vocabulary, blocks)
+                    blocks, waiting = [], 0
+                if part != at:
+                    at, rows, vocabulary = part, [], None
+                if not is_doc:
+                    rows.append(tb.Block(batch, i))
+                elif rows or vocabulary is not None:        # no term of the part is known else
+                    if vocabulary is None:
+                        vocabulary, rows = load(rows), []
+                    blocks.append(tb.Block(batch, i))
+                    waiting += blocks[-1].n_terms
+        if blocks:
+            yield from look_up(vocabulary, blocks)
+
+    packed = tb.term_blocks(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ["_id"], "_text", model.parts,
+                            model.options.ngram_range, model.options.stop_words)
+    rows = model.packed.drop("mass").withColumn("_doc", F.lit(False)).unionByName(packed.withColumn("_doc", F.lit(True)), allowMissingColumns=True)
+    sums = ["xr", "sq", *[f"d{k}" for k in range(n_classes)]]
+    names = [id_col, *sums]
+    kind = docs.select(id_col).schema.fields[0].dataType.simpleString()
+    return tb.by_part(rows, "_doc").mapInArrow(score_part, ", ".join([f"`{id_col}` {kind}", *[f"{c} double" for c in sums]]))
+
+
+def _dense_sums(model: NBModel, docs: DataFrame, markers: DataFrame, labels: list[str], id_col: str, text_col: str) -> DataFrame:
     """Per document: ``x_sum, norm, blank, hit`` (label -> sum of deltas), as one sum per class.
 
-    A term's deltas become a vector in label order before the join, so a hit stays one row and
+    Packed blocks meet the packed vocabulary. Where its terms are few, or the model is only tables, terms are joined:
+    a term's deltas become a vector in label order before the join, so a hit stays one row and
     documents are summed in one shuffle with map-side combine.
     """
-    if model.mass_labels == labels:
-        alpha = float(model.options.alpha)
-        vector = [_delta(F.col("masses")[k] * F.col("idf"), alpha) for k in range(len(labels))]
-        terms = model.terms.select("term", "idf", F.array(*vector).cast("array<double>").alias("_d"))
+    sums = [f"d{k}" for k in range(len(labels))]
+    # packed rows take about half the room of plain ones
+    few = model.packed is not None and 2 * estimated_bytes(model.packed) <= skew.BROADCAST_LIMIT
+    if model.packed is not None and model.mass_labels == labels and not few:
+        hits = _packed_sums(model, docs, id_col, text_col)
     else:
-        by_label = F.map_from_entries(F.transform("deltas", lambda d: F.struct(d["label"], d["delta"])))
-        terms = model.terms.select("term", "idf", by_label.alias("_m")).select(
-            "term", "idf", F.array(*[F.coalesce(F.element_at("_m", x), F.lit(0.0)) for x in labels]).alias("_d"))
-    hits = _term_hits(dt, terms)
-    xr = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    rows = hits.select(id_col, xr.alias("xr"), F.lit(None).cast("boolean").alias("blank"), "_d").unionByName(
-        markers.select(id_col, F.lit(0.0).alias("xr"), "blank", F.lit(None).cast("array<double>").alias("_d")))
-    per_class = [F.coalesce(F.sum(F.col("xr") * F.col("_d")[k]), F.lit(0.0)) for k in range(len(labels))]
+        if model.mass_labels == labels:
+            alpha = float(model.options.alpha)
+            vector = [_delta(F.col("masses")[k] * F.col("idf"), alpha) for k in range(len(labels))]
+            terms = model.terms.select("term", "idf", F.array(*vector).cast("array<double>").alias("_d"))
+        else:
+            by_label = F.map_from_entries(F.transform("deltas", lambda d: F.struct(d["label"], d["delta"])))
+            terms = model.terms.select("term", "idf", by_label.alias("_m")).select(
+                "term", "idf", F.array(*[F.coalesce(F.element_at("_m", x), F.lit(0.0)) for x in labels]).alias("_d"))
+        dt = doc_terms(docs, id_col, text_col, model.options.ngram_range, model.options.stop_words)
+        xr = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+        hits = _term_hits(dt, terms, few or None).select(id_col, xr.alias("xr"), "_d").select(
+            id_col, "xr", (F.col("xr") * F.col("xr")).alias("sq"), *[(F.col("xr") * F.col("_d")[k]).alias(c) for k, c in enumerate(sums)])
+    rows = hits.unionByName(markers.select(id_col, F.lit(0.0).alias("xr"), "blank"), allowMissingColumns=True)
     return rows.groupBy(id_col).agg(
-        F.sum("xr").alias("x_sum"), F.sqrt(F.sum(F.col("xr") * F.col("xr"))).alias("norm"), F.max("blank").alias("blank"),
+        F.sum("xr").alias("x_sum"), F.sqrt(F.coalesce(F.sum("sq"), F.lit(0.0))).alias("norm"), F.max("blank").alias("blank"),
         F.map_from_arrays(F.array(*map(F.lit, labels)).cast("array<string>"),
-                          F.array(*per_class).cast("array<double>")).alias("hit"))
+                          F.array(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in sums]).cast("array<double>")).alias("hit"))
 
 
-def _sparse_sums(model: NBModel, dt: DataFrame, markers: DataFrame, labels: list[str], id_col: str) -> DataFrame:
+def _sparse_sums(model: NBModel, docs: DataFrame, markers: DataFrame, labels: list[str], id_col: str, text_col: str) -> DataFrame:
     """The same sums for many classes: a hit becomes one row per class it was seen with."""
+    dt = doc_terms(docs, id_col, text_col, model.options.ngram_range, model.options.stop_words)
     hits = _term_hits(dt, model.terms)
     xr = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
     entries = F.transform("deltas", lambda d: F.struct(d["label"].alias("label"), d["delta"].alias("delta")))
@@ -235,13 +403,11 @@ def score(model: NBModel, docs: DataFrame, id_col: str = "doc_id", text_col: str
     Blank texts get label null and confidence 0 (see :func:`gate`). Every
     input document gets exactly one row.
     """
-    opts = model.options
-    dt = doc_terms(docs, id_col, text_col, opts.ngram_range, opts.stop_words)
     # one marker row per document, so documents without a known term still score
     markers = docs.select(id_col, is_blank(text_col).alias("blank"))
     labels = [r["label"] for r in model.classes.select("label").orderBy("label").collect()]     # the taxonomy
     sums = _dense_sums if len(labels) <= DENSE_CLASSES else _sparse_sums
-    per_doc = sums(model, dt, markers, labels, id_col)
+    per_doc = sums(model, docs, markers, labels, id_col, text_col)
     scored = (
         per_doc.crossJoin(F.broadcast(_class_row(model)))
         .withColumn("_inv", F.when(F.col("norm") > 0, 1.0 / F.col("norm")).otherwise(F.lit(0.0)))
