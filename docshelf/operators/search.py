@@ -1,9 +1,9 @@
 """Vector top-k search over an index table.
 
 Exact search: every index item is scored against every query of a batch.
-Query blocks are broadcast (their size is measured first), each index row computes its scores in-row, keeps those at or above ``min_score``
-(tested unrounded), and the per-query top-k is a ``row_number`` filter that
-Spark turns into a partial ``WindowGroupLimit`` before the shuffle, so each
+Query vectors go to all tasks (their size is measured first), blocks of index rows are scored as one matrix product, what is at
+or above ``min_score`` (tested unrounded) and may be among a query's best of its block is kept, and the per-query top-k is a
+``row_number`` filter that Spark turns into a partial ``WindowGroupLimit`` before the shuffle, so each
 task forwards at most k rows per query no matter how many items match.
 
 Ranking follows the reproduced behaviour: sort by the score *rounded to one
@@ -17,25 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import is_blank
-from ..functions.vectors import dot, with_normalised
+from ..functions.vectors import with_normalised
 from ..options import SCORE_BAND_HIGH, SCORE_BAND_MEDIUM, SearchOptions
 
-BATCH_BYTES = 64 << 20      # query vectors broadcast at once
-BLOCK_QUERIES = 512         # queries scored as one array
-
-
-def _query_blocks(queries: DataFrame, n_blocks: int) -> DataFrame:
-    """``queries(query_id, qvec[, category_filter])`` as rows of up to about ``BLOCK_QUERIES`` queries."""
-    qs = queries if "category_filter" in queries.columns else queries.withColumn(
-        "category_filter", F.lit(None).cast("string"))
-    qs = with_normalised(qs, "qvec", "_qu")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    return qs.groupBy(block.alias("_block")).agg(
-        F.collect_list(F.struct("query_id", F.col("_qu").alias("qvec"), "category_filter")).alias("_queries")).drop("_block")
+BATCH_BYTES = 64 << 20      # query vectors sent to the tasks at once
+BLOCK_SCORES = 4 << 20      # scores of a block of index rows with all queries of a pass
 
 
 def search_batch(index: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(),
@@ -45,35 +38,86 @@ def search_batch(index: DataFrame, queries: DataFrame, options: SearchOptions =
     ``index(path, filename, category, preview, embedding)``; queries carry an
     optional ``category_filter`` (null or empty = no filter), applied before
     scoring. Queries must already exclude blank texts (E8); an empty index
-    gives no rows by construction.
+    gives no rows by construction. Vectors that are null, hold a null or have different lengths have no score.
 
-    Queries are scored in blocks against each index row. The size of their vectors is measured; what
-    does not fit in one broadcast is split by a hash of ``query_id`` into passes over the index (a
-    query's top-k never spans passes).
+    The size of the queries' vectors is measured; what does not fit in ``batch_bytes`` is split by a hash
+    of ``query_id`` into passes over the index (a query's top-k never spans passes).
     """
-    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("qvec"))).first()
+    qs = queries if "category_filter" in queries.columns else queries.withColumn(
+        "category_filter", F.lit(None).cast("string"))
+    n, dim = qs.agg(F.count(F.lit(1)), F.max(F.size("qvec"))).first()
     passes = max(1, -(-n * (dim or 0) * 8 // batch_bytes))
-    per_pass = [queries if passes == 1 else queries.where(F.pmod(F.hash("query_id"), F.lit(passes)) == k) for k in range(passes)]
-    parts = [_search_pass(index, p, max(1, -(-n // passes // BLOCK_QUERIES)), options) for p in per_pass]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    qs = with_normalised(qs, "qvec", "_qu").select("query_id", "_qu", "category_filter")
+    items = index.select("path", "filename", "category", "preview", F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = StructType([*items.schema.fields[:-1], qs.schema["query_id"], StructField("score", DoubleType())])
+    out = None
+    for k in range(passes):
+        part = (qs if passes == 1 else qs.where(F.pmod(F.hash("query_id"), F.lit(passes)) == k)).toArrow()
+        part = part.filter(_whole(part["_qu"].combine_chunks()))
+        widths = pc.list_value_length(part["_qu"]).to_numpy()
+        for width in np.unique(widths):
+            some = part.filter(pa.array(widths == width))
+            vectors = some["_qu"].combine_chunks().flatten().to_numpy().reshape(len(some), int(width))
+            hits = items.mapInArrow(_block_scores(some["query_id"].combine_chunks(), vectors, some["category_filter"].to_pylist(),
+                                                  options, schema.names), schema)
+            hits = _ranked(hits, options)
+            out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        out = _ranked(items.sparkSession.createDataFrame([], schema), options)
     return out
 
 
-def _search_pass(index: DataFrame, queries: DataFrame, n_blocks: int, options: SearchOptions) -> DataFrame:
-    # what is below the threshold is dropped inside the array, before it becomes rows
-    hits = F.filter(F.transform(
-        F.filter("_queries", lambda q: F.coalesce(q["category_filter"], F.lit("")).isin("")
-                 | (q["category_filter"] == F.col("category"))),
-        lambda q: F.struct(q["query_id"].alias("query_id"), dot(F.col("_e"), q["qvec"]).alias("score"))),
-        lambda h: h["score"] >= options.min_score)
-    scored = (
-        index.select("path", "filename", "category", "preview", F.col("embedding").cast("array<double>").alias("_e"))
-        .crossJoin(F.broadcast(_query_blocks(queries, n_blocks)))
-        .select("path", "filename", "category", "preview", F.inline(hits))
-    )
-    return _ranked(scored, options)
+def _whole(vectors: pa.Array) -> pa.Array:
+    """Whether a vector is there and holds no null."""
+    flat = vectors.flatten()
+    ok = vectors.is_valid().to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        gaps = pc.list_parent_indices(vectors).filter(flat.is_null())
+        ok = ok.copy()
+        ok[gaps.to_numpy()] = False
+    return pa.array(ok)
+
+
+def _block_scores(ids: pa.Array, vectors: np.ndarray, filters: list, options: SearchOptions, names: list[str]):
+    """Function for ``mapInArrow``: the items that may be among the best of a query, with their scores.
+
+    Only what cannot be among the ``top_k`` of its block is left out: less by more than scores are rounded by than ``top_k``
+    others. What is kept is scored again in the order of its components, as the sum is defined.
+    """
+    least, width, top_k = options.min_score, vectors.shape[1], options.top_k
+    filtered = [(q, f) for q, f in enumerate(filters) if f]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, min(1024, BLOCK_SCORES // max(len(vectors), 1)))
+        for batch in batches:
+            batch = batch.filter(_whole(batch.column("embedding")))
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column("embedding")), width))
+            x = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, width)
+            for at in range(0, batch.num_rows, rows):
+                block, own = batch.slice(at, rows), x[at:at + rows]
+                near = own @ vectors.T
+                near[np.isnan(near)] = np.inf       # NaN counts as the largest score
+                # how far a product may be from the sum in order (queries have length one)
+                off = np.nan_to_num(1e-12 * np.abs(own).sum(axis=1), nan=0.0, posinf=0.0)[:, None]
+                if filtered:
+                    category = np.array(block.column("category").to_pylist(), dtype=object)
+                    for q, f in filtered:
+                        near[category != f, q] = -np.inf
+                if len(own) > top_k:
+                    floor = np.partition(near - off, len(own) - top_k, axis=0)[len(own) - top_k] - 0.002
+                else:
+                    floor = np.full(len(vectors), -np.inf)
+                i, j = np.nonzero((near + off >= np.maximum(floor, least - 1e-9)) & (near > -np.inf))
+                score = np.concatenate([np.zeros(0), *[np.cumsum(own[i[p:p + 65536]] * vectors[j[p:p + 65536]], axis=1)[:, -1]
+                                                       for p in range(0, len(i) if width else 0, 65536)]])
+                if not width:
+                    score = np.zeros(len(i))
+                hit = ~(score < least)
+                found, asked = pa.array(i[hit]), pa.array(j[hit])
+                yield pa.RecordBatch.from_arrays([*[block.column(c).take(found) for c in names[:-2]], ids.take(asked), pa.array(score[hit])],
+                                                 names=names)
+
+    return run
 
 
 def _ranked(scored: DataFrame, options: SearchOptions) -> DataFrame:

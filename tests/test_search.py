@@ -138,3 +138,31 @@ def test_category_filter_reads_one_folder_and_versions_are_numbered(spark):
     assert I._versions(spark, path)[0] == 2 and I.load(spark, path).count() == 0
     with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
         spark.createDataFrame([("v",)], "version string").write.mode("errorifexists").parquet(f"{path}/pointer/at=2")
+
+
+def test_batch_is_scored_in_blocks(spark):
+    """No join of index rows with queries; what a block leaves out is never among the best, whatever holds nulls or NaN."""
+    rng = np.random.default_rng(5)
+    items = [(f"p/{i:04d}", str(i), "AB"[i % 2], "x", unit((rng.integers(0, 3, 4) + 0.01).tolist())) for i in range(3000)]
+    items += [("p/n", "n", "A", "x", None), ("p/h", "h", "A", "x", [1.0, None, 0.0, 0.0]), ("p/s", "s", "A", "x", [1.0]),
+              ("p/z", "z", "A", "x", [float("nan"), 0.0, 0.0, 1.0])]
+    idx = spark.createDataFrame(items, "path string, filename string, category string, preview string, embedding array<double>")
+    qs = [(1, unit([1, 1, 0, 1]), None), (2, unit([1, 0, 2, 0]), "B"), (3, None, None), (4, [1.0, None, 0.0, 0.0], ""), (5, [1.0], "A")]
+    got = search.search_batch(idx, spark.createDataFrame(qs, "query_id bigint, qvec array<double>, category_filter string"),
+                              SearchOptions(top_k=7))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for q, v, f in qs:
+        if v is None or None in v:
+            continue
+        hits = []
+        for p, _, c, _, e in items:
+            if e is None or None in e or len(e) != len(v) or (f and f != c):
+                continue
+            s = 0.0
+            for x, y in zip(e, v):
+                s += x * y
+            if not s < 0.25:
+                hits.append((-math.inf if math.isnan(s) else -round(s * 100 + 1e-9, 1), p))
+        want |= {(q, r, p) for r, (_, p) in enumerate(sorted(hits)[:7], 1)}
+    assert {(h["query_id"], h["rank"], h["path"]) for h in got.collect()} == want
