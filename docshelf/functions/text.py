@@ -89,7 +89,8 @@ def stripped_length_at_least(text: str | Column, n: int) -> Column:
         return F.lit(True)
     if n == 1:
         return _col(text).rlike(NON_SPACE_RE)
-    return _col(text).rlike(r"[^\s\p{Z}][\s\S]{%d,}[^\s\p{Z}]" % (n - 2))
+    # reluctant: the first such pair is enough, the rest of the text is not read
+    return _col(text).rlike(r"[^\s\p{Z}][\s\S]{%d,}?[^\s\p{Z}]" % (n - 2))
 
 
 def trimmed_length(text: str | Column) -> Column:

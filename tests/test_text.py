@@ -62,3 +62,27 @@ def test_in_row_term_counts_equal_explode_group_by(spark):
     b = sorted(doc_terms_shuffled(df).collect())
     assert a == b
     assert ("cat sat" in {r["term"] for r in a}) and all(r["tf"] >= 1 for r in a)
+
+
+def test_stripped_length_reads_only_the_start(spark):
+    """Same answers as the trimmed length, and a long text is not read to its end."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from docshelf.functions.text import stripped_length_at_least
+
+    texts = ["", None, " a" + "b" * 18 + " ", "a" + " " * 18 + "b", "a" + " " * 17 + "b", "\n\n" + "x" * 19, "x" * 20, " " * 40,
+             "a" + "\n" * 40 + "b" + " " * 30, "\U0001F600" * 20, "　" * 30 + "x" * 20]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(stripped_length_at_least("text", 20)).collect()]
+    assert got == [None if t is None else len(t.strip()) >= 20 for t in texts]
+
+    long = spark.range(4).select(F.repeat(F.concat(F.lit("ab c "), F.col("id").cast("string")), 1_000_000).alias("text"))
+    seconds = []
+    for whole in (long.where(F.col("text").rlike(r"[^\s\p{Z}][\s\S]{18,}[^\s\p{Z}]")), long.where(stripped_length_at_least("text", 20))):
+        whole.count()
+        at = time.time()
+        assert whole.count() == 4
+        seconds.append(time.time() - at)
+    assert seconds[1] < seconds[0] / 2
