@@ -210,7 +210,7 @@ def fit(samples: DataFrame, options: NBOptions = NBOptions()) -> NBModel:
                  .select("sample_id", (tf * idf).alias("xr"))
                  .groupBy("sample_id").agg(F.sqrt(F.sum(F.col("xr") * F.col("xr"))).alias("norm")))
     norms = materialize(norms, "nb-norms")
-    normed = samples.join(norms.withColumnRenamed("sample_id", "_id"), F.col("sample_id").eqNullSafe(F.col("_id")))
+    normed = skew.narrow_join(samples, norms.withColumnRenamed("sample_id", "_id"), F.col("sample_id").eqNullSafe(F.col("_id")))
     packed = None
     if dense:
         packed = materialize(_packed_terms(normed, labels, total["n"] or 0.0, parts, options), "nb-terms")

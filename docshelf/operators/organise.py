@@ -18,6 +18,7 @@ from ..session import materialize
 from . import dedup
 from . import naive_bayes as nb
 from .naming import destination_plan, proposed_name_if
+from .skew import narrow_join
 
 
 def new_run_id() -> str:
@@ -39,7 +40,7 @@ def organise(files: DataFrame, model: nb.NBModel, root: str, proposals: DataFram
     duplicates = marked.where("is_duplicate")
     # read twice (scored, then joined back to its columns): only the keys are kept, the texts are scanned again
     firsts = materialize(dedup.keep_originals(hashed.select("doc_id", "path", "content_hash")).select("doc_id"), "originals")
-    originals = hashed.join(firsts, ["doc_id"], "left_semi")
+    originals = narrow_join(hashed, firsts, ["doc_id"], "left_semi")
     classified = nb.classify(model, originals.select("doc_id", "text"))
     # of the text only its length matters past here: it stays out of the joins
     res = originals.withColumn("_long", stripped_length_at_least("text", RENAME_MIN_CHARS)).drop("text").join(classified, ["doc_id"])
@@ -126,6 +127,9 @@ def web_corrections(after: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def override_corrections(after: DataFrame, texts: DataFrame) -> DataFrame:
-    """What overrides teach the classifier: ``(sample_id, text, label)`` for D11 from ``texts(doc_id, text)``."""
-    return after.where("overridden").select("doc_id", F.col("category").alias("label")).join(texts, ["doc_id"]).select(
-        F.col("doc_id").alias("sample_id"), "text", "label")
+    """What overrides teach the classifier: ``(sample_id, text, label)`` for D11 from ``texts(doc_id, text)``.
+
+    The overridden files are written, as fitting reads the corrections several times.
+    """
+    named = materialize(after.where("overridden").select("doc_id", F.col("category").alias("label")), "overridden")
+    return narrow_join(texts, named, ["doc_id"]).select(F.col("doc_id").alias("sample_id"), "text", "label")

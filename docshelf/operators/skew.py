@@ -66,6 +66,25 @@ def split_lookup(big: DataFrame, lookup: DataFrame, keys: list[str], rows_col: s
 BROADCAST_LIMIT = 8 * 1024 * 1024
 
 
+# What narrow_join broadcasts at most: the size of a file says little about rows that repeat.
+NARROW_LIMIT = 32 * 1024 * 1024
+NARROW_ROWS = 4_000_000
+
+
+def narrow_join(wide: DataFrame, narrow: DataFrame, on: list[str] | Column, how: str = "inner",
+                broadcast_limit: int = NARROW_LIMIT) -> DataFrame:
+    """``wide`` (rows with texts) joined to a ``narrow`` table of ids, which is broadcast while it is small.
+
+    The texts then stay where they are; a shuffled join would write and sort them all, once for each read of the
+    result. Beyond the limits both sides are shuffled. ``narrow`` should be a written table or a scan, whose size is known.
+    """
+    from ..session import estimated_bytes
+
+    if estimated_bytes(narrow) <= broadcast_limit and narrow.count() <= NARROW_ROWS:
+        narrow = F.broadcast(narrow)
+    return wide.join(narrow, on, how)
+
+
 def lookup_join(big: DataFrame, lookup: DataFrame, keys: list[str], salt_cols: list[str],
                 buckets: int, how: str = "inner", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Broadcast ``lookup`` when its measured size is under the limit, else a salted shuffle join.

@@ -8,6 +8,7 @@ from .. import options as O
 from ..operators import dedup, embedding, language, reports
 from ..operators import naive_bayes as nb
 from ..operators.classify import classify
+from ..operators.skew import narrow_join
 from ..session import materialize
 from ..sources.tables import documents_as_files, read_table
 from . import q_search  # noqa: F401  (classify_methods repeats its embedding_classify)
@@ -21,7 +22,7 @@ from .sqltext import file_path_sql, nb_model_ctes, nb_score_ctes, q
 
 def labelled_docs(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return docs.join(read_table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"], "left_semi")
+    return narrow_join(docs, read_table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"], "left_semi")
 
 
 def lang_model(spark, sf_dir, options: O.NBOptions = O.NBOptions()):
@@ -74,9 +75,9 @@ def flagship_classify_report(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     files = dedup.with_content_hash(documents_as_files(docs))
     firsts = materialize(dedup.keep_originals(files.select("doc_id", "content_hash")).select("doc_id"), "originals")
-    originals = files.join(firsts, ["doc_id"], "left_semi")
+    originals = narrow_join(files, firsts, ["doc_id"], "left_semi")
     labelled = read_table(spark, sf_dir, "labels").select("doc_id")
-    train = nb.training_samples(originals.join(labelled, ["doc_id"], "left_semi"), "doc_id", "text", "category")
+    train = nb.training_samples(narrow_join(originals, labelled, ["doc_id"], "left_semi"), "doc_id", "text", "category")
     model = nb.fit(train)
     results = nb.classify(model, originals)
     categories = model.classes.select(F.col("label").alias("category")).unionByName(
@@ -105,7 +106,7 @@ TRAIN_QUALITY_SQL = ("SELECT d.doc_id AS sample_id, d.text, CAST(l.quality AS VA
        lambda: nb_result_sql(TRAIN_QUALITY_SQL) + "\nSELECT doc_id, category, confidence_pct, is_low FROM nb_result")
 def nb_classify_quality(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    train = docs.join(read_table(spark, sf_dir, "labels").select("doc_id", "quality"), ["doc_id"])
+    train = narrow_join(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"), ["doc_id"])
     model = nb.fit(nb.training_samples(train, "doc_id", "text", "quality"))
     return nb.classify(model, docs)
 
@@ -129,8 +130,8 @@ SELECT d.doc_id, d.text, {q(O.FALLBACK_CATEGORY)}, {O.CORRECTION_WEIGHT}
 def nb_with_corrections(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels")
-    base = nb.training_samples(docs.join(labels.select("doc_id"), ["doc_id"], "left_semi"), "doc_id", "text", "lang")
-    with_labels = docs.join(labels, ["doc_id"])
+    base = nb.training_samples(labelled_docs(spark, sf_dir), "doc_id", "text", "lang")
+    with_labels = narrow_join(docs, labels, ["doc_id"])
     corrections = (
         with_labels.where(F.col("toxic") == 1).select("doc_id", "text", F.lit(O.FALLBACK_CATEGORY).alias("label"))
         .unionByName(with_labels.where(F.col("quality") == 0).select("doc_id", "text", F.lit("Spam").alias("label")))
@@ -176,7 +177,7 @@ def classify_errors(spark, sf_dir):
     """Low-quality labelled documents stand for files whose extraction failed: they have no score."""
     docs = read_table(spark, sf_dir, "documents")
     failed = read_table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
-    scored = nb.score(lang_model(spark, sf_dir), docs.join(failed, ["doc_id"], "left_anti"))
+    scored = nb.score(lang_model(spark, sf_dir), narrow_join(docs, failed, ["doc_id"], "left_anti"))
     return nb.gate(docs.select("doc_id").join(scored, ["doc_id"], "left"))
 
 

@@ -8,7 +8,7 @@ from .. import options as O
 from ..functions.text import first_line, first_word, sanitise_name
 from ..operators import naive_bayes as nb
 from ..operators import naming, organise, reports
-from ..session import materialize
+from ..session import drop_written, materialize
 from ..sources.tables import documents_as_files, read_table
 from .catalog import query
 from .q_classify import FAILED_SQL, TRAIN_LANG_SQL, labelled_docs, lang_model
@@ -114,7 +114,9 @@ results AS (
 
 def organise_results(spark, sf_dir):
     files = documents_as_files(read_table(spark, sf_dir, "documents")).drop("category")
-    plan = organise.organise(files, lang_model(spark, sf_dir), ROOT, proposals(spark, sf_dir))
+    model = lang_model(spark, sf_dir)
+    plan = organise.organise(files, model, ROOT, proposals(spark, sf_dir))
+    drop_written(model.terms)       # the classified rows are written, so nothing reads the vocabulary any more
     return plan
 
 
