@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,33 @@ def test_decoding_is_lossless_and_draws_reproducible(pieces):
     assert any(len(a) != len(b) or (a != b).any() for a, b in zip(whole, other))
 
 
+def test_units_learned_at_once_are_as_learned_alone(pieces):
+    r = random.Random(5)
+    signs = ["▁", "a", "the", "ing", "é", "日", "\U0001f600", "\x00", "ß", "antidisestablish", "\udc81"]
+    units = list(dict.fromkeys("".join(r.choice(signs) for _ in range(r.randint(1, 12)))[:pieces.unscaled] for _ in range(2000)))
+    pieces.forget()
+    for u in units:
+        pieces.learn(u)
+    alone = (pieces.units, pieces.nodes, pieces.cumulative, pieces.step_back, pieces.piece)
+    pieces.forget()
+    for at in range(0, len(units), 700):
+        pieces.learn_all(units[at:at + 700])
+    assert (pieces.units, pieces.nodes, pieces.cumulative, pieces.step_back, pieces.piece) == alone
+    pieces.forget()
+
+
+def test_sampled_pieces_are_handed_on_block_by_block(spark):
+    # one batch of texts became one batch of rows, all of them held by the worker
+    from docshelf.llm.piece_sampling import BLOCK_CHARS
+
+    docs = spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", f"repeat('some words ', {BLOCK_CHARS // 110}) AS text")
+    sizes = sampled_pieces(docs).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint").collect()
+    assert sum(x.n for x in sizes) == 40 and sampled_pieces(docs).where("lossless").count() == 40
+    plan = sampled_pieces(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_sampled_pieces_of_odd_rows(spark):
     got = sampled_pieces(frame(spark, odd_rows())).collect()
     assert len(got) == len(odd_rows()) and all(r.n_pieces == len(r.pieces) for r in got)
